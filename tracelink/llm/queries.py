@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelink.llm import chat, licenses, mixing, pii, tokens
+from tracelink.llm import chat, langid, licenses, mixing, ngram_join, pii, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,11 +38,21 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_read(spark, sf_dir, "documents"), k=3, tenths=9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op1_pii": op1_pii,
     "op6_license_scan": op6_license_scan,
     "op8_chat_format": op8_chat_format,
+    "op5_language_id": op5_language_id,
+    "op9_ngram_join": op9_ngram_join,
     "op4_mix_sources": op4_mix_sources,
 }
 ORACLES: dict[str, str] = {}
