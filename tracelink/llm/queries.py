@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelink.llm import chat, langid, licenses, mixing, ngram_join, pii, tokens
+from tracelink.llm import chat, decontaminate, langid, licenses, mixing, ngram_join, pii, shards, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,14 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_read(spark, sf_dir, "documents"), k=3, tenths=9)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.token_shards(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op1_pii": op1_pii,
@@ -53,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op5_language_id": op5_language_id,
     "op9_ngram_join": op9_ngram_join,
+    "op7_decontaminate": op7_decontaminate,
+    "op3_token_shards": op3_token_shards,
     "op4_mix_sources": op4_mix_sources,
 }
 ORACLES: dict[str, str] = {}
