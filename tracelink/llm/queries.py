@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelink.llm import chat, decontaminate, langid, licenses, mixing, ngram_join, pii, shards, tokens
+from tracelink.llm import chat, decontaminate, langid, licenses, mixing, ngram_join, pii, shards, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.token_shards(_read(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op1_pii": op1_pii,
@@ -63,6 +67,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op7_decontaminate": op7_decontaminate,
     "op3_token_shards": op3_token_shards,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op4_mix_sources": op4_mix_sources,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_ngram_join": r"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) < 3 THEN [x for x in [array_to_string(w, ' ')] if x <> '']
+                ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS g
+            FROM worded
+        ), each AS (
+            SELECT doc_id, unnest(g) AS x FROM sets
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM pairs JOIN sets sa ON sa.doc_id = a JOIN sets sb ON sb.doc_id = b WHERE 100 * n >= 90 * (len(sa.g) + len(sb.g) - n)
+        ), reach(a, b) AS (
+            SELECT doc_id, doc_id FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        )
+        SELECT doc_id, len(g) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM sets
+    """,
+    "op10_embedding_near_dedup": """
+        WITH RECURSIVE wide AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM wide a JOIN wide b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reach(a, b) AS (
+            SELECT vec_id, vec_id FROM wide UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        ), found AS (
+            SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, (SELECT min(b) FROM reach WHERE a = vec_id) AS component_id FROM wide
+        )
+        SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
+    """,
+}
