@@ -1 +1 @@
-"""See the package README section for `sources`."""
+"""Readers that turn the files of an investigation into DataFrames, and writers back."""
