@@ -22,10 +22,9 @@ def extract_signals(t: CaseTables, source_db: str, indexed_at: str, prevalence:
     base = pinned(t, "own_done", "final_url", "run_at", "whois_registrar", "asn", "tls_info_json").withColumn("final_domain", hostname(F.coalesce("final_url", "original_url")))
     scans = base.select("case_id", "scan_run_id", "final_domain", F.col("run_at").alias("observed_at")).distinct()
     null = F.lit(None).cast("string")
-    kinds = F.array(
-        F.struct(F.lit("final_domain").alias("signal_type"), F.col("final_domain").alias("signal_value")), F.struct(F.lit("registrar"), F.trim("whois_registrar")), F.struct(F.lit("asn"), F.trim("asn")),
-        F.struct(F.lit("cert_serial"), F.from_json("tls_info_json", "serialNumber STRING")["serialNumber"]),
-    )
+    kind = lambda name, value: F.struct(F.lit(name).alias("signal_type"), value.alias("signal_value"))
+    serial = F.from_json("tls_info_json", "serialNumber STRING")["serialNumber"]
+    kinds = F.array(kind("final_domain", F.col("final_domain")), kind("registrar", F.trim("whois_registrar")), kind("asn", F.trim("asn")), kind("cert_serial", serial))
     scan_kinds = base.select("case_id", "scan_run_id", F.explode(kinds).alias("k")).select("case_id", "scan_run_id", "k.signal_type", "k.signal_value", null.alias("platform"))
     ids = infra.tracking_rows(t, "own_done")
     tracking = ids.select("case_id", "scan_run_id", F.when(is_gtm("platform"), "gtm_container").otherwise("tracking_id").alias("signal_type"), F.col("tracking_id").alias("signal_value"), "platform")
@@ -43,8 +42,8 @@ def extract_signals(t: CaseTables, source_db: str, indexed_at: str, prevalence:
     files = ads.ads_rows(t, "own_done")
     verified = ads.acquisition_states(files, t.acquisitions, bodies).where("verification = 'verified'").select("case_id", "domain", "sha").distinct()
     template = files.join(verified, ["case_id", "domain", "sha"], "left_semi").select("case_id", "scan_run_id", F.lit("ads_txt_template").alias("signal_type"), F.col("sha").alias("signal_value"), null.alias("platform"))
-    declared = files.where("status = 'ok'").select("case_id", "scan_run_id", F.explode(F.array(F.struct(F.lit("ads_txt_owner").alias("t"), F.col("owner").alias("v")), F.struct(F.lit("ads_txt_manager"), F.col("manager")))).alias("d"))
-    declared = declared.select("case_id", "scan_run_id", F.col("d.t").alias("signal_type"), F.col("d.v").alias("signal_value"), null.alias("platform"))
+    declared = files.where("status = 'ok'").select("case_id", "scan_run_id", F.explode(F.array(kind("ads_txt_owner", F.col("owner")), kind("ads_txt_manager", F.col("manager")))).alias("d"))
+    declared = declared.select("case_id", "scan_run_id", "d.signal_type", "d.signal_value", null.alias("platform"))
 
     # the cheap floors come before the joins
     small = files.where((F.col("status") == "ok") & (F.size(F.array_distinct(F.transform(F.filter("records", lambda r: F.upper(r["relationship"]) == "DIRECT"), lambda r: F.concat_ws("|", r["adsystem"], r["seller_id"])))) < conf.carrier_max_accounts))
