@@ -32,7 +32,7 @@ def post_urls(posts: DataFrame) -> DataFrame:
 def html_pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, html, tracking_ids) of files; bytes that are no UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.decode("content", "UTF-8").alias("html")).withColumn("tracking_ids", tracking_ids("html"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("html")).withColumn("tracking_ids", tracking_ids("html"))
 
 
 HAR = "log STRUCT<entries: ARRAY<STRUCT<request: STRUCT<url: STRING>, response: STRUCT<status: INT, headers: ARRAY<STRUCT<name: STRING, value: STRING>>, content: STRUCT<text: STRING>>, serverIPAddress: STRING>>>"
@@ -50,7 +50,7 @@ def har_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def ads_txt_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, raw_sha256, owner_domain, manager_domain, records) of ads.txt bodies."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("raw_sha256"), ads_txt_body(F.decode("content", "UTF-8")).alias("a"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("raw_sha256"), ads_txt_body(F.make_valid_utf8(F.col("content").cast("string"))).alias("a"))
     return files.select("path", "raw_sha256", "a.*")
 
 
