@@ -7,10 +7,10 @@ corpus: sets of Jaccard similarity t or more differ in at most k shingles for th
 entirely in all but k of the m groups, and m > k groups always leave one in which they are equal. Documents that agree in
 a group form a block.
 
-In a block only its smallest id is compared with the others (no pairs within a group), the links found are
-closed transitively, and only blocks that still hold several components go into an R-tree each, where the summed minima
-prune and the survivors of different components are verified. So groups of copies cost as many comparisons as they have
-members, and no link between different texts is lost.
+In a block only its smallest id is compared with the others (no pairs within a group) and the links found are closed
+transitively; a few rounds with other leaders follow in blocks that still hold several components. What is left of
+these goes into an R-tree each, where the summed minima prune and the survivors of different components are verified. So
+groups of copies cost about as many comparisons as they have members, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -28,10 +28,12 @@ from tracelink.operators.graph import connected_components
 from tracelink.storage import materialise
 
 #: Coordinates of the points.
-GROUPS = 64
+GROUPS = 128
 #: Members of one side of an R-tree join; larger blocks are joined part by part.
 PART = 1024
 LEAF = 32
+#: Rounds of leaders before the R-trees.
+ROUNDS = 3
 
 
 @lru_cache(maxsize=8)
@@ -78,7 +80,7 @@ def block_keys(values: np.ndarray, tenths: int) -> np.ndarray:
 
 def point(values: np.ndarray) -> np.ndarray:
     """Counts of the shingles per group; not of the groups that make the keys."""
-    return np.bincount((mix(values) >> U64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    return np.bincount((mix(values) >> U64(57)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
 def _sets(texts: list[str], k: int, kind: str, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
@@ -228,6 +230,25 @@ def _tree_join(tenths: int):
     return run
 
 
+def _split(members: DataFrame, components: DataFrame) -> DataFrame:
+    """(sig, doc, component) of the blocks that hold several components."""
+    known = members.join(components, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
+    several = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return known.join(several.select("sig"), "sig", "left_semi")
+
+
+def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with further links (a, b)."""
+    if links.isEmpty():
+        return components
+    of = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    renamed = connected_components(ends).withColumnsRenamed({"node": "was", "component": "now"})
+    old = components.join(renamed, components.component == renamed.was, "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = renamed.join(components, renamed.was == components.node, "left_anti").select("was", "now")
+    return materialise(old.union(new), "ngram-components")
+
+
 def ngram_components(
     docs: DataFrame, k: int = 3, tenths: int = 9, id: str = "doc_id", text: str = "text", kind: str = "space", lower: bool = False,
 ) -> DataFrame:
@@ -249,36 +270,41 @@ def ngram_components(
     near = stars.where("n IS NULL").select("sig", F.col("leader").alias("a"), F.col("doc").alias("b"))
     pairs = materialise(near.select("a", "b").distinct(), "ngram-pairs")
     needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    points = plain.join(needed, "doc", "left_semi").mapInArrow(_points(k, kind, lower), "doc long, n long, point array<int>, set array<long>")
-    points = materialise(points.dropDuplicates(["doc", "set"]), "ngram-points", compression="lz4")
+    # rows that repeat an id and a text go in the partition that the join has made
+    some = plain.join(needed, "doc", "left_semi").dropDuplicates(["doc", "text"])
+    points = some.mapInArrow(_points(k, kind, lower), "doc long, n long, point array<int>, set array<long>")
+    points = materialise(points, "ngram-points", compression="lz4")
     links = materialise(_verified(pairs, points, tenths), "ngram-links")
     components = connected_components(equal.union(links))
 
-    # blocks with several components left: their members of different components still have to be compared
-    of = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    known = near.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    known = known.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-    split = known.groupBy("sig").agg(F.min(F.least("ca", "cb")).alias("low"), F.max(F.greatest("ca", "cb")).alias("high")).where("low <> high").select("sig")
-    known = known.join(split, "sig", "left_semi")
-    members = known.select("sig", F.col("a").alias("doc"), F.col("ca").alias("component")).union(known.select("sig", "b", "cb")).distinct()
-    members = materialise(members, "ngram-members")
-    sized = members.groupBy("sig").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    dealt = members.join(sized, "sig").withColumn("part", F.pmod(F.xxhash64("doc"), "parts"))
-    dealt = dealt.join(points.select("doc", "n", "point"), "doc")
-    # a pair of parts (i, j), i <= j, meets in one group; side 0: of part i, 1: of part j, 2: of both
-    later = F.transform(F.sequence("part", F.col("parts") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.when(j == F.col("part"), 2).otherwise(0).alias("side")))
-    earlier = F.when(F.col("part") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("part") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"))))
-    to = F.concat(later, F.coalesce(earlier, F.array().cast("array<struct<i:bigint,j:bigint,side:int>>")))
-    dealt = dealt.withColumn("to", F.explode(to)).select("sig", "to.*", "doc", "n", "point", "component")
-    more = dealt.groupBy("sig", "i", "j").applyInArrow(_tree_join(tenths), "a long, b long")
-    more = materialise(more.where("a <> b").distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-more")
-    if not more.isEmpty():
-        extra = _verified(more, points, tenths).join(of("a"), "a", "left").join(of("b"), "b", "left")
-        extra = materialise(extra.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "ngram-extra")
-        if not extra.isEmpty():
-            renamed = connected_components(extra).withColumnsRenamed({"node": "was", "component": "now"})
-            nodes = components.unionByName(members.select(F.col("doc").alias("node"), "component")).distinct()
-            components = nodes.join(renamed, nodes.component == renamed.was, "left").select("node", F.coalesce("now", "component").alias("component"))
+    # blocks of three and more that hold several components have pairs that weren't compared; of blocks with the same members one is enough
+    members = near.select("sig", F.col("a").alias("doc")).union(near.select("sig", "b")).distinct()
+    alike = members.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+    alike = alike.where("n > 2").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    members = materialise(members.join(alike, "sig", "left_semi"), "ngram-members")
+    for number in range(ROUNDS):
+        open_ = materialise(_split(members, components), "ngram-open")
+        if open_.isEmpty():
+            break
+        first = F.min_by(F.struct(F.col("doc").alias("leader"), F.col("component").alias("of")), F.xxhash64("doc", F.lit(number)))
+        led = open_.join(materialise(open_.groupBy("sig").agg(first.alias("l")), "ngram-leaders"), "sig").where("component <> l.of")
+        fresh = led.select(F.least("doc", "l.leader").alias("a"), F.greatest("doc", "l.leader").alias("b")).distinct()
+        fresh = materialise(fresh.join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
+        components = _merged(components, materialise(_verified(fresh, points, tenths), "ngram-links"))
+        pairs = pairs.union(fresh)
+    open_ = materialise(_split(members, components), "ngram-open")
+    if not open_.isEmpty():
+        sized = open_.groupBy("sig").agg(F.ceil(F.count("*") / PART).alias("parts"))
+        dealt = open_.join(sized, "sig").withColumn("part", F.pmod(F.xxhash64("doc"), "parts"))
+        dealt = dealt.join(points.select("doc", "n", "point"), "doc")
+        # a pair of parts (i, j), i <= j, meets in one group; side 0: of part i, 1: of part j, 2: of both
+        later = F.transform(F.sequence("part", F.col("parts") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.when(j == F.col("part"), 2).otherwise(0).alias("side")))
+        earlier = F.when(F.col("part") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("part") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"))))
+        to = F.concat(later, F.coalesce(earlier, F.array().cast("array<struct<i:bigint,j:bigint,side:int>>")))
+        dealt = dealt.withColumn("to", F.explode(to)).select("sig", "to.*", "doc", "n", "point", "component")
+        more = dealt.groupBy("sig", "i", "j").applyInArrow(_tree_join(tenths), "a long, b long")
+        more = materialise(more.where("a <> b").distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-more")
+        components = _merged(components, materialise(_verified(more, points, tenths), "ngram-links"))
     listed = stars.where("n IS NOT NULL").select(F.col("doc").alias(id), F.col("n").alias("n_shingles"))
     joined = listed.join(components, listed[id] == components.node, "left")
     return joined.select(id, "n_shingles", F.coalesce("component", id).alias("component_id"))
