@@ -76,6 +76,26 @@ def test_account_tiers(spark):
     assert got["rare"].reference_prevalence is None and got["known"].reference_prevalence == 0.01
 
 
+def test_pair_links_match_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    sets = {}
+    for d in range(24):
+        base = list(range(40)) if d % 3 else list(range(30, 70))
+        sets[f"d{d:02d}"] = set(sets["d00"]) if d in (3, 6) else set(rng.sample(base, rng.choice([4, 12, 20])))
+    rows = [(1, d, "x", str(a)) for d, s in sets.items() for a in s]
+    got = {r.seller_id: r.linked for r in ads.pair_link_counts(spark.createDataFrame(rows, "case_id long, domain string, adsystem string, seller_id string")).collect()}
+    want = {}
+    for d in sets:
+        for e in sets:
+            both = sets[d] & sets[e]
+            if d < e and len(both) >= 8 and len(both) >= 0.4 * min(len(sets[d]), len(sets[e])):
+                for a in both:
+                    want[str(a)] = want.get(str(a), 0) + 1
+    assert got == want
+
+
 def test_templates_need_all_members_verified(spark):
     states = spark.createDataFrame([(1, "a", "s", "verified"), (1, "b", "s", "truncated"), (1, "c", "t", "verified"), (1, "d", "t", "verified"), (1, "e", "u", "verified")], "case_id long, domain string, sha string, verification string")
     assert {r.sha256: r.verification for r in ads.shared_templates(states).collect()} == {"s": "truncated", "t": "verified"}

@@ -1,7 +1,7 @@
 """ads.txt accounts and templates: who carries what, and how much that says about the operator.
 
-Accounts of an exchange are carried by most domains, so pairs of domains are made from distinct (account, domain) rows by
-one self-join on the account, counted once for all accounts, and joined back; adaptive execution splits the hot ones.
+Accounts of an exchange are carried by most domains, often in files that are alike. Domains with the same account set are one
+class; pairs of classes come from one self-join on the account, weigh as many pairs of domains as they stand for, and are joined back.
 """
 
 from __future__ import annotations
@@ -41,23 +41,35 @@ def account_footprint(accounts: DataFrame) -> DataFrame:
     return accounts.where("status = 'ok'").groupBy(*ACCOUNT).agg(F.count_distinct("apex").alias("global_apex_count"))
 
 
-def linked_pairs(accounts: DataFrame, conf: Conf = Conf()) -> DataFrame:
-    """(case_id, d1, d2), d1 < d2: domains that share enough accounts for one template."""
+def account_classes(accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Domains of a case with the same account set are one class: (case_id, class, members, size) and the classes' accounts."""
     own = accounts.select("case_id", "domain", *ACCOUNT).distinct()
-    sizes = own.groupBy("case_id", "domain").agg(F.count("*").alias("size"))
-    a, b = own.withColumnRenamed("domain", "d1"), own.withColumnRenamed("domain", "d2")
-    shared = a.join(b, ["case_id", *ACCOUNT]).where("d1 < d2").groupBy("case_id", "d1", "d2").agg(F.count("*").alias("shared")).where(F.col("shared") >= conf.template_min_shared)
-    sized = shared.join(sizes.select("case_id", F.col("domain").alias("d1"), F.col("size").alias("s1")), ["case_id", "d1"]).join(sizes.select("case_id", F.col("domain").alias("d2"), F.col("size").alias("s2")), ["case_id", "d2"])
-    return sized.where(F.col("shared") >= conf.template_overlap * F.least("s1", "s2")).select("case_id", "d1", "d2")
+    sets = own.groupBy("case_id", "domain").agg(F.array_sort(F.collect_list(F.struct(*ACCOUNT))).alias("set"))
+    sets = sets.select("case_id", "domain", F.sha2(F.to_json("set"), 256).alias("class"), F.size("set").alias("size"))
+    classes = sets.groupBy("case_id", "class").agg(F.min("domain").alias("domain"), F.count("*").alias("members"), F.max("size").alias("size"))
+    held = own.join(classes.select("case_id", "domain", "class"), ["case_id", "domain"]).drop("domain")
+    return classes.drop("domain"), held
+
+
+def linked_classes(classes: DataFrame, held: DataFrame, conf: Conf = Conf()) -> DataFrame:
+    """(case_id, c1, c2, pairs), c1 < c2: classes whose domains share enough accounts for one template, and how many pairs of domains that is."""
+    a, b = held.withColumnRenamed("class", "c1"), held.withColumnRenamed("class", "c2")
+    shared = a.join(b, ["case_id", *ACCOUNT]).where("c1 < c2").groupBy("case_id", "c1", "c2").agg(F.count("*").alias("shared")).where(F.col("shared") >= conf.template_min_shared)
+    side = lambda n: classes.select("case_id", F.col("class").alias(f"c{n}"), F.col("members").alias(f"m{n}"), F.col("size").alias(f"s{n}"))
+    sized = shared.join(side(1), ["case_id", "c1"]).join(side(2), ["case_id", "c2"])
+    return sized.where(F.col("shared") >= conf.template_overlap * F.least("s1", "s2")).select("case_id", "c1", "c2", (F.col("m1") * F.col("m2")).alias("pairs"))
 
 
 def pair_link_counts(accounts: DataFrame, conf: Conf = Conf()) -> DataFrame:
-    """(case_id, account, linked): linked pairs among an account's carriers, without its pairs ever being listed for all carriers."""
-    own = accounts.select("case_id", "domain", *ACCOUNT).distinct()
-    links = linked_pairs(accounts, conf)
-    first = links.join(own.withColumnRenamed("domain", "d1"), ["case_id", "d1"])
-    both = first.join(own.withColumnRenamed("domain", "d2"), ["case_id", "d2", *ACCOUNT], "left_semi")
-    return both.groupBy("case_id", *ACCOUNT).agg(F.count("*").alias("linked"))
+    """(case_id, account, linked): linked pairs among an account's carriers, counted by classes of equal files and never listed."""
+    classes, held = account_classes(accounts)
+    links = linked_classes(classes, held, conf)
+    first = links.join(held.withColumnRenamed("class", "c1"), ["case_id", "c1"])
+    both = first.join(held.withColumnRenamed("class", "c2"), ["case_id", "c2", *ACCOUNT], "left_semi").select("case_id", *ACCOUNT, "pairs")
+    # domains of one class share all they have
+    alike = classes.where((F.col("members") > 1) & (F.col("size") >= conf.template_min_shared)).select("case_id", "class", (F.col("members") * (F.col("members") - 1) / 2).cast("long").alias("pairs"))
+    within = held.join(alike, ["case_id", "class"]).select("case_id", *ACCOUNT, "pairs")
+    return both.union(within).groupBy("case_id", *ACCOUNT).agg(F.sum("pairs").alias("linked"))
 
 
 def shared_ad_accounts(rows: DataFrame, prevalence: DataFrame | None = None, conf: Conf = Conf()) -> DataFrame:
