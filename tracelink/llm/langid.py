@@ -27,7 +27,7 @@ MAX_GRAMS = 3_000_000
 #: Characters scored in one go; a longer text is scored alone, whole.
 CHUNK_CHARS = 1 << 20
 #: Rejected: more than this many standard deviations over the mean entropy of held-back texts, and the shorter a text the more.
-REJECT_SIGMA, REJECT_SHORT = 8.0, 12.0
+REJECT_SIGMA, REJECT_SHORT = 14.0, 14.0
 U64 = np.uint64
 _MULTIPLY = U64(0x9E3779B97F4A7C15)
 SPACE = 32
