@@ -83,8 +83,9 @@ def issuance_windows(certs: DataFrame, conf: Conf = Conf()) -> DataFrame:
     return good.orderBy("case_id", F.desc("domain_count"), "window_start")
 
 
-def certificate_authorities(t: CaseTables) -> DataFrame:
-    per = certificates(t, "own_done").where(F.col("issuer") != "").groupBy("case_id", "issuer")
+def certificate_authorities(certs: DataFrame) -> DataFrame:
+    """Issuers of a case's certificates, of `certificates(t, "own_done")`."""
+    per = certs.where(F.col("issuer") != "").groupBy("case_id", "issuer")
     per = per.agg(F.count_distinct("domain").alias("domain_count"), F.count_distinct("ua_id").alias("url_count"), F.count_distinct("serial").alias("cert_count"), sorted_set("domain").alias("domains"), F.min("not_before").alias("earliest_not_before"))
     return per.orderBy("case_id", F.desc("domain_count"), "issuer")
 

@@ -579,3 +579,6 @@ def attach_decisions(spark, sf_dir):
     expected = pages.where("k <> 4").select(F.col("page_id").alias("scan_run_id"), F.array(F.when(F.col("k") == 6, "other.example").otherwise(urls.registrable_domain(urls.hostname("url")))).alias("domains"))
     now = claims.select("dir", F.when(F.col("scan_run_id") % 9 == 7, "y").otherwise("x").alias("digest_now"))
     return integrity.decision_histogram(integrity.attach_decisions(claims, scans, expected, now))
+
+
+from tracelink.plans import function_queries  # noqa: E402, F401  registers its queries
