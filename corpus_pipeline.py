@@ -21,11 +21,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, COLUMNS).where(~F.col("rejected")).select(*COLUMNS)
 
 
+#: So many ids at most go to all tasks (some 64 MB); more are joined with the documents.
+BROADCAST_IDS = 2_000_000
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """left_semi or left_anti join on doc_id; texts aren't shuffled for a list of ids whose size is known to be small."""
+    ids = materialise(ids, "stage-ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8: of each component the document with the smallest id stays, once. Null ids stay."""
-    found = ngram_join.ngram_components(docs.select("doc_id", "text"), k=5, tenths=8)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    found = materialise(ngram_join.ngram_components(docs.select("doc_id", "text"), k=5, tenths=8), "stage-components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = materialise(docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id"), "stage-repeated")
+    kept = _by_id(docs, gone.union(repeated).distinct(), "left_anti")
+    once = _by_id(docs, repeated.join(gone, "doc_id", "left_anti"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
