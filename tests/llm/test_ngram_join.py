@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import AWKWARD
-from tracelink.llm.ngram_join import RTree, ngram_components
+from tracelink.llm.ngram_join import RTree, ngram_components, point
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -70,6 +70,17 @@ def test_near_copies_match_brute_force(spark, k, tenths):
     assert rows_of(ngram_components(docs, k, tenths)) == brute(rows, k, tenths)
 
 
+def test_long_documents_and_folded_points(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2060)]
+    rows = [(i, " ".join(base[: rng.randrange(1950, 2060)] + [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([0, 20, 120]))])) for i in range(14)]
+    rows += [(100 + i, " ".join(f"y{rng.randrange(10**6)}" for _ in range(2000 + 20 * i))) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {len(point(np.arange(n, dtype=np.uint64))) for n in (1, 600, 2040, 2060)} == {128, 256, 512, 1024}
+    for tenths in (9, 8):
+        assert rows_of(ngram_components(docs, 3, tenths)) == brute(rows, 3, tenths)
+
+
 def test_awkward_rows(awkward):
     assert rows_of(ngram_components(awkward)) == brute([r[:2] for r in AWKWARD], 3, 9)
 

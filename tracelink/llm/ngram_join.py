@@ -27,13 +27,15 @@ from tracelink.llm.hashing import U64, byte_table, chunks, mix, shingles, word_h
 from tracelink.operators.graph import connected_components
 from tracelink.storage import materialise
 
-#: Coordinates of the points.
+#: Coordinates of the points at least; larger sets have so many that a group holds two to four shingles.
 GROUPS = 128
 #: Members of one side of an R-tree join; larger blocks are joined part by part.
 PART = 1024
 LEAF = 32
 #: Rounds of leaders before the R-trees.
-ROUNDS = 3
+ROUNDS = 2
+#: So many ids of documents to verify at most go to all tasks (some 64 MB); more are joined with the texts.
+BROADCAST_IDS = 2_000_000
 
 
 @lru_cache(maxsize=8)
@@ -44,7 +46,7 @@ def size_classes(tenths: int, most: int = 1 << 24) -> tuple[np.ndarray, np.ndarr
     beyond the spare ones, between any two similar sets of at most its largest size.
     """
     low, rows = 1, []
-    grow = 1.5 if tenths >= 9 else 1.27
+    grow = 1.5 if tenths >= 9 else 1.6
     while low < most:
         high = max(low, int(low * grow))
         differ = (10 - tenths) * 2 * high // (10 + tenths)
@@ -79,8 +81,19 @@ def block_keys(values: np.ndarray, tenths: int) -> np.ndarray:
 
 
 def point(values: np.ndarray) -> np.ndarray:
-    """Counts of the shingles per group; not of the groups that make the keys."""
-    return np.bincount((mix(values) >> U64(57)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Counts of the shingles per group; not of the groups that make the keys.
+
+    The number of groups is a power of two and the group a shingle's leading bits, so that pairs of neighbours add up to the
+    counts of half as many groups.
+    """
+    bits = max(GROUPS.bit_length() - 1, (max(1, len(values) // 4) - 1).bit_length())
+    return np.bincount((mix(values) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2")
+
+
+def fold_points(points: list[bytes]) -> np.ndarray:
+    """Points, as they are stored, with as many groups as the one with the fewest."""
+    least = min(map(len, points)) // 2
+    return np.array([np.frombuffer(p, "<u2").reshape(least, -1).sum(1) for p in points], np.int32)
 
 
 def _sets(texts: list[str], k: int, kind: str, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
@@ -92,7 +105,7 @@ def _sets(texts: list[str], k: int, kind: str, lower: bool) -> Iterator[tuple[in
 
 
 def _blocks(k: int, kind: str, lower: bool, tenths: int):
-    """Rows (key, sig, doc, up, n): a row with n per document, and rows of its group keys.
+    """Rows (key, sig, doc, up, n, point): a row with n and its point per document, and rows of its group keys.
 
     up: the smallest id of this batch with the same key, which stands for the others in the shuffle. A row of such another gets a
     key that nothing shares. The row with n has the two halves of the set's digest as key and sig.
@@ -103,10 +116,10 @@ def _blocks(k: int, kind: str, lower: bool, tenths: int):
             ids = batch.column("doc").to_pylist()
             whole: dict[bytes, int] = {}
             sigs, docs = [], []
-            one: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            one: tuple[list, ...] = ([], [], [], [], [], [])
 
-            def add(key, sig, doc, up, n, one=one):
-                for column, value in zip(one, (key, sig, doc, up, n), strict=True):
+            def add(key, sig, doc, up, n, point, one=one):
+                for column, value in zip(one, (key, sig, doc, up, n, point), strict=True):
                     column.append(value)
 
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
@@ -115,20 +128,20 @@ def _blocks(k: int, kind: str, lower: bool, tenths: int):
             for at, values in _sets([texts[i] for i in order], k, kind, lower):
                 doc, n = ids[order[at]], len(values)
                 if doc is None or n == 0:
-                    add(int(lonely[at]), -1, doc, doc, n)
+                    add(int(lonely[at]), -1, doc, doc, n, None)
                     continue
                 halves = np.array([np.sum(mix(values + U64(n)), dtype=U64), np.sum(mix(values ^ U64(0x5851F42D4C957F2D)), dtype=U64)])
                 key, sig = mix(halves).view(np.int64).tolist()
                 up = whole.setdefault(halves.tobytes(), doc)
                 if up != doc:
-                    add(int(lonely[at]), sig, doc, up, n)
+                    add(int(lonely[at]), sig, doc, up, n, None)
                     continue
-                add(key, sig, doc, None, n)
+                add(key, sig, doc, None, n, point(values).tobytes())
                 found = block_keys(values, tenths)
                 sigs.append(found)
                 docs.append(np.full(len(found), doc, np.int64))
-            columns = [np.array(c, np.int64) for c in (one[0], one[1])] + [pa.array(c, pa.int64()) for c in one[2:]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "sig", "doc", "up", "n"])
+            columns = [*[pa.array(c, pa.int64()) for c in one[:5]], pa.array(one[5], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "sig", "doc", "up", "n", "point"])
             if sigs and sum(map(len, sigs)):
                 sig, doc = np.concatenate(sigs).view(np.int64), np.concatenate(docs)
                 by = np.lexsort((doc, sig))
@@ -139,36 +152,68 @@ def _blocks(k: int, kind: str, lower: bool, tenths: int):
                 key = np.where(same, mix(sig.view(U64) + mix(doc.view(U64))).view(np.int64), sig)
                 use = head | same
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[use]), pa.array(sig[use]), pa.array(doc[use]), pa.array(up[use], mask=~same[use]), pa.nulls(int(use.sum()), pa.int64())],
-                    ["key", "sig", "doc", "up", "n"],
+                    [pa.array(key[use]), pa.array(sig[use]), pa.array(doc[use]), pa.array(up[use], mask=~same[use]), pa.nulls(int(use.sum()), pa.int64()), pa.nulls(int(use.sum()), pa.binary())],
+                    ["key", "sig", "doc", "up", "n", "point"],
                 )
 
     return run
 
 
-def _points(k: int, kind: str, lower: bool):
+def _set_rows(k: int, kind: str, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
-            rows = [(ids[i], len(v), point(v), v.view(np.int64)) for i, v in _sets(texts, k, kind, lower)]
-            for at in range(0, len(rows), 500):
-                part = rows[at : at + 500]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.list_(pa.int32())), pa.array([r[3] for r in part], pa.list_(pa.int64()))],
-                    ["doc", "n", "point", "set"],
-                )
+            for at in range(0, len(ids), 500):
+                rows = [(ids[at + i], v.view(np.int64)) for i, v in _sets(texts[at : at + 500], k, kind, lower)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc", "set"])
 
     return run
 
 
-def _verified(pairs: DataFrame, points: DataFrame, tenths: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: summed minima first, then the exact overlap."""
-    a, b = (points.select(*[F.col(c).alias(f"{c}_{side}") for c in points.columns]) for side in "ab")
-    joined = pairs.join(a, pairs.a == a.doc_a).join(b, F.col("b") == F.col("doc_b"))
-    similar = lambda both: 10 * both >= tenths * (F.col("n_a") + F.col("n_b") - both)
-    bound = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    exact = F.size(F.array_intersect("set_a", "set_b"))
-    return joined.where(F.when(similar(bound), similar(exact)).otherwise(F.lit(False))).select("a", "b")
+def _bounded(tenths: int):
+    """Pairs whose summed coordinate minima may be overlap enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).tolist()
+            keep = []
+            for total, a, b in zip(sizes, batch.column("point_a"), batch.column("point_b"), strict=True):
+                p = fold_points([a.as_py(), b.as_py()])
+                shared = int(np.minimum(p[0], p[1]).sum())
+                keep.append(10 * shared >= tenths * (total - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+class Verifier:
+    """Finds which pairs of documents are similar: by summed minima of the points, then by the sets, made of the texts of what is left."""
+
+    def __init__(self, plain: DataFrame, points: DataFrame, k: int, tenths: int, kind: str, lower: bool):
+        self.plain, self.points, self.tenths, self.sets_of = plain, points, tenths, _set_rows(k, kind, lower)
+
+    def _sides(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        a, b = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "ab")
+        return pairs.join(a, pairs.a == a.doc_a).join(b, F.col("b") == F.col("doc_b"))
+
+    def _similar(self, both, a, b):
+        return 10 * both >= self.tenths * (a + b - both)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The similar ones of distinct pairs (a, b)."""
+        sized = 10 * F.least("n_a", "n_b") >= self.tenths * F.greatest("n_a", "n_b")
+        sides = self._sides(pairs, self.points).where(sized).select("a", "b", "n_a", "n_b", "point_a", "point_b")
+        near = sides.mapInArrow(_bounded(self.tenths), "a long, b long").distinct()
+        near = materialise(near, "ngram-near")
+        needed = materialise(near.select(F.col("a").alias("doc")).union(near.select("b")).distinct(), "ngram-needed")
+        if needed.count() <= BROADCAST_IDS:
+            some = self.plain.join(F.broadcast(needed), "doc", "left_semi")
+        else:
+            some = self.plain.join(needed, "doc", "left_semi")
+        sets = materialise(some.mapInArrow(self.sets_of, "doc long, set array<long>"), "ngram-sets", compression="lz4")
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        found = self._sides(near, sets).where(self._similar(both, F.size("set_a"), F.size("set_b"))).select("a", "b").distinct()
+        return materialise(found, "ngram-links")
 
 
 class RTree:
@@ -215,13 +260,16 @@ def _tree_join(tenths: int):
         a, b = group.filter(pa.array(side != 1)).to_pydict(), group.filter(pa.array(side != 0)).to_pydict()
         found: tuple[list, list] = ([], [])
         if a["doc"] and b["doc"]:
-            tree = RTree(np.array(b["point"], np.int32))
+            points = fold_points(a["point"] + b["point"])
+            mine, other = points[: len(a["doc"])], points[len(a["doc"]) :]
             size, comp, doc = np.array(b["n"]), np.array(b["component"]), np.array(b["doc"])
-            for d, n, c, p in zip(a["doc"], a["n"], a["component"], a["point"], strict=True):
+            # a tree of a leaf or two is its points
+            tree = RTree(other) if len(other) > 2 * LEAF else None
+            for d, n, c, p in zip(a["doc"], a["n"], a["component"], mine, strict=True):
                 # similar sets of n and at least tenths / 10 of n shingles share this many
-                hit = tree.search(np.array(p, np.int32), tenths * n / 10 - 1e-9)
+                hit = np.flatnonzero(comp != c) if tree is None else tree.search(p, tenths * n / 10 - 1e-9)
                 hit = hit[comp[hit] != c]
-                shared = np.minimum(tree.points[hit], np.array(p, np.int32)).sum(1)
+                shared = np.minimum(other[hit], p).sum(1)
                 hit = hit[10 * shared >= tenths * (n + size[hit] - shared)]
                 found[0].extend(np.minimum(doc[hit], d).tolist())
                 found[1].extend(np.maximum(doc[hit], d).tolist())
@@ -260,21 +308,18 @@ def ngram_components(
     links, each with its own count; a null id links with nothing and has a null component. Other columns are not read.
     """
     plain = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = plain.mapInArrow(_blocks(k, kind, lower, tenths), "key long, sig long, doc long, up long, n long")
+    rows = plain.mapInArrow(_blocks(k, kind, lower, tenths), "key long, sig long, doc long, up long, n long, point binary")
     block = Window.partitionBy("key", "sig")
     stars = rows.withColumn("leader", F.coalesce("up", F.min("doc").over(block)))
-    stars = stars.where("n IS NOT NULL OR leader <> doc").select("sig", "doc", "leader", "n")
+    stars = stars.where("n IS NOT NULL OR leader <> doc").select("sig", "doc", "leader", "n", "point")
     stars = materialise(stars, "ngram-stars", compression="zstd")
 
     equal = stars.where("n IS NOT NULL AND leader <> doc").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     near = stars.where("n IS NULL").select("sig", F.col("leader").alias("a"), F.col("doc").alias("b"))
     pairs = materialise(near.select("a", "b").distinct(), "ngram-pairs")
-    needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    # rows that repeat an id and a text go in the partition that the join has made
-    some = plain.join(needed, "doc", "left_semi").dropDuplicates(["doc", "text"])
-    points = some.mapInArrow(_points(k, kind, lower), "doc long, n long, point array<int>, set array<long>")
-    points = materialise(points, "ngram-points", compression="lz4")
-    links = materialise(_verified(pairs, points, tenths), "ngram-links")
+    points = stars.where("point IS NOT NULL").select("doc", "n", "point")
+    verifier = Verifier(plain, points, k, tenths, kind, lower)
+    links = verifier.links(pairs)
     components = connected_components(equal.union(links))
 
     # blocks of three and more that hold several components have pairs that weren't compared; of blocks with the same members one is enough
@@ -290,13 +335,13 @@ def ngram_components(
         led = open_.join(materialise(open_.groupBy("sig").agg(first.alias("l")), "ngram-leaders"), "sig").where("component <> l.of")
         fresh = led.select(F.least("doc", "l.leader").alias("a"), F.greatest("doc", "l.leader").alias("b")).distinct()
         fresh = materialise(fresh.join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
-        components = _merged(components, materialise(_verified(fresh, points, tenths), "ngram-links"))
+        components = _merged(components, verifier.links(fresh))
         pairs = pairs.union(fresh)
     open_ = materialise(_split(members, components), "ngram-open")
     if not open_.isEmpty():
         sized = open_.groupBy("sig").agg(F.ceil(F.count("*") / PART).alias("parts"))
         dealt = open_.join(sized, "sig").withColumn("part", F.pmod(F.xxhash64("doc"), "parts"))
-        dealt = dealt.join(points.select("doc", "n", "point"), "doc")
+        dealt = dealt.join(points, "doc")
         # a pair of parts (i, j), i <= j, meets in one group; side 0: of part i, 1: of part j, 2: of both
         later = F.transform(F.sequence("part", F.col("parts") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.when(j == F.col("part"), 2).otherwise(0).alias("side")))
         earlier = F.when(F.col("part") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("part") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"))))
@@ -304,7 +349,7 @@ def ngram_components(
         dealt = dealt.withColumn("to", F.explode(to)).select("sig", "to.*", "doc", "n", "point", "component")
         more = dealt.groupBy("sig", "i", "j").applyInArrow(_tree_join(tenths), "a long, b long")
         more = materialise(more.where("a <> b").distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-more")
-        components = _merged(components, materialise(_verified(more, points, tenths), "ngram-links"))
+        components = _merged(components, verifier.links(more))
     listed = stars.where("n IS NOT NULL").select(F.col("doc").alias(id), F.col("n").alias("n_shingles"))
     joined = listed.join(components, listed[id] == components.node, "left")
     return joined.select(id, "n_shingles", F.coalesce("component", id).alias("component_id"))
