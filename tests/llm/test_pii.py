@@ -68,3 +68,21 @@ def test_contexts_find_what_patterns_miss(spark):
 
 def test_empty_table(nothing):
     assert find_pii(nothing).count() == 0
+
+
+def test_contexts_find_spaced_phones_and_cards(spark):
+    call, pay = "you can call our desk on {} from nine to five", "they charged the card number {} for this order again"
+    phones = [f"+1 (743) 555-38{i}" for i in range(10, 22)]
+    cards = [c for c in (f"4929 1234 5678 {i}" for i in range(1000, 1200)) if luhn(c.replace(" ", ""))][:12]
+    rows = list(enumerate([call.format(x) for x in phones] + [pay.format(x) for x in cards]))
+    # too few digits for a phone, a wrong check digit, the same after another number, and the same elsewhere
+    short, wrong = "+1 (74) 5-3824", "4929 1234 5678 1001"
+    assert not luhn(wrong.replace(" ", ""))
+    more = [call.format(short), pay.format(wrong), pay.format(f"77 {wrong}"), f"chapter {wrong} of the book"]
+    rows += [(100 + i, t) for i, t in enumerate(more)]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, kind, value in ((100, "phone", short), (101, "card", wrong), (102, "card", wrong)):
+        at = dict(rows)[doc].index(value)
+        assert got[doc].spans == f"{kind}:{at}:{at + len(value)}" and got[doc].n_added == 1
+    assert got[103].spans == ""
+    assert all(got[i].n_added == 0 for i in range(24))

@@ -1,6 +1,6 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction for what they miss.
 
-Seeds are the matches of the fixed patterns. Their surroundings give lexical patterns (the two words before, the two
+Seeds are the matches of the fixed patterns, blanks inside included. Their surroundings give lexical patterns (the two words before, the two
 words after, the word on either side). Over the graph of patterns and distinct values a few rounds alternate:
 a pattern is worth the mean score of its values, a value the best worth of its patterns; values that carry enough
 worth count as found and strengthen their patterns in turn. Only DataFrame functions are used.
@@ -8,7 +8,7 @@ worth count as found and strengthen their patterns in turn. Only DataFrame funct
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelink.storage import materialise
@@ -24,7 +24,7 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Words that hold a digit or an at sign are what contexts may point at.
+#: Words that hold a digit or an at sign, and runs of them with only blanks between, are what contexts may point at.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 ROUNDS = 3
@@ -93,42 +93,69 @@ def _matches(docs: DataFrame, text: str) -> DataFrame:
             f"_m_{kind}": F.when(here, F.regexp_extract_all("_body", F.lit(pattern), F.lit(0))).otherwise(none),
             f"_g_{kind}": F.when(here, F.split("_body", pattern, -1)).otherwise(none),
         })
-    located = some.select("doc_id", "_text", "_g_candidate", *[_located(F.col("_body"), F.col(f"_m_{k}"), F.col(f"_g_{k}")).alias(f"_at_{k}") for k in patterns])
-    near = lambda g, side: F.when(F.length(g) > 80, F.substring(g, *((-80, 80) if side < 0 else (1, 80)))).otherwise(g)
+    located = some.select("doc_id", "_text", "_body", "_g_candidate", *[_located(F.col("_body"), F.col(f"_m_{k}"), F.col(f"_g_{k}")).alias(f"_at_{k}") for k in patterns])
+    around = lambda start, end: (
+        F.lower(F.substring("_body", F.greatest(start - 80, F.lit(0)).cast("int") + 1, F.least(start, F.lit(80)).cast("int"))).alias("before"),
+        F.lower(F.substring("_body", end.cast("int") + 1, F.lit(80))).alias("after"),
+    )
+    # what joins a word to the candidate before it: blanks only, or null
+    gap = lambda m: F.get("_g_candidate", m["n"])
     candidates = F.transform(
         "_at_candidate",
-        lambda m: F.struct(
-            m["start"].alias("start"), m["value"].alias("value"),
-            F.lower(near(F.get("_g_candidate", m["n"]), -1)).alias("before"), F.lower(near(F.get("_g_candidate", m["n"] + 1), 1)).alias("after"),
-        ),
-    )
-    base = F.array_sort(F.concat(*[_spans(k) for k in KINDS]))
-    return located.select("doc_id", "_text", base.cast(SPAN).alias("_base"), candidates.alias("_candidates"))
+        lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value"), F.when((m["n"] > 0) & gap(m).rlike(r"\A\x20+\z"), gap(m)).alias("joint"), *around(m["start"], m["start"] + F.length(m["value"]))),
+    )
+    base = F.array_sort(F.concat(*[_spans(k) for k in KINDS])).cast(SPAN)
+    found = located.select("doc_id", "_text", "_body", base.alias("_base"), candidates.alias("_candidates"))
+    cut = lambda s: F.substring("_body", s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))
+    seeds = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), cut(s).alias("value"), *around(s["start"], s["end"])))
+    return found.select("doc_id", "_text", "_base", "_candidates", seeds.alias("_seeds"))
 
 
-def _discovered(rows: DataFrame) -> DataFrame:
-    """(doc_id, _text, spans): spans that contexts give and the fixed patterns don't."""
-    one = rows.where(F.size("_candidates") > 0).select("doc_id", "_text", "_base", F.explode("_candidates").alias("c"))
+def _patterns(before: Column, after: Column) -> Column:
+    words = lambda side: F.filter(F.split(side, r"\s+"), lambda w: w != "")
+    l1, l2 = F.try_element_at(words(before), F.lit(-1)), F.try_element_at(words(before), F.lit(-2))
+    r1, r2 = F.try_element_at(words(after), F.lit(1)), F.try_element_at(words(after), F.lit(2))
+    return F.array_compact(F.array(F.concat(l2, F.lit(" "), l1, F.lit(" _")), F.concat(F.lit("_ "), r1, F.lit(" "), r2), F.concat(l1, F.lit(" _ "), r1)))
+
+
+def _runs(rows: DataFrame, most: int) -> DataFrame:
+    """(doc_id, _text, start, end, value, before, after): words with digits and runs of up to `most` of them, outside the fixed patterns' spans."""
+    one = rows.where(F.size("_candidates") > 0).select("doc_id", "_text", "_base", F.posexplode("_candidates").alias("i", "c"), "_candidates")
+    one = one.select("doc_id", "_text", "_base", F.slice("_candidates", F.col("i") + 1, most).alias("run"))
+    free = F.filter(F.sequence(F.lit(2), F.size("run")), lambda k: F.get("run", k - 1)["joint"].isNull())
+    longest = F.when(F.size("run") > 1, F.coalesce(F.get(free, F.lit(0)) - 1, F.size("run"))).otherwise(1)
+    one = one.withColumn("k", F.explode(F.sequence(F.lit(1), longest)))
+    tail = F.transform(F.slice("run", 2, F.col("k") - 1), lambda c: F.concat(c["joint"], c["value"]))
+    first, last = F.get("run", F.lit(0)), F.get("run", F.col("k") - 1)
+    one = one.select("doc_id", "_text", "_base", first["start"].alias("at"), F.concat(first["value"], F.array_join(tail, "")).alias("whole"), first["before"].alias("before"), last["after"].alias("after"))
     # a word's edges often hold punctuation that isn't part of the identifier
-    lead = F.length(F.regexp_extract("c.value", r"^[\"'(\[{<,;:=]*", 0))
-    value = F.regexp_replace("c.value", r"^[\"'(\[{<,;:=]+|[\"')\]}>,;:.!?]+$", "")
-    one = one.select("doc_id", "_text", "_base", (F.col("c.start") + lead).alias("start"), value.alias("value"), "c.before", "c.after")
+    lead = F.length(F.regexp_extract("whole", r"^[\"'(\[{<,;:=]*", 0))
+    value = F.regexp_replace("whole", r"^[\"'(\[{<,;:=]+|[\"')\]}>,;:.!?]+$", "")
+    one = one.select("doc_id", "_text", "_base", (F.col("at") + lead).alias("start"), value.alias("value"), "before", "after")
     one = one.where(F.length("value") > 0).withColumn("end", F.col("start") + F.length("value"))
-    over = F.filter("_base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    seed = F.filter(over, lambda s: (s["start"] == F.col("start")) & (s["end"] == F.col("end")))
-    one = one.withColumns({"seed": F.get(seed, F.lit(0))["kind"], "taken": F.size(over) > 0})
-    words = lambda side: F.filter(F.split(side, r"\s+"), lambda w: w != "")
-    one = one.withColumns({"_l": words("before"), "_r": words("after")})
-    l1, l2 = F.try_element_at("_l", F.lit(-1)), F.try_element_at("_l", F.lit(-2))
-    r1, r2 = F.try_element_at("_r", F.lit(1)), F.try_element_at("_r", F.lit(2))
-    three = F.array(F.concat(l2, F.lit(" "), l1, F.lit(" _")), F.concat(F.lit("_ "), r1, F.lit(" "), r2), F.concat(l1, F.lit(" _ "), r1))
-    mentions = one.withColumns({"patterns": F.array_compact(three), "shape": _shape(F.col("value"))}).drop("_base", "_l", "_r", "before", "after")
-    mentions = materialise(mentions, "pii-mentions")
-
-    shapes = mentions.where("seed IS NOT NULL").groupBy("seed", "shape").agg(F.lit(1).alias("one")).select(F.col("seed").alias("kind"), "shape")
-    # a value can only be of a kind whose seeds have its shape
-    typed = mentions.join(shapes, "shape")
-    edges = typed.select("kind", "value", "patterns", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0).alias("known"))
+    return one.where(~F.exists("_base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))).drop("_base")
+
+
+def _outer(found: DataFrame) -> DataFrame:
+    """Without spans inside a longer one of the same text."""
+    same = found.groupBy("doc_id", "_text", "start", "end").agg(F.collect_set("kind").alias("kinds"))
+    before = Window.partitionBy("doc_id", "_text").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    same = same.withColumn("reach", F.max("end").over(before)).where("reach IS NULL OR reach < end")
+    return same.select("doc_id", "_text", "start", "end", F.explode("kinds").alias("kind"))
+
+
+def _discovered(rows: DataFrame) -> DataFrame:
+    """(doc_id, _text, spans): spans that contexts give and the fixed patterns don't."""
+    seeds = rows.where(F.size("_seeds") > 0).select(F.explode("_seeds").alias("s")).select("s.*")
+    seeds = seeds.select("kind", "value", _patterns(F.col("before"), F.col("after")).alias("patterns"), _shape(F.col("value")).alias("shape"))
+    seeds = materialise(seeds, "pii-seeds")
+    # a value can only be of a kind whose seeds have its shape, so no run needs more words than these
+    words = F.size(F.regexp_extract_all("shape", F.lit(CANDIDATE), F.lit(0)))
+    most = seeds.agg(F.max(words)).first()[0] or 1
+    shapes = seeds.select("kind", "shape").distinct()
+    typed = _runs(rows, most).withColumn("shape", _shape(F.col("value"))).join(shapes, "shape")
+    typed = materialise(typed.select("doc_id", "_text", "start", "end", "kind", "value", _patterns(F.col("before"), F.col("after")).alias("patterns")), "pii-mentions")
+    edges = seeds.select("kind", "value", "patterns", F.lit(1.0).alias("known")).unionByName(typed.select("kind", "value", "patterns", F.lit(0.0).alias("known")))
     edges = edges.select("kind", "value", "known", F.explode("patterns").alias("pattern"))
     edges = edges.groupBy("kind", "pattern", "value").agg(F.max("known").alias("known"))
     # a pattern that meets fewer distinct values can never speak
@@ -145,8 +172,8 @@ def _discovered(rows: DataFrame) -> DataFrame:
         scores = materialise(scores, "pii-scores")
     # the last worths place the spans: a mention counts where one of its own patterns speaks
     speaking = materialise(worth.select("kind", "pattern"), "pii-patterns")
-    fresh = typed.where(~F.col("taken")).select("doc_id", "_text", "start", "end", "kind", F.explode("patterns").alias("pattern"))
-    fresh = fresh.join(speaking, ["kind", "pattern"]).select("doc_id", "_text", "start", "end", "kind").distinct()
+    fresh = typed.select("doc_id", "_text", "start", "end", "kind", F.explode("patterns").alias("pattern"))
+    fresh = _outer(fresh.join(speaking, ["kind", "pattern"]).select("doc_id", "_text", "start", "end", "kind"))
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
     span = F.struct("start", rank.alias("rank"), "kind", "end")
     return fresh.groupBy("doc_id", "_text").agg(F.collect_list(span).cast(SPAN).alias("_more"))
