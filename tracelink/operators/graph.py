@@ -1,31 +1,36 @@
-"""Connected components by min-label contraction."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelink.storage import materialise
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge list; component is the smallest node reachable.
 
-    Each round sends every node to the smallest label among itself and its neighbours, jumps once along
-    those pointers, and renames the edges; loops and duplicates fall away, so the edge list shrinks
-    geometrically and a hub costs one partially aggregated `min`. Nodes of edges with a null end are ignored.
-    A loop edge (x, x) makes x a component of its own.
+    Each round puts the nodes in another order, by a hash of the round and the node; sends every node to the first among itself and
+    its neighbours, jumps once along those pointers, and renames the edges. The last node of a component never stays, so
+    rounds go on until no edge is left; the edge list is expected to shrink geometrically whatever order the ids have, and a hub costs
+    one partially aggregated minimum. At the end representatives give way to the smallest node of each component. Nodes of edges with a
+    null end are ignored. A loop edge (x, x) makes x a component of its own.
     """
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     live = materialise(ends.distinct(), "edges")
     labels = live.select(F.col("u").alias("node")).union(live.select("v")).distinct().withColumn("component", F.col("node"))
     labels = materialise(labels, "labels")
     live = live.where("u <> v")
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            return labels
-        both = live.union(live.select("v", "u"))
-        step = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p"))
+    if live.isEmpty():
+        return labels
+    for turn in count():
+        place = lambda node: F.xxhash64(F.lit(turn), node)  # noqa: B023, E731
+        both = live.union(live.select("v", "u")).withColumn("at", place("v"))
+        step = both.groupBy("u").agg(F.min("at").alias("at"), F.min_by("v", "at").alias("v"))
+        step = step.select("u", F.when(F.col("at") < place("u"), F.col("v")).otherwise(F.col("u")).alias("p"))
         jump = step.alias("s").join(step.alias("t"), F.col("s.p") == F.col("t.u"), "left")
         jump = materialise(jump.select(F.col("s.u").alias("u"), F.coalesce("t.p", "s.p").alias("p")), "jump")
         labels = materialise(
@@ -35,4 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         left, right = jump.select("u", F.col("p").alias("pu")), jump.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         live = live.join(left, "u").join(right, "v").where("pu <> pv")
         live = materialise(live.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
-    raise RuntimeError(f"no convergence in {max_rounds} rounds")
+        if live.isEmpty():
+            break
+    least = labels.groupBy("component").agg(F.min("node").alias("least"))
+    return materialise(labels.join(least, "component").select("node", F.col("least").alias("component")), "labels")
