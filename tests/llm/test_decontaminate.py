@@ -79,3 +79,22 @@ def test_awkward_rows(spark, awkward, nothing):
     assert drop_leaks(awkward, items).count() == len(AWKWARD) - 2
     none = spark.createDataFrame([], items.schema)
     assert find_leaks(nothing, items).count() == 0 and find_leaks(awkward, none).count() == 0 and drop_leaks(awkward, none).count() == len(AWKWARD)
+
+
+def test_slabs_change_nothing(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcd") + str(rng.randrange(40))
+    common = [" ".join(word() for _ in range(12)) for _ in range(3)]
+    items = [(i, " ".join([rng.choice(common), *(word() for _ in range(rng.randrange(8, 50)))])) for i in range(60)] + [(70, "yes"), (71, ""), (72, None)]
+    docs = [(0, "yes"), (1, None), (2, "")]
+    for d in range(3, 120):
+        item = items[rng.randrange(60)][1].split()
+        for _ in range(rng.randrange(4)):
+            item[rng.randrange(len(item))] = word()
+        docs.append((d, " ".join([word(), rng.choice(common), *item, rng.choice(common)])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, find_leaks(frame, bench).collect()))
+    assert len(want) > 40 and sorted(map(tuple, find_leaks(frame, bench, 2000).collect())) == want
+    clean = drop_leaks(frame, bench, 2000)
+    assert clean.columns == ["doc_id", "text"] and {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {r[0] for r in want}

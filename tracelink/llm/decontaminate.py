@@ -6,13 +6,14 @@ item's: fingerprints within the radius agree entirely in one of radius + 1 bit b
 what is within the radius is verified by the exact weighted-shingle similarity.
 
 The benchmark is read in slabs of bounded size, each held by all tasks while one pass over the documents compares
-them with it; a benchmark of any size takes so many passes.
+them with it; a benchmark of any size takes so many passes. Weights are of the whole benchmark: where there are several slabs, its
+shingles are counted first, and documents carry the counts of the shingles that they share with any item.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelink.llm.hashing import U64, byte_table, chunks, fold, mix, shingles, word_hashes
+from tracelink.storage import materialise
 
 K, SIMILAR = 5, 0.8
 #: At similarity 0.8 two 64-bit fingerprints differ in 9.7 bits, give or take 2.9; near the threshold 0.2 in 100 are missed.
@@ -28,6 +30,8 @@ RADIUS = 18
 SLAB_BYTES = 8 << 20
 #: Bits of the first, approximate look-up of a shingle.
 BLOOM = 22
+#: Column of a document's shingles that items hold, and their counts: two rows of long integers. Only with several slabs.
+COUNTED = "_counted_shingles"
 MATCH = "item_id long, similarity double, start_word long, n_words long, distance int"
 
 
@@ -58,14 +62,31 @@ class Slab:
     weights: np.ndarray
     other: float
     bloom: np.ndarray
+    total: int
 
     def weigh(self, values: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
         return np.where(self.keys[at] == values, self.weights[at], self.other)
 
 
-def slab_of(rows: list[tuple[int, str | None]]) -> Slab | None:
-    """Weights fall with the number of items that hold a shingle; a shingle of no item weighs most. Items without words are left out."""
+@dataclass
+class Counts:
+    """Of sorted shingles, how many of the benchmark's `total` items hold each."""
+
+    keys: np.ndarray
+    held: np.ndarray
+    total: int
+
+    def weigh(self, values: np.ndarray) -> np.ndarray:
+        held = np.ones(len(values))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
+            held = np.where(self.keys[at] == values, self.held[at], 1)
+        return 1 + np.log(self.total / held)
+
+
+def slab_of(rows: list[tuple[int, str | None]], counts: Counts | None = None) -> Slab | None:
+    """Weights fall with the number of items that hold a shingle, in `counts` or else of `rows`; a shingle of no item weighs most. Items without words are left out."""
     table = byte_table("alnum")
     ids, words, ordered = [], [], []
     for first, encoded in chunks([(t or "").lower() for _, t in rows]):
@@ -83,16 +104,16 @@ def slab_of(rows: list[tuple[int, str | None]]) -> Slab | None:
     by = np.lexsort((place, item, flat))
     flat, item, place = flat[by], item[by], place[by]
     keys, begins = np.unique(flat, return_index=True)
-    held = np.array([len(np.unique(x)) for x in np.split(item, begins[1:])])
-    weights = 1 + np.log(len(ids) / held)
+    counts = counts or Counts(keys, np.array([len(np.unique(x)) for x in np.split(item, begins[1:])]), len(ids))
+    weights = counts.weigh(keys)
     bloom = np.zeros(1 << BLOOM, bool)
     bloom[(keys >> U64(64 - BLOOM)).astype(np.int64)] = True
-    slab = Slab(ids, words, [np.unique(x) for x in ordered], [], keys, np.append(begins, len(flat)), item, place, weights, 1 + math.log(len(ids)), bloom)
+    slab = Slab(ids, words, [np.unique(x) for x in ordered], [], keys, np.append(begins, len(flat)), item, place, weights, 1 + math.log(counts.total), bloom, counts.total)
     slab.prints = [simhash(x, slab.weigh(x)) for x in slab.sets]
     return slab
 
 
-def _best(slab: Slab, masks: np.ndarray, run: np.ndarray, n_words: int, hits: np.ndarray) -> Iterator[tuple]:
+def _best(slab: Slab, masks: np.ndarray, run: np.ndarray, n_words: int, hits: np.ndarray, weigh: Callable) -> Iterator[tuple]:
     """(item, similarity, start, words, distance) of the best verified window of each item that `hits` (places in run) touch."""
     at = np.searchsorted(slab.keys, run[hits])
     sizes = slab.begins[at + 1] - slab.begins[at]
@@ -106,7 +127,7 @@ def _best(slab: Slab, masks: np.ndarray, run: np.ndarray, n_words: int, hits: np
         total = goal_weights.sum()
         for start in own.tolist():
             window = np.unique(run[start : start + size])
-            weights = slab.weigh(window)
+            weights = weigh(window)
             apart = slab.prints[item] ^ simhash(window, weights)
             distance = apart.bit_count()
             if distance > RADIUS or not ((U64(apart) & masks) == 0).any():
@@ -119,8 +140,17 @@ def _best(slab: Slab, masks: np.ndarray, run: np.ndarray, n_words: int, hits: np
             yield best
 
 
-def _matches(slab: Slab, texts: list[str | None]) -> Iterator[tuple[int, tuple]]:
-    """(index of the text, match)."""
+def _matches(slab: Slab, batch: pa.RecordBatch) -> Iterator[tuple[int, tuple]]:
+    """(index of the row, match)."""
+    texts = batch.column("text").to_pylist()
+    counted = batch.column(COUNTED).to_pylist() if COUNTED in batch.schema.names else None
+
+    def weigher(i: int) -> Callable:
+        if counted is None:
+            return slab.weigh
+        keys, held = np.frombuffer(counted[i], np.int64).reshape(2, -1)
+        return Counts(keys.view(U64), held, slab.total).weigh
+
     table, masks = byte_table("alnum"), _blocks(RADIUS)
     for first, encoded in chunks([(t or "").lower() for t in texts]):
         words, offsets = word_hashes(encoded, table)
@@ -132,31 +162,92 @@ def _matches(slab: Slab, texts: list[str | None]) -> Iterator[tuple[int, tuple]]
         near, owner = near[fits], owner[fits]
         for i in np.unique(owner).tolist():
             a, b = int(offsets[i]), int(offsets[i + 1])
-            for match in _best(slab, masks, value[a : b - K + 1], b - a, near[owner == i] - a):
+            for match in _best(slab, masks, value[a : b - K + 1], b - a, near[owner == i] - a, weigher(first + i)):
                 yield first + i, match
         for i in np.flatnonzero((np.diff(offsets) < K) & (np.diff(offsets) > 0)).tolist():
             run = fold(words[offsets[i] : offsets[i + 1]], int(offsets[i + 1] - offsets[i]))
             if run[0] in slab.keys:
-                for match in _best(slab, masks, run, int(offsets[i + 1] - offsets[i]), np.zeros(1, np.int64)):
+                for match in _best(slab, masks, run, int(offsets[i + 1] - offsets[i]), np.zeros(1, np.int64), weigher(first + i)):
                     yield first + i, match
 
 
-def _slabs(benchmark: DataFrame, slab_bytes: int) -> Iterator[Slab]:
+def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text."""
+    table = byte_table("alnum")
+    for _, encoded in chunks([(t or "").lower() for t in texts]):
+        yield from map(np.unique, shingles(*word_hashes(encoded, table), K))
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = list(_sets(batch.column("text").to_pylist()))
+        sizes = [len(x) for x in sets]
+        number = np.repeat(batch.column("number").to_numpy(zero_copy_only=False), sizes).astype(np.int64)
+        first = np.concatenate([np.arange(n) == 0 for n in sizes] or [np.zeros(0, bool)])
+        flat = np.concatenate(sets or [np.zeros(0, U64)]).astype(U64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(flat), pa.array(first)], ["number", "shingle", "first"])
+
+
+def _counted_rows(shared):
+    """Adds to the column COUNTED what the counts of `shared` have of a text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            out = []
+            for old, values in zip(batch.column(COUNTED).to_pylist(), _sets(batch.column("text").to_pylist()), strict=True):
+                at = np.minimum(np.searchsorted(counts.keys, values), len(counts.keys) - 1)
+                at = at[counts.keys[at] == values]
+                new = np.stack([counts.keys[at].view(np.int64), counts.held[at]])
+                both = np.concatenate([np.frombuffer(old, np.int64).reshape(2, -1), new], axis=1)
+                out.append(np.ascontiguousarray(both[:, np.argsort(both[0].view(U64))]).tobytes())
+            place = batch.schema.get_field_index(COUNTED)
+            yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.schema.field(place).type))
+
+    return run
+
+
+def _counts(frame: DataFrame, total: int) -> Counts:
+    found = frame.select("shingle", "held").toArrow()
+    keys, held = (found.column(c).to_numpy() for c in ("shingle", "held"))
+    by = np.argsort(keys.view(U64))
+    return Counts(keys[by].view(U64), held[by], total)
+
+
+def _prepared(docs: DataFrame, benchmark: DataFrame, slab_bytes: int) -> tuple[DataFrame, Iterator[Slab]]:
+    """The documents, with the column COUNTED where there are several slabs, and the slabs."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-total // slab_bytes)
-    for number in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == number).collect()
-        slab = slab_of([(r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id, r.text))])
-        if slab:
-            yield slab
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = -(-size // slab_bytes)
+    items = items.withColumn("number", F.pmod(F.xxhash64("item_id", "text"), F.lit(count or 1)))
+    counts = lambda number: None
+    if count > 1:
+        rows = materialise(items.mapInArrow(_shingle_rows, "number long, shingle long, first boolean"), "benchmark-shingles")
+        total = rows.where("first").count()
+        held = materialise(rows.groupBy("shingle").agg(F.count("*").alias("held")), "benchmark-counts")
+        parts = -(-held.count() * 16 // slab_bytes)
+        docs = docs.withColumn(COUNTED, F.lit(b""))
+        for part in range(parts):
+            here = _counts(held.where(F.pmod("shingle", F.lit(parts)) == part), total)
+            if len(here.keys):
+                docs = docs.mapInArrow(_counted_rows(docs.sparkSession.sparkContext.broadcast(here)), docs.schema)
+        counts = lambda number: _counts(held.join(rows.where(F.col("number") == number).select("shingle").distinct(), "shingle"), total)
+
+    def slabs() -> Iterator[Slab]:
+        for number in range(count):
+            rows = items.where(F.col("number") == number).collect()
+            slab = slab_of([(r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id, r.text))], counts(number))
+            if slab:
+                yield slab
+
+    return docs, slabs()
 
 
 def _match_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            found = list(_matches(shared.value, batch.column("text").to_pylist()))
+            found = list(_matches(shared.value, batch))
             columns = list(zip(*[m for _, m in found], strict=True)) if found else [[]] * 5
             types = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
@@ -177,7 +268,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, slab_bytes: int = SLAB_BYT
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = spark.createDataFrame([], f"doc_id long, {MATCH}")
-    for slab in _slabs(benchmark, slab_bytes):
+    plain, slabs = _prepared(plain, benchmark, slab_bytes)
+    if COUNTED in plain.columns:
+        # every slab reads them; a text without a benchmark's shingle matches nothing
+        plain = materialise(plain.where(F.octet_length(COUNTED) > 0), "counted-texts")
+    for slab in slabs:
         found = found.union(plain.mapInArrow(_match_rows(spark.sparkContext.broadcast(slab)), f"doc_id long, {MATCH}"))
     return found
 
@@ -186,7 +281,7 @@ def _clean_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            keep[[i for i, _ in _matches(shared.value, batch.column("text").to_pylist())]] = False
+            keep[[i for i, _ in _matches(shared.value, batch)]] = False
             yield batch.filter(pa.array(keep))
 
     return run
@@ -194,6 +289,7 @@ def _clean_rows(shared):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, slab_bytes: int = SLAB_BYTES) -> DataFrame:
     """The rows of `docs`, all columns, in which find_leaks finds no item."""
-    for slab in _slabs(benchmark, slab_bytes):
+    docs, slabs = _prepared(docs, benchmark, slab_bytes)
+    for slab in slabs:
         docs = docs.mapInArrow(_clean_rows(docs.sparkSession.sparkContext.broadcast(slab)), docs.schema)
-    return docs
+    return docs.drop(COUNTED)
