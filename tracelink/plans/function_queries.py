@@ -197,7 +197,9 @@ def page_declarations(spark, sf_dir):
     n = F.col("page_id")
     target = F.concat(F.lit("https://c"), n, F.lit(".example/"))
     html = F.concat(F.when(n % 3 == 0, F.concat(F.lit("<meta property='og:url' content='"), target, F.lit("'>"))).otherwise(F.concat(F.lit('<link href="'), target, F.lit('" rel="canonical"><meta property="og:url" content="https://no.example/">'))), F.when(n % 2 == 0, "<title>Just a Moment...</title>").otherwise(""))
-    return _pages(spark, sf_dir).select("page_id", ps.declared_url(html).alias("declared"), ps.is_challenge(html).alias("challenged"))
+    # before the page, as challenges are looked for in the first 5000 characters
+    page = F.concat(html, F.coalesce("html", F.lit("")))
+    return p.read(spark, sf_dir, "pages").select("page_id", ps.declared_url(page).alias("declared"), ps.is_challenge(page).alias("challenged"))
 
 
 @query("SELECT doc_id, replace(text || ' 10.1.1.1 10.1.1.10', '10.1.1.1', 'X') IS NOT NULL AS done, 2 AS n FROM documents")

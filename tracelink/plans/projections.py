@@ -25,10 +25,10 @@ def _page_html(host: Column) -> Column:
 
 
 def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, host, html)."""
+    """(page_id, host, html): whole pages with a snippet after each."""
     from tracelink.functions.urls import hostname
 
-    return read(spark, sf_dir, "pages").withColumn("host", hostname("url")).select("page_id", "host", _page_html(F.col("host")).alias("html"))
+    return read(spark, sf_dir, "pages").withColumn("host", hostname("url")).select("page_id", "host", F.concat(F.coalesce("html", F.lit("")), _page_html(F.col("host"))).alias("html"))
 
 
 def case_tables(spark: SparkSession, sf_dir: str) -> CaseTables:
