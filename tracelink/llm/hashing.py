@@ -6,12 +6,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _FOLD = U64(0xD6E8FEB86659FD93)
-#: Bytes hashed in one go; a longer text is hashed alone, whole.
-CHUNK_BYTES = 2 << 20
+#: Bytes hashed in one go; a longer text is hashed in pieces of so many that end between words.
+CHUNK_BYTES = 256 << 10
+#: Bytes of text that a task turns into Python objects at a time; a longer text comes alone.
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,17 +32,25 @@ def _byte_values() -> np.ndarray:
     return np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=U64) | U64(1)
 
 
-_powers: dict[str, np.ndarray] = {}
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    return tuple(_power_run(base, CHUNK_BYTES + 1024) for base in (_BASE, pow(_BASE, -1, 2**64)))
+
+
+def _power_run(base: int, n: int) -> np.ndarray:
+    run = np.full(n, base, U64)
+    run[0] = 1
+    return np.multiply.accumulate(run)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1024)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            run = np.full(size, base, U64)
-            run[0] = 1
-            _powers[name] = np.multiply.accumulate(run)
-    return _powers["up"], _powers["down"]
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most so many bytes in `column`, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def byte_table(kind: str) -> np.ndarray:
@@ -73,22 +85,36 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, run
 
 
+def _pieces(low: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about CHUNK_BYTES that end behind a separator; a longer word stays whole. The last byte separates."""
+    start = 0
+    while start < len(low):
+        stop = min(start + CHUNK_BYTES, len(low))
+        gaps = np.flatnonzero(low[start:stop] == 0)
+        while not len(gaps):
+            begin, stop = stop, min(2 * stop - start, len(low))
+            gaps = np.flatnonzero(low[begin:stop] == 0)[:1] + (begin - start)
+        yield start, (start := start + int(gaps[-1]) + 1)
+
+
 def word_hashes(encoded: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word in order, offsets: words of text i are at offsets[i]:offsets[i + 1])."""
-    joined = np.frombuffer(b" ".join(encoded) + b" ", np.uint8)
-    low = table[joined]
+    low = table[np.frombuffer(b" ".join(encoded) + b" ", np.uint8)]
     ends = np.cumsum([len(x) + 1 for x in encoded])
     low[ends - 1] = 0
-    inside = low != 0
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _power(len(low))
-    terms = _byte_values()[low] * up[: len(low)]
-    terms[~inside] = 0
-    total = np.cumsum(terms, dtype=U64)
-    before = np.where(first > 0, total[first - 1], U64(0))
-    hashes = mix((total[last - 1] - before) * down[first])
-    return hashes, np.searchsorted(first, np.concatenate([[0], ends]))
+    hashes, starts = [], []
+    for a, b in _pieces(low):
+        part = low[a:b]
+        edge = np.diff((part != 0).view(np.int8), prepend=np.int8(0))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, down = _powers() if len(part) <= CHUNK_BYTES else (_power_run(base, len(part)) for base in (_BASE, pow(_BASE, -1, 2**64)))
+        terms = _byte_values()[part] * up[: len(part)]
+        terms[part == 0] = 0
+        total = np.cumsum(terms, dtype=U64)
+        before = np.where(first > 0, total[first - 1], U64(0))
+        hashes.append(mix((total[last - 1] - before) * down[first]))
+        starts.append(first + a)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), np.concatenate([[0], ends]))
 
 
 def fold(words: np.ndarray, k: int) -> np.ndarray:

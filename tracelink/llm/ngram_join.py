@@ -1,87 +1,64 @@
-"""Exact n-gram Jaccard join through a count-vector R-tree, cut into blocks that can't lose a link.
+"""Exact n-gram Jaccard join through count-vector R-trees.
 
-A document is the set of its k-word shingles. Hashing the shingles into m groups makes it a point of m group counts, and two
-sets overlap by at most the summed coordinate minima of their points. One R-tree over such points finds no near
-neighbours cheaply, since the points of unlike documents of one size lie close together; so the groups first block the
-corpus: sets of Jaccard similarity t or more differ in at most k shingles for their size class, hence agree
-entirely in all but k of the m groups, and m > k groups always leave one in which they are equal. Documents that agree in
-a group form a block.
+A document is the set of its k-word shingles. Hashing the shingles into groups makes it a point of group counts, and two
+sets overlap by at most the summed coordinate minima of their points: R-trees over the points, whose boxes hold the
+largest coordinates, leave the pairs that may be similar, and these are verified by their sets.
+
+One R-tree over a whole corpus finds no near neighbours cheaply: in so many dimensions the points of unlike documents of one size
+lie closer together than a box is wide. So the corpus is cut into blocks first, without losing a link: of sets with
+Jaccard similarity t each shares at least t of its shingles, so in any common order of all shingles the first n - ceil(t n) + 1 of the n
+of one and of the other have one in common. The order is by how often a shingle's bucket of a fixed-size count sketch over the
+corpus occurs, rare ones first, so that passages which many documents share seldom name a block.
 
 In a block only its smallest id is compared with the others (no pairs within a group) and the links found are closed
-transitively; a few rounds with other leaders follow in blocks that still hold several components. What is left of
-these goes into an R-tree each, where the summed minima prune and the survivors of different components are verified. So
+transitively; a round with other leaders follows in blocks that still hold several components. What is left of
+these goes into an R-tree each, whose search leaves out what is linked already. So
 groups of copies cost about as many comparisons as they have members, and no link between different texts is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelink.llm.hashing import U64, byte_table, chunks, mix, shingles, word_hashes
+from tracelink.llm.hashing import U64, byte_table, chunks, mix, shingles, slices, word_hashes
 from tracelink.operators.graph import connected_components
-from tracelink.storage import materialise
+from tracelink.storage import discard, materialise
 
 #: Coordinates of the points at least; larger sets have so many that a group holds two to four shingles.
 GROUPS = 128
 #: Members of one side of an R-tree join; larger blocks are joined part by part.
 PART = 1024
 LEAF = 32
+#: Bytes of text in which ids with one key are put together before the shuffle.
+BLOCK_BYTES = 8 << 20
+#: Bits of the count sketch: 262,144 counters, however large the corpus is.
+SKETCH = 18
 #: Rounds of leaders before the R-trees.
-ROUNDS = 2
+ROUNDS = 1
 #: So many ids of documents to verify at most go to all tasks (some 64 MB); more are joined with the texts.
 BROADCAST_IDS = 2_000_000
 
 
-@lru_cache(maxsize=8)
-def size_classes(tenths: int, most: int = 1 << 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(least size, largest size, groups, spare groups) of each class for similarity tenths / 10.
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (values >> U64(64 - SKETCH)).astype(np.int64)
 
-    Neighbouring classes only can hold sizes within the similarity of each other. The groups of a class leave one equal,
-    beyond the spare ones, between any two similar sets of at most its largest size.
-    """
-    low, rows = 1, []
-    grow = 1.5 if tenths >= 9 else 1.6
-    while low < most:
-        high = max(low, int(low * grow))
-        differ = (10 - tenths) * 2 * high // (10 + tenths)
-        spare = 1 + 3 * differ // 100
-        rows.append((low, high, differ + 1 + spare if differ else 0, spare))
-        low = high + 1
-    table = np.array(rows, np.int64)
-    return table[:, 0], table[:, 1], table[:, 2], table[:, 3]
-
-
-def block_keys(values: np.ndarray, tenths: int) -> np.ndarray:
-    """Keys of the groups of a sorted distinct shingle set, in its size class and, near the class's end, in the next.
-
-    A group without shingles has no key as long as the empty ones are at most the spare groups: two sets that
-    agree in an empty group then agree in another as well.
+
+def block_keys(values: np.ndarray, held: np.ndarray, tenths: int) -> np.ndarray:
+    """The first shingles of a set in the common order: as many as leave fewer than a similar set must share.
+
+    `held` has the sketch's counts; shingles of equal counts follow by hash.
     """
-    low, _, groups, spare = size_classes(tenths)
-    n, keys = len(values), []
-    here = int(np.searchsorted(low, n, "right")) - 1
-    for c in (here, here + 1):
-        m = int(groups[c])
-        if m == 0 or (c > here and 10 * n < tenths * int(low[c])):
-            continue
-        edges = np.searchsorted(values, (np.arange(m + 1, dtype=U64) * U64((2**64 - 1) // m))[1:m])
-        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(values), dtype=U64)])
-        cuts = np.concatenate([[0], edges, [n]])
-        digest = total[cuts[1:]] - total[cuts[:-1]]
-        key = mix(digest + U64((c + 1) * 0x9E3779B97F4A7C15 % 2**64) + np.arange(m, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
-        full = cuts[1:] > cuts[:-1]
-        keys.append(key if m - int(full.sum()) > int(spare[c]) else key[full])
-    return np.concatenate(keys) if keys else values[:0]
+    first = len(values) - -(-tenths * len(values) // 10) + 1
+    return mix(values[np.lexsort((values, held[_bucket(values)]))[:first]])
 
 
 def point(values: np.ndarray) -> np.ndarray:
-    """Counts of the shingles per group; not of the groups that make the keys.
+    """Counts of the shingles per group.
 
     The number of groups is a power of two and the group a shingle's leading bits, so that pairs of neighbours add up to the
     counts of half as many groups.
@@ -104,68 +81,95 @@ def _sets(texts: list[str], k: int, kind: str, lower: bool) -> Iterator[tuple[in
             yield first + i, np.unique(values)
 
 
-def _blocks(k: int, kind: str, lower: bool, tenths: int):
-    """Rows (key, sig, doc, up, n, point): a row with n and its point per document, and rows of its group keys.
+def _sketched(k: int, kind: str, lower: bool):
+    """Rows (bucket, n): how many shingles of a task's documents fall into each bucket of the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH, np.int64)
+        for part in (p for batch in batches for p in slices(batch)):
+            values = [v for _, v in _sets(part.column("text").to_pylist(), k, kind, lower)]
+            counts += np.bincount(_bucket(np.concatenate(values)), minlength=len(counts))
+        used = np.flatnonzero(counts)
+        for at in range(0, len(used), 50_000):
+            some = used[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["bucket", "n"])
+
+    return run
+
+
+def _sketch(plain: DataFrame, k: int, kind: str, lower: bool) -> np.ndarray:
+    rows = plain.where("text <> ''").mapInArrow(_sketched(k, kind, lower), "bucket int, n long")
+    total = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(1 << SKETCH, np.int64)
+    held[total.column("bucket").to_numpy()] = total.column("n").to_numpy()
+    return held
+
 
-    up: the smallest id of this batch with the same key, which stands for the others in the shuffle. A row of such another gets a
+def _blocks(k: int, kind: str, lower: bool, tenths: int, sketch):
+    """Rows (key, sig, doc, up, n, point): a row with n and its point per document, and rows of its keys.
+
+    up: the smallest id of this slice with the same key, which stands for the others in the shuffle. A row of such another gets a
     key that nothing shares. The row with n has the two halves of the set's digest as key and sig.
     """
 
+    def slice_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = batch.column("doc").to_pylist()
+        whole: dict[bytes, int] = {}
+        sigs, docs = [], []
+        one: tuple[list, ...] = ([], [], [], [], [], [])
+
+        def add(*row):
+            for column, value in zip(one, row, strict=True):
+                column.append(value)
+
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+        texts = batch.column("text").to_pylist()
+        lonely = mix(np.arange(len(ids), dtype=U64) + U64(hash(str(ids[:3])) & (2**63 - 1))).view(np.int64)
+        for at, values in _sets([texts[i] for i in order], k, kind, lower):
+            doc, n = ids[order[at]], len(values)
+            if doc is None or n == 0:
+                add(int(lonely[at]), -1, doc, doc, n, None)
+                continue
+            halves = np.array([np.sum(mix(values + U64(n)), dtype=U64), np.sum(mix(values ^ U64(0x5851F42D4C957F2D)), dtype=U64)])
+            key, sig = mix(halves).view(np.int64).tolist()
+            up = whole.setdefault(halves.tobytes(), doc)
+            if up != doc:
+                add(int(lonely[at]), sig, doc, up, n, None)
+                continue
+            add(key, sig, doc, None, n, point(values).tobytes())
+            found = block_keys(values, sketch.value, tenths)
+            sigs.append(found)
+            docs.append(np.full(len(found), doc, np.int64))
+        columns = [*[pa.array(c, pa.int64()) for c in one[:5]], pa.array(one[5], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "sig", "doc", "up", "n", "point"])
+        if sigs:
+            sig, doc = np.concatenate(sigs).view(np.int64), np.concatenate(docs)
+            by = np.lexsort((doc, sig))
+            sig, doc = sig[by], doc[by]
+            head = np.concatenate([[True], sig[1:] != sig[:-1]])
+            up = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
+            same = ~head & (doc != up)
+            key = np.where(same, mix(sig.view(U64) + mix(doc.view(U64))).view(np.int64), sig)
+            use = head | same
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[use]), pa.array(sig[use]), pa.array(doc[use]), pa.array(up[use], mask=~same[use]), pa.nulls(int(use.sum()), pa.int64()), pa.nulls(int(use.sum()), pa.binary())],
+                ["key", "sig", "doc", "up", "n", "point"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_pylist()
-            whole: dict[bytes, int] = {}
-            sigs, docs = [], []
-            one: tuple[list, ...] = ([], [], [], [], [], [])
-
-            def add(key, sig, doc, up, n, point, one=one):
-                for column, value in zip(one, (key, sig, doc, up, n, point), strict=True):
-                    column.append(value)
-
-            order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
-            texts = batch.column("text").to_pylist()
-            lonely = mix(np.arange(len(ids), dtype=U64) + U64(hash(str(ids[:3])) & (2**63 - 1))).view(np.int64)
-            for at, values in _sets([texts[i] for i in order], k, kind, lower):
-                doc, n = ids[order[at]], len(values)
-                if doc is None or n == 0:
-                    add(int(lonely[at]), -1, doc, doc, n, None)
-                    continue
-                halves = np.array([np.sum(mix(values + U64(n)), dtype=U64), np.sum(mix(values ^ U64(0x5851F42D4C957F2D)), dtype=U64)])
-                key, sig = mix(halves).view(np.int64).tolist()
-                up = whole.setdefault(halves.tobytes(), doc)
-                if up != doc:
-                    add(int(lonely[at]), sig, doc, up, n, None)
-                    continue
-                add(key, sig, doc, None, n, point(values).tobytes())
-                found = block_keys(values, tenths)
-                sigs.append(found)
-                docs.append(np.full(len(found), doc, np.int64))
-            columns = [*[pa.array(c, pa.int64()) for c in one[:5]], pa.array(one[5], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "sig", "doc", "up", "n", "point"])
-            if sigs and sum(map(len, sigs)):
-                sig, doc = np.concatenate(sigs).view(np.int64), np.concatenate(docs)
-                by = np.lexsort((doc, sig))
-                sig, doc = sig[by], doc[by]
-                head = np.concatenate([[True], sig[1:] != sig[:-1]])
-                up = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
-                same = ~head & (doc != up)
-                key = np.where(same, mix(sig.view(U64) + mix(doc.view(U64))).view(np.int64), sig)
-                use = head | same
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[use]), pa.array(sig[use]), pa.array(doc[use]), pa.array(up[use], mask=~same[use]), pa.nulls(int(use.sum()), pa.int64()), pa.nulls(int(use.sum()), pa.binary())],
-                    ["key", "sig", "doc", "up", "n", "point"],
-                )
+            for part in slices(batch, most=BLOCK_BYTES):
+                yield from slice_rows(part)
 
     return run
 
 
 def _set_rows(k: int, kind: str, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(ids), 500):
-                rows = [(ids[at + i], v.view(np.int64)) for i, v in _sets(texts[at : at + 500], k, kind, lower)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc", "set"])
+        for part in (p for batch in batches for p in slices(batch)):
+            ids = part.column("doc").to_pylist()
+            rows = [(ids[i], v.view(np.int64)) for i, v in _sets(part.column("text").to_pylist(), k, kind, lower)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc", "set"])
 
     return run
 
@@ -213,7 +217,9 @@ class Verifier:
         sets = materialise(some.mapInArrow(self.sets_of, "doc long, set array<long>"), "ngram-sets", compression="lz4")
         both = F.size(F.array_intersect("set_a", "set_b"))
         found = self._sides(near, sets).where(self._similar(both, F.size("set_a"), F.size("set_b"))).select("a", "b").distinct()
-        return materialise(found, "ngram-links")
+        found = materialise(found, "ngram-links")
+        discard(near, needed, sets)
+        return found
 
 
 class RTree:
@@ -294,7 +300,9 @@ def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
     renamed = connected_components(ends).withColumnsRenamed({"node": "was", "component": "now"})
     old = components.join(renamed, components.component == renamed.was, "left").select("node", F.coalesce("now", "component").alias("component"))
     new = renamed.join(components, renamed.was == components.node, "left_anti").select("was", "now")
-    return materialise(old.union(new), "ngram-components")
+    merged = materialise(old.union(new), "ngram-components")
+    discard(components, renamed, links)
+    return merged
 
 
 def ngram_components(
@@ -308,11 +316,13 @@ def ngram_components(
     links, each with its own count; a null id links with nothing and has a null component. Other columns are not read.
     """
     plain = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = plain.mapInArrow(_blocks(k, kind, lower, tenths), "key long, sig long, doc long, up long, n long, point binary")
+    sketch = plain.sparkSession.sparkContext.broadcast(_sketch(plain, k, kind, lower))
+    rows = plain.mapInArrow(_blocks(k, kind, lower, tenths, sketch), "key long, sig long, doc long, up long, n long, point binary")
     block = Window.partitionBy("key", "sig")
     stars = rows.withColumn("leader", F.coalesce("up", F.min("doc").over(block)))
     stars = stars.where("n IS NOT NULL OR leader <> doc").select("sig", "doc", "leader", "n", "point")
     stars = materialise(stars, "ngram-stars", compression="zstd")
+    sketch.unpersist()
 
     equal = stars.where("n IS NOT NULL AND leader <> doc").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     near = stars.where("n IS NULL").select("sig", F.col("leader").alias("a"), F.col("doc").alias("b"))
@@ -337,6 +347,7 @@ def ngram_components(
         fresh = materialise(fresh.join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
         components = _merged(components, verifier.links(fresh))
         pairs = pairs.union(fresh)
+        discard(open_)
     open_ = materialise(_split(members, components), "ngram-open")
     if not open_.isEmpty():
         sized = open_.groupBy("sig").agg(F.ceil(F.count("*") / PART).alias("parts"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelink.llm.hashing import U64, mix
+from tracelink.llm.hashing import U64, mix, slices
 from tracelink.llm.tokens import encoder
 from tracelink.storage import materialise
 
@@ -65,7 +65,7 @@ def _sequences(name: str, length: int):
         coder = encoder(name)
         end = next(iter(coder.special.values()))
         kind = np.dtype("<u2" if coder.fast.n_vocab <= 1 << 16 else "<u4")
-        for batch in batches:
+        for batch in (p for batch in batches for p in slices(batch)):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             rows: tuple[list, list, list, list] = ([], [], [], [])
             for doc, text in zip(ids, texts, strict=True):

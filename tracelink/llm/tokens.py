@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelink.llm.hashing import slices
 from tracelink.storage import materialise, shared_dir
 
 CACHE = T.StructType([
@@ -52,15 +54,13 @@ class Encoder:
     def __init__(self, name: str):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
         path = tokenizer_path(name)
         data = json.loads(Path(path).read_text())
         special = {x["content"]: x["id"] for x in data["added_tokens"]}
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in word): i for word, i in data["model"]["vocab"].items() if word not in special}
-        self.library = Tokenizer.from_file(path)
-        self.special = special
+        self.path, self.special = path, special
         self.fast = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> list[int]:
@@ -71,23 +71,25 @@ class Encoder:
         except BaseException as error:  # a panic of the native code is no Exception
             if isinstance(error, (KeyboardInterrupt, SystemExit)):
                 raise
-            return self.library.encode(text, add_special_tokens=False).ids
+            return self._library.encode(text, add_special_tokens=False).ids
 
+    @cached_property
+    def _library(self):
+        from tokenizers import Tokenizer
 
-_encoders: dict[str, Encoder] = {}
+        return Tokenizer.from_file(self.path)
 
 
+@lru_cache(maxsize=1)
 def encoder(name: str) -> Encoder:
     """One per worker process."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
+    return Encoder(name)
 
 
 def _encode_counts(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(name).encode
-        for batch in batches:
+        for batch in (p for batch in batches for p in slices(batch, "content")):
             counts = [len(encode(x.as_py())) for x in batch.column("content")]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
