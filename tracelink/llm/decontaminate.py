@@ -1,19 +1,18 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For every benchmark item the windows of its own size are taken wherever a document shares a word shingle with
-it (a window that shares none has similarity 0). A window's SimHash over its weighted shingles is compared with the
-item's: fingerprints within the radius agree entirely in one of radius + 1 bit blocks, which is looked up first, and
-what is within the radius is verified by the exact weighted-shingle similarity.
-
-The benchmark is read in slabs of bounded size, each held by all tasks while one pass over the documents compares
-them with it; a benchmark of any size takes so many passes. Weights are of the whole benchmark: where there are several slabs, its
-shingles are counted first, and documents carry the counts of the shingles that they share with any item.
+For every size that items have, the windows of that size are compared with the items of that size: SimHashes over the weighted
+shingles of either are looked up in multi-index Hamming blocks, which hold all items within the radius, and what is
+within the radius is verified by the exact weighted-shingle similarity. Fingerprints of neighbouring windows come from running sums of votes.
+
+A window can only be similar to an item where four fifths of its shingles are the benchmark's, so one pass over the documents, with
+a Bloom filter of the benchmark's shingles, leaves the stretches where that holds; no similar window is lost. Weights are counted over the whole
+benchmark and joined to these stretches. The benchmark itself is read in slabs of bounded size, each compared with the stretches; how many
+there are changes no result.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,275 +20,319 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.llm.hashing import U64, byte_table, chunks, fold, mix, shingles, word_hashes
+from tracelink.llm.hashing import U64, bounded_batches, byte_table, chunks, mix, shingles, slices, word_hashes
 from tracelink.storage import materialise
 
 K, SIMILAR = 5, 0.8
 #: At similarity 0.8 two 64-bit fingerprints differ in 9.7 bits, give or take 2.9; near the threshold 0.2 in 100 are missed.
 RADIUS = 18
 SLAB_BYTES = 8 << 20
-#: Bits of the first, approximate look-up of a shingle.
-BLOOM = 22
-#: Column of a document's shingles that items hold, and their counts: two rows of long integers. Only with several slabs.
-COUNTED = "_counted_shingles"
+#: Starts of windows in one row of a stretch, which then holds so many shingles and the longest item's.
+STEP = 4096
+#: Bits per shingle of the Bloom filter, and the most it may have (256 MB); beyond that it lets more through.
+BLOOM_BITS, BLOOM_MOST = 32, 31
+#: So many leaking documents at most go to all tasks (some 64 MB); more are joined with the documents.
+BROADCAST_IDS = 2_000_000
+FIXED_POINT = 1 << 16
+BITS = np.arange(64, dtype=U64)
 MATCH = "item_id long, similarity double, start_word long, n_words long, distance int"
 
 
-def _blocks(radius: int) -> np.ndarray:
-    """Masks of radius + 1 runs of bits that cover all 64."""
+def blocks(radius: int = RADIUS) -> list[tuple[int, int]]:
+    """(first bit, bits) of radius + 1 blocks: fingerprints within the radius agree entirely in one."""
     edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return np.array([((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)], U64)
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def simhash(values: np.ndarray, weights: np.ndarray) -> int:
-    bits = (mix(values)[:, None] >> np.arange(64, dtype=U64)) & U64(1)
-    votes = weights @ (bits.astype(np.float64) * 2 - 1)
-    return int(np.bitwise_or.reduce(np.where(votes > 0, U64(1) << np.arange(64, dtype=U64), U64(0))))
+class Windows:
+    """Sums over the distinct shingles of every window of a run."""
 
+    def __init__(self, values: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        same = values[order[1:]] == values[order[:-1]]
+        self.again, self.before = order[1:][same], order[:-1][same]
 
-@dataclass
-class Slab:
-    """A part of the benchmark: postings of its shingles, and items with their fingerprints."""
+    def sums(self, columns: np.ndarray, size: int) -> np.ndarray:
+        """Row per start of a window of `size`; a shingle counts where it comes first in the window."""
+        n = len(columns)
+        total = np.zeros((n + 1, columns.shape[1]), np.int64)
+        np.cumsum(columns, axis=0, out=total[1:])
+        found = total[size:] - total[: n - size + 1]
+        first, last = np.maximum(0, self.again - size + 1), np.minimum(self.before, n - size)
+        some = first <= last
+        if some.any():
+            change = np.zeros((n - size + 2, columns.shape[1]), np.int64)
+            np.add.at(change, first[some], columns[self.again[some]])
+            np.subtract.at(change, last[some] + 1, columns[self.again[some]])
+            found -= np.cumsum(change[:-1], axis=0)
+        return found
 
-    ids: list[int]
-    words: list[int]
-    sets: list[np.ndarray]
-    prints: list[int]
-    keys: np.ndarray
-    begins: np.ndarray
-    items: np.ndarray
-    places: np.ndarray
-    weights: np.ndarray
-    other: float
-    bloom: np.ndarray
-    total: int
+    def dense(self, weights: np.ndarray, hit: np.ndarray, size: int) -> np.ndarray:
+        """Starts of the windows of `size` whose hits may have SIMILAR of the weight."""
+        both = self.sums(np.stack([weights, weights * hit], 1), size)
+        return np.flatnonzero((both[:, 1] > 0) & (both[:, 1] >= (SIMILAR - 1e-6) * both[:, 0]))
 
-    def weigh(self, values: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
-        return np.where(self.keys[at] == values, self.weights[at], self.other)
 
+def _votes(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    bits = ((mix(values)[:, None] >> BITS) & U64(1)).astype(np.int64)
+    return (2 * bits - 1) * weights[:, None]
 
-@dataclass
-class Counts:
-    """Of sorted shingles, how many of the benchmark's `total` items hold each."""
 
-    keys: np.ndarray
-    held: np.ndarray
-    total: int
+def _prints(votes: np.ndarray) -> np.ndarray:
+    return np.bitwise_or.reduce(np.where(votes > 0, U64(1) << BITS, U64(0)), axis=1)
 
-    def weigh(self, values: np.ndarray) -> np.ndarray:
-        held = np.ones(len(values))
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
-            held = np.where(self.keys[at] == values, self.held[at], 1)
-        return 1 + np.log(self.total / held)
 
+def _fixed(weights: np.ndarray) -> np.ndarray:
+    """Weights as integers, so that votes summed in any order give one fingerprint."""
+    return np.rint(weights * FIXED_POINT).astype(np.int64)
 
-def slab_of(rows: list[tuple[int, str | None]], counts: Counts | None = None) -> Slab | None:
-    """Weights fall with the number of items that hold a shingle, in `counts` or else of `rows`; a shingle of no item weighs most. Items without words are left out."""
-    table = byte_table("alnum")
-    ids, words, ordered = [], [], []
-    for first, encoded in chunks([(t or "").lower() for _, t in rows]):
-        hashes, offsets = word_hashes(encoded, table)
-        for i, run in enumerate(shingles(hashes, offsets, K)):
-            if len(run):
-                ids.append(rows[first + i][0])
-                words.append(int(offsets[i + 1] - offsets[i]))
-                ordered.append(run)
-    if not ids:
-        return None
-    flat = np.concatenate(ordered)
-    item = np.repeat(np.arange(len(ids)), [len(x) for x in ordered])
-    place = np.concatenate([np.arange(len(x)) for x in ordered])
-    by = np.lexsort((place, item, flat))
-    flat, item, place = flat[by], item[by], place[by]
-    keys, begins = np.unique(flat, return_index=True)
-    counts = counts or Counts(keys, np.array([len(np.unique(x)) for x in np.split(item, begins[1:])]), len(ids))
-    weights = counts.weigh(keys)
-    bloom = np.zeros(1 << BLOOM, bool)
-    bloom[(keys >> U64(64 - BLOOM)).astype(np.int64)] = True
-    slab = Slab(ids, words, [np.unique(x) for x in ordered], [], keys, np.append(begins, len(flat)), item, place, weights, 1 + math.log(counts.total), bloom, counts.total)
-    slab.prints = [simhash(x, slab.weigh(x)) for x in slab.sets]
-    return slab
 
+@dataclass
+class Sized:
+    """A slab's items of one size: ids, words, sets with weights, fingerprints, and the multi-index over these."""
 
-def _best(slab: Slab, masks: np.ndarray, run: np.ndarray, n_words: int, hits: np.ndarray, weigh: Callable) -> Iterator[tuple]:
-    """(item, similarity, start, words, distance) of the best verified window of each item that `hits` (places in run) touch."""
-    at = np.searchsorted(slab.keys, run[hits])
-    sizes = slab.begins[at + 1] - slab.begins[at]
-    rows = np.repeat(slab.begins[at], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    items, starts = slab.items[rows], np.repeat(hits, sizes) - slab.places[rows]
-    for item in np.unique(items):
-        goal = slab.sets[item]
-        size = slab.words[item] - K + 1 if slab.words[item] >= K else 1
-        own = np.unique(np.clip(starts[items == item], 0, max(0, len(run) - size)))
-        goal_weights, best = slab.weigh(goal), None
-        total = goal_weights.sum()
-        for start in own.tolist():
-            window = np.unique(run[start : start + size])
-            weights = weigh(window)
-            apart = slab.prints[item] ^ simhash(window, weights)
-            distance = apart.bit_count()
-            if distance > RADIUS or not ((U64(apart) & masks) == 0).any():
-                continue
-            shared = weights[np.isin(window, goal, assume_unique=True)].sum()
-            similar = float(shared / (total + weights.sum() - shared))
-            if similar >= SIMILAR - 1e-12 and (best is None or similar > best[1]):
-                best = (slab.ids[item], similar, start, min(slab.words[item], n_words), distance)
-        if best:
-            yield best
-
-
-def _matches(slab: Slab, batch: pa.RecordBatch) -> Iterator[tuple[int, tuple]]:
-    """(index of the row, match)."""
-    texts = batch.column("text").to_pylist()
-    counted = batch.column(COUNTED).to_pylist() if COUNTED in batch.schema.names else None
-
-    def weigher(i: int) -> Callable:
-        if counted is None:
-            return slab.weigh
-        keys, held = np.frombuffer(counted[i], np.int64).reshape(2, -1)
-        return Counts(keys.view(U64), held, slab.total).weigh
-
-    table, masks = byte_table("alnum"), _blocks(RADIUS)
-    for first, encoded in chunks([(t or "").lower() for t in texts]):
-        words, offsets = word_hashes(encoded, table)
-        value = fold(words, K)
-        near = np.flatnonzero(slab.bloom[(value >> U64(64 - BLOOM)).astype(np.int64)])
-        near = near[slab.keys[np.minimum(np.searchsorted(slab.keys, value[near]), len(slab.keys) - 1)] == value[near]]
-        owner = np.searchsorted(offsets, near, "right") - 1
-        fits = near + K <= offsets[owner + 1]
-        near, owner = near[fits], owner[fits]
-        for i in np.unique(owner).tolist():
-            a, b = int(offsets[i]), int(offsets[i + 1])
-            for match in _best(slab, masks, value[a : b - K + 1], b - a, near[owner == i] - a, weigher(first + i)):
-                yield first + i, match
-        for i in np.flatnonzero((np.diff(offsets) < K) & (np.diff(offsets) > 0)).tolist():
-            run = fold(words[offsets[i] : offsets[i + 1]], int(offsets[i + 1] - offsets[i]))
-            if run[0] in slab.keys:
-                for match in _best(slab, masks, run, int(offsets[i + 1] - offsets[i]), np.zeros(1, np.int64), weigher(first + i)):
-                    yield first + i, match
-
-
-def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The distinct shingles of each text."""
+    places: list[int]
+    ids: list[int]
+    words: list[int]
+    sets: list[np.ndarray]
+    totals: list[float]
+    prints: np.ndarray
+    index: list[tuple[np.ndarray, np.ndarray]]
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of fingerprints within the radius, each pair once."""
+        found = [np.zeros(0, np.int64)]
+        for (shift, width), (keys, order) in zip(blocks(), self.index, strict=True):
+            wanted = (prints >> U64(shift)) & U64((1 << width) - 1)
+            low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+            sizes = high - low
+            window = np.repeat(np.arange(len(prints)), sizes)
+            item = order[np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+            close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+            found.append(window[close] * len(self.prints) + item[close])
+        return np.divmod(np.unique(np.concatenate(found)), len(self.prints))
+
+
+def _runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
+    """(shingles in order, words) of each text; under K words they are one shingle."""
     table = byte_table("alnum")
     for _, encoded in chunks([(t or "").lower() for t in texts]):
-        yield from map(np.unique, shingles(*word_hashes(encoded, table), K))
+        hashes, offsets = word_hashes(encoded, table)
+        yield from zip(shingles(hashes, offsets, K), np.diff(offsets).tolist(), strict=True)
+
+
+def slab_of(rows: list[tuple[int, str | None]], held: dict[int, int], total: int) -> dict[int, Sized]:
+    """Items by size in shingles. held: how many of the benchmark's `total` items hold a shingle, whose weight falls with it."""
+    by: dict[int, list] = {}
+    for place, ((item, _), (run, words)) in enumerate(zip(rows, _runs([t for _, t in rows]), strict=True)):
+        if len(run):
+            by.setdefault(len(run), []).append((place, item, words, np.unique(run)))
+    slab = {}
+    for size, items in by.items():
+        weights = [1 + np.log(total / np.array([held[x] for x in s.tolist()])) for *_, s in items]
+        prints = np.concatenate([_prints(_votes(s, _fixed(w)).sum(0, keepdims=True)) for (*_, s), w in zip(items, weights, strict=True)])
+        index = []
+        for shift, width in blocks():
+            keys = (prints >> U64(shift)) & U64((1 << width) - 1)
+            order = np.argsort(keys, kind="stable")
+            index.append((keys[order], order))
+        slab[size] = Sized(*(list(c) for c in zip(*items, strict=True)), [float(w.sum()) for w in weights], prints, index)
+    return slab
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = list(_sets(batch.column("text").to_pylist()))
-        sizes = [len(x) for x in sets]
-        number = np.repeat(batch.column("number").to_numpy(zero_copy_only=False), sizes).astype(np.int64)
-        first = np.concatenate([np.arange(n) == 0 for n in sizes] or [np.zeros(0, bool)])
-        flat = np.concatenate(sets or [np.zeros(0, U64)]).astype(U64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(flat), pa.array(first)], ["number", "shingle", "first"])
+@dataclass
+class Filter:
+    """Bloom filter of the benchmark's shingles, and the sizes of its items."""
+
+    bits: np.ndarray
+    power: int
+    sizes: list[int]
+
+    def _places(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (values >> U64(64 - self.power)).astype(np.int64), (mix(values) >> U64(64 - self.power)).astype(np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        for places in self._places(values):
+            np.bitwise_or.at(self.bits, places >> 3, np.uint8(1) << (places & 7).astype(np.uint8))
+
+    def hits(self, values: np.ndarray) -> np.ndarray:
+        first, second = self._places(values)
+        found = (self.bits[first >> 3] >> (first & 7).astype(np.uint8) & 1).astype(bool)
+        some = np.flatnonzero(found)
+        at = second[some]
+        found[some] = self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
+        return found
+
+    def stretches(self, run: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, end) of what the windows cover, of any size, that may be similar to an item."""
+        hit = self.hits(run)
+        if not hit.any():
+            return
+        longest = self.sizes[-1]
+        covered = np.zeros(len(run) + 1, np.int64)
+        places = np.flatnonzero(hit)
+        # hits further apart than the longest item share no window
+        cuts = np.flatnonzero(np.diff(places) > longest) + 1
+        for own in np.split(places, cuts):
+            a, b = max(0, int(own[0]) - longest), min(len(run), int(own[-1]) + longest + 1)
+            part = run[a:b]
+            windows = Windows(part)
+            ones = np.ones(len(part), np.int64)
+            for size in self.sizes:
+                width = min(size, len(run))
+                # of a window's shingles at most the repeats don't count
+                if len(own) < (SIMILAR - 1e-6) * (width - len(windows.again)):
+                    continue
+                starts = windows.dense(ones, hit[a:b].astype(np.int64), width) + a
+                np.add.at(covered, starts, 1)
+                np.subtract.at(covered, starts + width, 1)
+                if width < size:
+                    break
+        edges = np.diff((np.cumsum(covered[:-1]) > 0).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        yield from zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True)
+
+
+STRETCH = "row long, doc_id long, tag long, start long, n long, n_words long, values array<long>"
+
+
+def _stretch_rows(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Filter = shared.value
+        for part in (p for batch in batches for p in slices(batch)):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for i, (values, words) in enumerate(_runs(part.column("text").to_pylist())):
+                for start, end in known.stretches(values):
+                    for at in range(start, end, STEP):
+                        row = i, at, len(values), words, values[at : min(end, at + STEP + known.sizes[-1] - 1)].view(np.int64)
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+            of = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c).take(of) for c in ("row", "doc_id", "tag")], *[pa.array(c, pa.int64()) for c in out[1:4]], pa.array(out[4], pa.list_(pa.int64()))],
+                ["row", "doc_id", "tag", "start", "n", "n_words", "values"],
+            )
 
+    return run
 
-def _counted_rows(shared):
-    """Adds to the column COUNTED what the counts of `shared` have of a text's shingles."""
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (number, shingle, size): each item's distinct shingles, the first with the size of the item."""
+    for part in (p for batch in batches for p in slices(batch)):
+        for number, (run, _) in zip(part.column("number").to_pylist(), _runs(part.column("text").to_pylist()), strict=True):
+            values = np.unique(run)
+            size = pa.array([len(run), *[None] * (len(values) - 1)][: len(values)], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(values), pa.int64()), pa.array(values.view(np.int64)), size], ["number", "shingle", "size"])
+
+
+def _best(slab: dict[int, Sized], values: np.ndarray, held: np.ndarray, n: int, total: int) -> Iterator[tuple[Sized, int, float, int, int]]:
+    """(items, item, similarity, start, distance) of the verified windows of one stretch, the best one of each item."""
+    windows = Windows(values)
+    weights = 1 + np.log(total / np.maximum(held, 1))
+    fixed, hit, votes = _fixed(weights), (held > 0).astype(np.int64), None
+    for size, items in slab.items():
+        # an item longer than the document is compared with the whole of it
+        width = min(size, n)
+        if width > len(values):
+            continue
+        starts = windows.dense(fixed, hit, width)
+        if not len(starts):
+            continue
+        votes = _votes(values, fixed) if votes is None else votes
+        prints = _prints(windows.sums(votes, width)[starts])
+        best: dict[int, tuple] = {}
+        for at, item in zip(*(x.tolist() for x in items.near(prints)), strict=True):
+            start = int(starts[at])
+            own, first = np.unique(values[start : start + width], return_index=True)
+            mine = weights[start + first]
+            shared = mine[np.isin(own, items.sets[item], assume_unique=True)].sum()
+            similar = float(shared / (items.totals[item] + mine.sum() - shared))
+            if similar >= SIMILAR - 1e-12 and similar > best.get(item, (0.0,))[0]:
+                best[item] = similar, start, (int(prints[at]) ^ int(items.prints[item])).bit_count()
+        yield from ((items, item, *found) for item, found in best.items())
+
+
+FOUND = f"row long, doc_id long, tag long, place long, {MATCH}"
+
+
+def _match_rows(shared, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        slab, names = shared.value, [x.split()[0] for x in FOUND.split(", ")]
+        types = [pa.int64()] * 5 + [pa.float64(), pa.int64(), pa.int64(), pa.int32()]
         for batch in batches:
             out = []
-            for old, values in zip(batch.column(COUNTED).to_pylist(), _sets(batch.column("text").to_pylist()), strict=True):
-                at = np.minimum(np.searchsorted(counts.keys, values), len(counts.keys) - 1)
-                at = at[counts.keys[at] == values]
-                new = np.stack([counts.keys[at].view(np.int64), counts.held[at]])
-                both = np.concatenate([np.frombuffer(old, np.int64).reshape(2, -1), new], axis=1)
-                out.append(np.ascontiguousarray(both[:, np.argsort(both[0].view(U64))]).tobytes())
-            place = batch.schema.get_field_index(COUNTED)
-            yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.schema.field(place).type))
+            for row in zip(*[batch.column(c) for c in ("row", "doc_id", "tag", "start", "n", "n_words", "values", "held")], strict=True):
+                *key, start, n, words = (x.as_py() for x in row[:6])
+                values, held = (x.values.to_numpy(zero_copy_only=False) for x in row[6:])
+                for items, item, similar, at, distance in _best(slab, values.view(U64), held, n, total):
+                    out.append((*key, items.places[item], items.ids[item], similar, start + at, min(items.words[item], words), distance))
+            columns = zip(*out, strict=True) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return run
 
 
-def _counts(frame: DataFrame, total: int) -> Counts:
-    found = frame.select("shingle", "held").toArrow()
-    keys, held = (found.column(c).to_numpy() for c in ("shingle", "held"))
-    by = np.argsort(keys.view(U64))
-    return Counts(keys[by].view(U64), held[by], total)
-
-
-def _prepared(docs: DataFrame, benchmark: DataFrame, slab_bytes: int) -> tuple[DataFrame, Iterator[Slab]]:
-    """The documents, with the column COUNTED where there are several slabs, and the slabs."""
+def _matches(docs: DataFrame, benchmark: DataFrame, slab_bytes: int) -> DataFrame:
+    """FOUND rows of docs (doc_id, tag, text): one per document row and item."""
+    spark = bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-size // slab_bytes)
     items = items.withColumn("number", F.pmod(F.xxhash64("item_id", "text"), F.lit(count or 1)))
-    counts = lambda number: None
-    if count > 1:
-        rows = materialise(items.mapInArrow(_shingle_rows, "number long, shingle long, first boolean"), "benchmark-shingles")
-        total = rows.where("first").count()
-        held = materialise(rows.groupBy("shingle").agg(F.count("*").alias("held")), "benchmark-counts")
-        parts = -(-held.count() * 16 // slab_bytes)
-        docs = docs.withColumn(COUNTED, F.lit(b""))
-        for part in range(parts):
-            here = _counts(held.where(F.pmod("shingle", F.lit(parts)) == part), total)
-            if len(here.keys):
-                docs = docs.mapInArrow(_counted_rows(docs.sparkSession.sparkContext.broadcast(here)), docs.schema)
-        counts = lambda number: _counts(held.join(rows.where(F.col("number") == number).select("shingle").distinct(), "shingle"), total)
-
-    def slabs() -> Iterator[Slab]:
-        for number in range(count):
-            rows = items.where(F.col("number") == number).collect()
-            slab = slab_of([(r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id, r.text))], counts(number))
-            if slab:
-                yield slab
-
-    return docs, slabs()
-
-
-def _match_rows(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            found = list(_matches(shared.value, batch))
-            columns = list(zip(*[m for _, m in found], strict=True)) if found else [[]] * 5
-            types = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array([i for i, _ in found], pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]],
-                ["doc_id", "item_id", "similarity", "start_word", "n_words", "distance"],
-            )
-
-    return run
+    rows = materialise(items.mapInArrow(_shingle_rows, "number long, shingle long, size long"), "benchmark-shingles")
+    held = materialise(rows.groupBy("shingle").agg(F.count("*").alias("held")), "benchmark-counts")
+    sizes = sorted(r.size for r in rows.select("size").where("size IS NOT NULL").distinct().collect())
+    if not sizes:
+        return spark.createDataFrame([], FOUND)
+    total, kinds = rows.where("size IS NOT NULL").count(), held.count()
+    power = min(BLOOM_MOST, max(10, (BLOOM_BITS * kinds - 1).bit_length()))
+    known = Filter(np.zeros(1 << power >> 3, np.uint8), power, sizes)
+    parts = -(-kinds * 8 // slab_bytes)
+    for part in range(parts):
+        known.add(held.where(F.pmod("shingle", F.lit(parts)) == part).select("shingle").toArrow().column("shingle").to_numpy().view(U64))
+
+    shared = spark.sparkContext.broadcast(known)
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "tag", "text")
+    found = materialise(texts.mapInArrow(_stretch_rows(shared), STRETCH), "stretches")
+    shared.unpersist()
+    each = found.select("row", "start", F.posexplode("values").alias("i", "shingle")).join(held, "shingle", "left")
+    each = each.groupBy("row", "start").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("held", F.lit(0)).alias("held")))).alias("of"))
+    weighed = found.join(each.select("row", "start", F.col("of.held").alias("held")), ["row", "start"])
+    weighed = materialise(weighed, "weighed-stretches") if count > 1 else weighed
+
+    matches = []
+    for number in range(count):
+        here = sorted(items.where(F.col("number") == number).collect(), key=lambda r: (r.item_id is None, r.item_id, r.text))
+        counts = held.join(rows.where(F.col("number") == number).select("shingle").distinct(), "shingle").toArrow()
+        counts = dict(zip(counts.column("shingle").to_numpy().view(U64).tolist(), counts.column("held").to_pylist(), strict=True))
+        slab = spark.sparkContext.broadcast(slab_of([(r.item_id, r.text) for r in here], counts, total))
+        one = weighed.mapInArrow(_match_rows(slab, total), FOUND)
+        # stretches overlap, and one document may hold an item twice
+        best = F.max_by(F.struct("similarity", "start_word", "n_words", "distance"), F.struct("similarity", -F.col("start_word")))
+        one = one.groupBy("row", "doc_id", "tag", "place", "item_id").agg(best.alias("m"))
+        matches.append(one.select("row", "doc_id", "tag", "place", "item_id", "m.*"))
+    found = matches[0]
+    for one in matches[1:]:
+        found = found.unionByName(one)
+    return found
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, slab_bytes: int = SLAB_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, distance): a row per document row and item found in it.
 
     Words are runs of lower-cased letters and digits; an item of fewer than five words is found only in a document of the same
-    words. start_word counts from 0, for the item's most similar window. Null and empty texts and items
+    words. start_word counts from 0, for the item's most similar window, the first of equal ones. Null and empty texts and items
     match nothing; repeated rows are matched each; null ids are kept as null. An empty table on either side gives no rows.
+    Other columns of either table, whatever their names, are not read.
     """
-    spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = spark.createDataFrame([], f"doc_id long, {MATCH}")
-    plain, slabs = _prepared(plain, benchmark, slab_bytes)
-    if COUNTED in plain.columns:
-        # every slab reads them; a text without a benchmark's shingle matches nothing
-        plain = materialise(plain.where(F.octet_length(COUNTED) > 0), "counted-texts")
-    for slab in slabs:
-        found = found.union(plain.mapInArrow(_match_rows(spark.sparkContext.broadcast(slab)), f"doc_id long, {MATCH}"))
-    return found
-
-
-def _clean_rows(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            keep[[i for i, _ in _matches(shared.value, batch)]] = False
-            yield batch.filter(pa.array(keep))
-
-    return run
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tag"), "text")
+    return _matches(plain, benchmark, slab_bytes).select("doc_id", *[x.split()[0] for x in MATCH.split(", ")])
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, slab_bytes: int = SLAB_BYTES) -> DataFrame:
-    """The rows of `docs`, all columns, in which find_leaks finds no item."""
-    docs, slabs = _prepared(docs, benchmark, slab_bytes)
-    for slab in slabs:
-        docs = docs.mapInArrow(_clean_rows(docs.sparkSession.sparkContext.broadcast(slab)), docs.schema)
-    return docs.drop(COUNTED)
+    """The rows of `docs`, all columns, in which find_leaks finds no item. Texts are only shuffled where over BROADCAST_IDS rows leak."""
+    tag = F.xxhash64("text")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), "text")
+    leaks = _matches(plain, benchmark, slab_bytes).select(F.col("doc_id").alias("_leak"), F.col("tag").alias("_leak_tag")).distinct()
+    leaks = materialise(leaks, "leaks")
+    leaks = F.broadcast(leaks) if leaks.count() <= BROADCAST_IDS else leaks
+    return docs.join(leaks, docs.doc_id.cast("long").eqNullSafe(F.col("_leak")) & (tag == F.col("_leak_tag")), "left_anti")
