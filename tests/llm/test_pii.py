@@ -1,8 +1,9 @@
 import hashlib
 import re
+import time
 
 from tests.llm.conftest import AWKWARD
-from tracelink.llm.pii import find_pii
+from tracelink.llm.pii import PIECE, find_pii
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -86,3 +87,21 @@ def test_contexts_find_spaced_phones_and_cards(spark):
         assert got[doc].spans == f"{kind}:{at}:{at + len(value)}" and got[doc].n_added == 1
     assert got[103].spans == ""
     assert all(got[i].n_added == 0 for i in range(24))
+
+
+def test_long_texts_of_numbers_take_linear_time(spark):
+    # offsets beyond several pieces of the folds, and a megabyte of candidate words
+    mixed = " ".join(f"{i} host{i}@a.example 10.0.{i % 256}.7 and" for i in range(3 * PIECE))
+    rows = [(1, "1 " * 500_000), (2, mixed), (3, "ab12 " * 50_000)]
+    began = time.time()
+    got = sorted(tuple(r)[:6] for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert time.time() - began < 240
+    assert got == [expected(*r) for r in rows]
+
+
+def test_contexts_are_whole_words(spark):
+    long = "x" * 200
+    rows = [(i, f"{long}a {long}b 10.0.{i}.7 {long}c {long}d") for i in range(12)]
+    rows += [(50, f"{long}a {long}b 10.0.300.7 {long}c {long}d"), (51, f"{long}e {long}f 10.0.300.7 {long}g {long}h")]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50].n_added == 1 and got[50].n_spans == 1 and got[51].n_added == 0

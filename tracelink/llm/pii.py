@@ -1,13 +1,15 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction for what they miss.
 
-Seeds are the matches of the fixed patterns, blanks inside included. Their surroundings give lexical patterns (the two words before, the two
-words after, the word on either side). Over the graph of patterns and distinct values a few rounds alternate:
+Seeds are the matches of the fixed patterns, blanks inside included. What surrounds the words they stand in gives lexical patterns (the two words
+before, the two words after, the word on either side). Over the graph of patterns and distinct values a few rounds alternate:
 a pattern is worth the mean score of its values, a value the best worth of its patterns; values that carry enough
 worth count as found and strengthen their patterns in turn. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +32,41 @@ CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 ROUNDS = 3
 #: A pattern speaks once it has met this many distinct values that are known, and if they are this share of all it meets.
 LEAST_VALUES, LEAST_WORTH = 3, 0.8
+#: Elements that a fold gathers before it starts anew.
+PIECE = 256
 SPAN = "array<struct<start:long,rank:int,kind:string,end:long>>"
 
 
-def _located(text: Column, found: Column, between: Column) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of an array, in pieces of PIECE: no step copies more than the sums of its piece."""
+    at = lambda acc, x: F.array_append(acc, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("long")) + x)
+    none = F.array().cast("array<long>")
+
+    def sums(all_: Column) -> Column:
+        places = lambda c: F.sequence(c * PIECE, F.least((c + 1) * PIECE, F.size(all_)) - 1)
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PIECE).cast("int")), lambda c: F.aggregate(places(c), none, lambda acc, j: at(acc, F.get(all_, j))))
+        whole = lambda found: F.aggregate(found, none, lambda acc, piece: at(acc, F.element_at(piece, -1)))
+        add = lambda found, base: F.flatten(F.transform(found, lambda piece, c: F.transform(piece, lambda x: x + F.when(c > 0, F.get(base, c - 1)).otherwise(0))))
+        return F.when(F.size(all_) > 0, _let(pieces, lambda found: _let(whole(found), lambda base: add(found, base)))).otherwise(none)
+
+    return _let(lengths, sums)
+
+
+def _located(found: Column, between: Column) -> Column:
     """Matches with their code-point offsets, from the matches and the text between them."""
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.get(between, i)) + F.length(F.get(found, i))).cast("long").alias("at"),
-        F.array_append(acc["out"], F.struct((acc["at"] + F.length(F.get(between, i))).cast("long").alias("start"), F.get(found, i).alias("value"), i.alias("n"))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,value:string,n:int>>").alias("out"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["out"]
-    return F.when(F.size(found) > 0, folded).otherwise(F.array().cast("array<struct<start:long,value:string,n:int>>"))
+    lengths = F.transform(found, lambda m, i: (F.length(F.get(between, i)) + F.length(m)).cast("long"))
+    return _let(_running(lengths), lambda ends: F.transform(found, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("value"))))
+
+
+def _last(spans: Column, x: Column) -> Column:
+    """Place of the last of the spans, in order of their starts, that starts at or before x; -1 where none does."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(28))])
+    return F.aggregate(steps, F.lit(-1), lambda at, step: at + F.when(F.get(spans, F.least(at + step, F.size(spans)))["start"] <= x, step).otherwise(0))
 
 
 def _digits(value: Column) -> Column:
@@ -66,9 +91,18 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _good(kind: str) -> Column:
+    return F.filter(f"_at_{kind}", lambda m: _valid(kind, m["value"]))
+
+
+def _seeds(kind: str) -> Column:
+    """Valid matches with the places of the words that they start and end in."""
+    of = lambda m: F.struct(F.lit(kind).alias("kind"), m["value"].alias("value"), _last(F.col("_words"), m["start"]).alias("i"), _last(F.col("_words"), m["end"] - 1).alias("j"))
+    return F.transform(f"_ok_{kind}", of)
+
+
 def _spans(kind: str) -> Column:
-    good = F.filter(f"_at_{kind}", lambda m: _valid(kind, m["value"]))
-    return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["value"])).alias("end")))
+    return F.transform(f"_ok_{kind}", lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
 
 def _joined(spans: Column) -> Column:
@@ -81,7 +115,36 @@ def _shape(value: Column) -> Column:
     return F.regexp_replace(short, "[0-9]", "9")
 
 
+#: The first words of a gap between candidates; of the reversed gap, its last words.
+EDGE = r"\A\s*+(\S++)?(?:\s++(\S++))?"
+
+
+def _edges(gap: Column) -> Column:
+    """The first two and the last two words of a gap, lower-cased; empty where it has fewer."""
+    low, back = F.lower(gap), F.reverse(F.lower(gap))
+    head = [F.regexp_extract(low, EDGE, n).alias(f"head{n}") for n in (1, 2)]
+    return F.struct(*head, *[F.reverse(F.regexp_extract(back, EDGE, n)).alias(f"tail{n}") for n in (1, 2)])
+
+
+def _near(words: Column, gaps: Column, i: Column, side: str, step: int) -> tuple[Column, Column]:
+    """The nearest two words on one side of candidate i: of the gap there, or the candidates and the gap beyond it."""
+    gap, beyond = F.get(gaps, i + max(0, step)), F.get(gaps, i + max(0, step) + step)
+    word = lambda n: F.lower(F.get(words, i + n * step)["value"])
+    some = lambda x: F.when(x != "", x)
+    first = F.coalesce(some(gap[f"{side}1"]), word(1))
+    past = F.coalesce(some(beyond[f"{side}1"]), word(2))
+    return first, F.when(gap[f"{side}1"] == "", past).when(gap[f"{side}2"] == "", word(1)).otherwise(gap[f"{side}2"])
+
+
+def _patterns(first: Column, last: Column) -> Column:
+    """Lexical patterns around candidates `first` to `last`, whole words whatever their length."""
+    l1, l2 = _near(F.col("_words"), F.col("_edges"), first, "tail", -1)
+    r1, r2 = _near(F.col("_words"), F.col("_edges"), last, "head", 1)
+    return F.array_compact(F.array(F.concat(l2, F.lit(" "), l1, F.lit(" _")), F.concat(F.lit("_ "), r1, F.lit(" "), r2), F.concat(l1, F.lit(" _ "), r1)))
+
+
 def _matches(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, _text, _base, _words, _gaps, _edges, _seeds): spans of the fixed patterns, candidate words, and what stands between them."""
     body = F.coalesce(F.col(text), F.lit(""))
     plain = docs.select("doc_id", F.sha2(body, 256).alias("_text"), body.alias("_body"))
     some = plain.withColumn("_some", F.col("_body").rlike("[0-9@]"))
@@ -93,47 +156,37 @@ def _matches(docs: DataFrame, text: str) -> DataFrame:
             f"_m_{kind}": F.when(here, F.regexp_extract_all("_body", F.lit(pattern), F.lit(0))).otherwise(none),
             f"_g_{kind}": F.when(here, F.split("_body", pattern, -1)).otherwise(none),
         })
-    located = some.select("doc_id", "_text", "_body", "_g_candidate", *[_located(F.col("_body"), F.col(f"_m_{k}"), F.col(f"_g_{k}")).alias(f"_at_{k}") for k in patterns])
-    around = lambda start, end: (
-        F.lower(F.substring("_body", F.greatest(start - 80, F.lit(0)).cast("int") + 1, F.least(start, F.lit(80)).cast("int"))).alias("before"),
-        F.lower(F.substring("_body", end.cast("int") + 1, F.lit(80))).alias("after"),
-    )
-    # what joins a word to the candidate before it: blanks only, or null
-    gap = lambda m: F.get("_g_candidate", m["n"])
-    candidates = F.transform(
-        "_at_candidate",
-        lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value"), F.when((m["n"] > 0) & gap(m).rlike(r"\A\x20+\z"), gap(m)).alias("joint"), *around(m["start"], m["start"] + F.length(m["value"]))),
-    )
+    located = some.select("doc_id", "_text", "_body", F.col("_g_candidate").alias("_gaps"), *[_located(F.col(f"_m_{k}"), F.col(f"_g_{k}")).alias(f"_at_{k}") for k in patterns])
+    good = {f"_ok_{k}": _good(k) for k in KINDS}
+    found = located.withColumns(good | {"_edges": F.transform("_gaps", _edges)})
+    # a word that a fixed pattern's span touches can't be part of anything else
+    touched = lambda m: F.array_max(F.array(*[F.coalesce(F.get(F.col(f"_ok_{k}"), _last(F.col(f"_ok_{k}"), m["end"] - 1))["end"], F.lit(0)) for k in KINDS])) > m["start"]
+    words = F.transform("_at_candidate", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), touched(m).alias("taken")))
     base = F.array_sort(F.concat(*[_spans(k) for k in KINDS])).cast(SPAN)
-    found = located.select("doc_id", "_text", "_body", base.alias("_base"), candidates.alias("_candidates"))
-    cut = lambda s: F.substring("_body", s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))
-    seeds = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), cut(s).alias("value"), *around(s["start"], s["end"])))
-    return found.select("doc_id", "_text", "_base", "_candidates", seeds.alias("_seeds"))
-
-
-def _patterns(before: Column, after: Column) -> Column:
-    words = lambda side: F.filter(F.split(side, r"\s+"), lambda w: w != "")
-    l1, l2 = F.try_element_at(words(before), F.lit(-1)), F.try_element_at(words(before), F.lit(-2))
-    r1, r2 = F.try_element_at(words(after), F.lit(1)), F.try_element_at(words(after), F.lit(2))
-    return F.array_compact(F.array(F.concat(l2, F.lit(" "), l1, F.lit(" _")), F.concat(F.lit("_ "), r1, F.lit(" "), r2), F.concat(l1, F.lit(" _ "), r1)))
+    found = found.select("doc_id", "_text", "_body", "_gaps", "_edges", words.alias("_words"), base.alias("_base"), *good)
+    return found.select("doc_id", "_text", "_base", "_words", "_gaps", "_edges", F.concat(*map(_seeds, KINDS)).alias("_seeds"))
 
 
 def _runs(rows: DataFrame, most: int) -> DataFrame:
-    """(doc_id, _text, start, end, value, before, after): words with digits and runs of up to `most` of them, outside the fixed patterns' spans."""
-    one = rows.where(F.size("_candidates") > 0).select("doc_id", "_text", "_base", F.posexplode("_candidates").alias("i", "c"), "_candidates")
-    one = one.select("doc_id", "_text", "_base", F.slice("_candidates", F.col("i") + 1, most).alias("run"))
-    free = F.filter(F.sequence(F.lit(2), F.size("run")), lambda k: F.get("run", k - 1)["joint"].isNull())
-    longest = F.when(F.size("run") > 1, F.coalesce(F.get(free, F.lit(0)) - 1, F.size("run"))).otherwise(1)
-    one = one.withColumn("k", F.explode(F.sequence(F.lit(1), longest)))
-    tail = F.transform(F.slice("run", 2, F.col("k") - 1), lambda c: F.concat(c["joint"], c["value"]))
-    first, last = F.get("run", F.lit(0)), F.get("run", F.col("k") - 1)
-    one = one.select("doc_id", "_text", "_base", first["start"].alias("at"), F.concat(first["value"], F.array_join(tail, "")).alias("whole"), first["before"].alias("before"), last["after"].alias("after"))
+    """(doc_id, _text, start, end, value, patterns): words with digits and runs of up to `most` of them with blanks between, outside the fixed patterns' spans."""
+    # the blanks before word i, where they are all that parts it from the word before
+    joint = lambda i: F.when((i > 0) & F.get("_gaps", i).rlike(r"\A\x20++\z") & ~F.get("_words", i)["taken"], F.get("_gaps", i))
+    more = lambda acc, j: F.when(
+        (F.size(acc) > 0) & F.element_at(acc, -1)["open"],
+        F.array_append(acc, F.struct(j.alias("j"), F.concat(F.element_at(acc, -1)["whole"], joint(j), F.get("_words", j)["value"]).alias("whole"), joint(j + 1).isNotNull().alias("open"))),
+    ).otherwise(acc)
+    begun = lambda w, i: F.array(F.struct(i.alias("j"), w["value"].alias("whole"), joint(i + 1).isNotNull().alias("open")))
+    of = lambda w, i: F.when(
+        ~w["taken"], F.transform(F.aggregate(F.sequence(i + 1, i + most - 1), begun(w, i), more) if most > 1 else begun(w, i), lambda r: F.struct(i.alias("i"), r["j"].alias("j"), w["start"].alias("at"), r["whole"].alias("whole")))
+    ).otherwise(F.array())
+    one = rows.where(F.size("_words") > 0).withColumn("_runs", F.flatten(F.transform("_words", of)))
+    one = one.withColumn("_runs", F.transform("_runs", lambda r: F.struct(r["at"].alias("at"), r["whole"].alias("whole"), _patterns(r["i"], r["j"]).alias("patterns"))))
+    one = one.select("doc_id", "_text", F.explode("_runs").alias("r")).select("doc_id", "_text", "r.*")
     # a word's edges often hold punctuation that isn't part of the identifier
     lead = F.length(F.regexp_extract("whole", r"^[\"'(\[{<,;:=]*", 0))
     value = F.regexp_replace("whole", r"^[\"'(\[{<,;:=]+|[\"')\]}>,;:.!?]+$", "")
-    one = one.select("doc_id", "_text", "_base", (F.col("at") + lead).alias("start"), value.alias("value"), "before", "after")
-    one = one.where(F.length("value") > 0).withColumn("end", F.col("start") + F.length("value"))
-    return one.where(~F.exists("_base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))).drop("_base")
+    one = one.select("doc_id", "_text", (F.col("at") + lead).alias("start"), value.alias("value"), "patterns")
+    return one.where(F.length("value") > 0).withColumn("end", F.col("start") + F.length("value"))
 
 
 def _outer(found: DataFrame) -> DataFrame:
@@ -146,15 +199,15 @@ def _outer(found: DataFrame) -> DataFrame:
 
 def _discovered(rows: DataFrame) -> DataFrame:
     """(doc_id, _text, spans): spans that contexts give and the fixed patterns don't."""
-    seeds = rows.where(F.size("_seeds") > 0).select(F.explode("_seeds").alias("s")).select("s.*")
-    seeds = seeds.select("kind", "value", _patterns(F.col("before"), F.col("after")).alias("patterns"), _shape(F.col("value")).alias("shape"))
+    of = F.transform("_seeds", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), _patterns(s["i"], s["j"]).alias("patterns")))
+    seeds = rows.where(F.size("_seeds") > 0).select(F.explode(of).alias("s")).select("s.*", _shape(F.col("s.value")).alias("shape"))
     seeds = materialise(seeds, "pii-seeds")
     # a value can only be of a kind whose seeds have its shape, so no run needs more words than these
     words = F.size(F.regexp_extract_all("shape", F.lit(CANDIDATE), F.lit(0)))
     most = seeds.agg(F.max(words)).first()[0] or 1
     shapes = seeds.select("kind", "shape").distinct()
     typed = _runs(rows, most).withColumn("shape", _shape(F.col("value"))).join(shapes, "shape")
-    typed = materialise(typed.select("doc_id", "_text", "start", "end", "kind", "value", _patterns(F.col("before"), F.col("after")).alias("patterns")), "pii-mentions")
+    typed = materialise(typed.select("doc_id", "_text", "start", "end", "kind", "value", "patterns"), "pii-mentions")
     edges = seeds.select("kind", "value", "patterns", F.lit(1.0).alias("known")).unionByName(typed.select("kind", "value", "patterns", F.lit(0.0).alias("known")))
     edges = edges.select("kind", "value", "known", F.explode("patterns").alias("pattern"))
     edges = edges.groupBy("kind", "pattern", "value").agg(F.max("known").alias("known"))
@@ -180,10 +233,10 @@ def _discovered(rows: DataFrame) -> DataFrame:
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added), a row for every row of `docs`.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans), a row for every row of `docs`.
 
     Offsets count code points, ends are exclusive. Counts and base_sha256 cover the fixed patterns; spans has these and what
-    the contexts add (n_added). Null text counts as empty: no spans. Rows alike in id and text get the same
+    the contexts add (n_added; n_spans: of both). Work grows in proportion to the text and its matches. Null text counts as empty: no spans. Rows alike in id and text get the same
     result; the same id with other text, or a null id, is searched for itself. Other columns of `docs` are not read.
     """
     rows = materialise(_matches(docs, text), "pii-rows")
@@ -193,5 +246,5 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return joined.select(
         "doc_id", *[count(k) for k in KINDS], F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(every).alias("spans"),
-        F.size(F.coalesce("_more", F.array().cast(SPAN))).cast("long").alias("n_added"),
+        F.size(F.coalesce("_more", F.array().cast(SPAN))).cast("long").alias("n_added"), F.size(every).cast("long").alias("n_spans"),
     )
