@@ -8,12 +8,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _FOLD = U64(0xD6E8FEB86659FD93)
 #: Bytes hashed in one go; a longer text is hashed in pieces of so many that end between words.
 CHUNK_BYTES = 256 << 10
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that a task turns into Python objects at a time; a longer text comes alone.
 SLICE_BYTES = 1 << 20
 
@@ -43,6 +46,14 @@ def _power_run(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(run)
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, with batches to Python of BATCH_BYTES at most, or one row: both sides hold several of them at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) != str(BATCH_BYTES):
+        spark.conf.set(name, BATCH_BYTES)
+    return spark
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most so many bytes in `column`, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelink.llm.hashing import slices
+from tracelink.llm.hashing import bounded_batches, slices
 from tracelink.storage import materialise
 
 ORDER = 4
@@ -283,6 +283,7 @@ def train(docs: DataFrame, seed: int = 11) -> Model:
     Where the languages have more n-grams than MODEL_GRAMS together, each keeps its share of the most frequent ones. The spread of a language's
     held-back entropies is drawn towards that of all; a language with under LEAST_HELD such texts rejects nothing.
     """
+    bounded_batches(docs.sparkSession)
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     chosen = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000))
@@ -361,7 +362,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """
     if not model.languages:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(model)
     found = docs.select(*keep, _predict(shared)("text").alias("_predicted"))
     return found.select(*keep, "_predicted.*")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelink.llm.hashing import U64, byte_table, chunks, mix, shingles, slices, word_hashes
+from tracelink.llm.hashing import U64, bounded_batches, byte_table, chunks, mix, shingles, slices, word_hashes
 from tracelink.operators.graph import connected_components
 from tracelink.storage import discard, materialise
 
@@ -316,7 +316,7 @@ def ngram_components(
     links, each with its own count; a null id links with nothing and has a null component. Other columns are not read.
     """
     plain = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
-    sketch = plain.sparkSession.sparkContext.broadcast(_sketch(plain, k, kind, lower))
+    sketch = bounded_batches(docs.sparkSession).sparkContext.broadcast(_sketch(plain, k, kind, lower))
     rows = plain.mapInArrow(_blocks(k, kind, lower, tenths, sketch), "key long, sig long, doc long, up long, n long, point binary")
     block = Window.partitionBy("key", "sig")
     stars = rows.withColumn("leader", F.coalesce("up", F.min("doc").over(block)))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelink.llm.hashing import U64, mix, slices
+from tracelink.llm.hashing import U64, bounded_batches, mix, slices
 from tracelink.llm.tokens import encoder
 from tracelink.storage import materialise
 
@@ -135,7 +135,7 @@ def token_shards(docs: DataFrame, key: int = 20240229, length: int = LENGTH, per
     Null and empty texts have no sequence. Repeated rows and ids, and null ids, have sequences of their own. No rows give no
     shards. A sequence's index is its place in the token table, which follows the order of the input's files and rows.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = materialise(plain.mapInArrow(_sequences(name, length), "doc_id long, part int, n int, tokens binary"), "tokens", compression="zstd")
     task = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelink.llm.hashing import slices
+from tracelink.llm.hashing import bounded_batches, slices
 from tracelink.storage import materialise, shared_dir
 
 CACHE = T.StructType([
@@ -104,7 +104,7 @@ def token_counts(docs: DataFrame, cache_path: str, name: str = "byte_bpe_50k.jso
     columns pass unchanged whatever they hold, except that columns named n_bytes, n_tokens or over_limit are replaced.
     A hot content costs one row per map task: the distinct step combines before it shuffles.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     version = tokenizer_digest(name)
     content = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumn("_digest", F.unhex(F.sha2(content, 256)))
