@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,20 +62,40 @@ def shared_certificates(certs: DataFrame, conf: Conf = Conf()) -> DataFrame:
     return per.where(F.col("domain_count") >= conf.min_domains).orderBy("case_id", F.desc("domain_count"), F.desc("url_count"), "issuer", "serial")
 
 
+def _openings(span: int):
+    """Times (case_id, second) of one run that open a window: the first, and each that is over `span` after the one before."""
+
+    def run(group: pa.Table) -> pa.Table:
+        times = np.sort(group.column("second").to_numpy())
+        found, at = [], 0
+        while at < len(times):
+            found.append(int(times[at]))
+            at = int(np.searchsorted(times, times[at] + span, "right"))
+        case = group.column("case_id")
+        return pa.table({"case_id": pa.array([case[0].as_py()] * len(found), case.type), "start": pa.array(found, pa.int64())})
+
+    return run
+
+
 def issuance_windows(certs: DataFrame, conf: Conf = Conf()) -> DataFrame:
     """Certificates of a case issued within hours of the first of their window; a window opens where the last one's span ends.
 
-    The fold over distinct issue times finds the windows; a join brings the certificates back, so that the fold holds times only.
+    A time after a gap of more than the span always opens a window, so the runs between such gaps are walked through apart; a run holds its distinct
+    seconds only. Gaps are found over buckets as long as the span. A certificate meets its window in one of the two buckets that this touches.
     """
-    one = certs.where(filled("serial") & F.col("not_before").isNotNull()).groupBy("case_id", "issuer", "serial").agg(F.min("not_before").alias("at"), F.collect_set("domain").alias("domains"))
-    times = one.groupBy("case_id").agg(F.array_sort(F.collect_set(F.unix_timestamp("at"))).alias("times"))
     span = conf.cert_window_hours * 3600
-    first = F.aggregate("times", F.array().cast("array<bigint>"), lambda acc, x: F.when(x - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-(2**60))) > span, F.array_append(acc, x)).otherwise(acc))
-    windows = times.select("case_id", F.explode(first).alias("start"))
-    # each certificate belongs to the last window that opens at or before it
-    line = Window.partitionBy("case_id").orderBy("second", F.desc("opens")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    events = one.withColumns({"second": F.unix_timestamp("at"), "opens": F.lit(0)}).unionByName(windows.withColumns({"second": F.col("start"), "opens": F.lit(1)}), allowMissingColumns=True)
-    inside = events.withColumn("start", F.max("start").over(line)).where("opens = 0")
+    one = certs.where(filled("serial") & F.col("not_before").isNotNull()).groupBy("case_id", "issuer", "serial").agg(F.min("not_before").alias("at"), F.collect_set("domain").alias("domains"))
+    one = one.withColumn("second", F.unix_timestamp("at")).withColumn("bucket", F.floor(F.col("second") / span))
+    times = one.select("case_id", "second", "bucket").distinct()
+    line = Window.partitionBy("case_id").orderBy("bucket")
+    buckets = times.groupBy("case_id", "bucket").agg(F.min("second").alias("first"), F.max("second").alias("last"))
+    gap = F.coalesce(F.col("first") - F.lag("last").over(line) > span, F.lit(True)).cast("int")
+    runs = buckets.withColumn("gap", gap).withColumn("run", F.sum("gap").over(line)).select("case_id", "bucket", "run")
+    case_type = certs.schema["case_id"].dataType.simpleString()
+    windows = times.join(runs, ["case_id", "bucket"]).groupBy("case_id", "run").applyInArrow(_openings(span), f"case_id {case_type}, start long")
+    first = F.floor(F.col("start") / span)
+    windows = windows.withColumn("bucket", F.explode(F.array(first, first + 1)))
+    inside = one.join(windows, ["case_id", "bucket"]).where(F.col("second").between(F.col("start"), F.col("start") + span))
     flat = inside.withColumn("domain", F.explode("domains"))
     per = flat.groupBy("case_id", "start").agg(
         F.min("at").alias("window_start"), F.max("at").alias("window_end"), F.count_distinct("issuer", "serial").alias("cert_count"), F.count_distinct("domain").alias("domain_count"),

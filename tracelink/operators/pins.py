@@ -139,7 +139,7 @@ def delete_case(t: CaseTables, case_id: int) -> CaseTables:
 
 def with_locale(cases: DataFrame, presets: DataFrame) -> DataFrame:
     """Cases with browser_locale and browser_timezone filled from (preset, locale, timezone); what a case states itself goes first."""
-    joined = cases.join(F.broadcast(presets.limit(1000)), "preset", "left")
+    joined = cases.join(presets, "preset", "left")
     return joined.withColumns({"browser_locale": F.coalesce("browser_locale", "locale"), "browser_timezone": F.coalesce("browser_timezone", "timezone")}).drop("locale", "timezone", "preset")
 
 

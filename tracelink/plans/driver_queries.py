@@ -217,7 +217,7 @@ def cloaking_suspects(spark, sf_dir):
 
 
 @query(f"""
-    WITH {CERTS_SQL.format(every=1)}
+    WITH {CERTS_SQL}
     SELECT case_id, issuer, serial, min(not_before) AS not_before, count(DISTINCT domain) AS domain_count, count(DISTINCT ua_id) AS url_count, string_agg(DISTINCT domain, ', ' ORDER BY domain) AS domains
     FROM certs GROUP BY 1, 2, 3 HAVING count(DISTINCT domain) >= 2
 """)
@@ -226,18 +226,20 @@ def shared_certificates(spark, sf_dir):
 
 
 @query(f"""
-    WITH RECURSIVE {CERTS_SQL.format(every=40)}, one AS (
+    WITH RECURSIVE {CERTS_SQL}, one AS MATERIALIZED (
         SELECT case_id, issuer, serial, min(not_before) AS issued FROM certs GROUP BY 1, 2, 3
     ), opens(case_id, start) AS (
         SELECT case_id, min(issued) FROM one GROUP BY 1
         UNION SELECT o.case_id, (SELECT min(issued) FROM one WHERE one.case_id = o.case_id AND one.issued > o.start + INTERVAL 24 HOUR) FROM opens o WHERE start IS NOT NULL
     )
-    SELECT o.case_id, min(c.issued) AS window_start, max(c.issued) AS window_end, count(DISTINCT (c.issuer, c.serial)) AS cert_count, count(DISTINCT x.domain) AS domain_count
+    SELECT o.case_id, min(c.issued) AS window_start, max(c.issued) AS window_end, count(DISTINCT (c.issuer, c.serial)) AS cert_count, count(DISTINCT x.domain) AS domain_count,
+        string_agg(DISTINCT x.domain, ', ' ORDER BY x.domain) AS domains, string_agg(DISTINCT c.issuer, ', ' ORDER BY c.issuer) AS issuers
     FROM opens o JOIN one c ON c.case_id = o.case_id AND c.issued BETWEEN o.start AND o.start + INTERVAL 24 HOUR JOIN certs x ON x.case_id = c.case_id AND x.issuer = c.issuer AND x.serial = c.serial
     WHERE o.start IS NOT NULL GROUP BY o.case_id, o.start HAVING count(DISTINCT (c.issuer, c.serial)) >= 2 AND count(DISTINCT x.domain) >= 2
 """)
 def issuance_windows(spark, sf_dir):
-    return infra.issuance_windows(p.certificates(spark, sf_dir, 40)).drop("domains", "issuers")
+    found = infra.issuance_windows(p.certificates(spark, sf_dir))
+    return found.withColumns({"domains": text("domains"), "issuers": text("issuers")})
 
 
 @query(f"""
@@ -541,13 +543,13 @@ def capture_status(spark, sf_dir):
 
 
 @query("""
-    WITH j AS (SELECT o_orderkey AS pos, o_custkey % 7 AS apex FROM orders WHERE o_orderkey < 2000)
+    WITH j AS (SELECT o_orderkey AS pos, o_custkey % 7 AS apex FROM orders)
     SELECT pos, apex, row_number() OVER (PARTITION BY apex ORDER BY pos) AS turn FROM j
 """)
 def round_robin(spark, sf_dir):
     from pyspark.sql import Window
 
-    jobs = p.read(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 7).alias("apex"))
+    jobs = p.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 7).alias("apex"))
     ordered = discovery.round_robin(jobs)
     return ordered.withColumn("turn", F.row_number().over(Window.partitionBy("apex").orderBy("pos")))
 

@@ -127,9 +127,8 @@ CAPTURES_SQL = """
     )"""
 
 
-def certificates(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").where(F.col("o_orderkey") % every == 0)
-    return orders.select(
+def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 3).alias("case_id"), F.col("o_orderkey").alias("ua_id"), F.col("o_orderkey").alias("post_id"), F.concat(F.lit("d"), F.col("o_orderkey") % 50).alias("domain"),
         F.concat(F.lit("CA "), F.col("o_custkey") % 5).alias("issuer"), F.col("o_custkey").cast("string").alias("serial"), F.col("o_orderdate").cast("timestamp").alias("not_before"), F.lit(None).cast("timestamp").alias("not_after"), F.lit(1).alias("sans"),
     )
@@ -138,13 +137,13 @@ def certificates(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
 CERTS_SQL = """
     certs AS (
         SELECT o_custkey % 3 AS case_id, o_orderkey AS ua_id, 'd' || o_orderkey % 50 AS domain, 'CA ' || o_custkey % 5 AS issuer, CAST(o_custkey AS VARCHAR) AS serial, CAST(o_orderdate AS TIMESTAMP) AS not_before
-        FROM orders WHERE o_orderkey % {every} = 0
+        FROM orders
     )"""
 
 
 def ads_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 domains' ads.txt with a skewed account each line; a tenth of them unread."""
-    rows = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    rows = read(spark, sf_dir, "lineitem")
     d = F.col("l_suppkey") % 40
     account = F.floor(F.sqrt(F.col("l_partkey").cast("double")) * 6).cast("int").cast("string")
     record = F.struct(F.lit("ads.example").alias("adsystem"), account.alias("seller_id"), F.when(F.col("l_returnflag") == "R", "DIRECT").otherwise("RESELLER").alias("relationship"), F.lit(None).cast("string").alias("cert_authority_id"))
@@ -159,10 +158,10 @@ def ads_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 ADS_SQL = """
     direct AS (
         SELECT DISTINCT CAST(0 AS BIGINT) AS case_id, l_suppkey % 40 AS d, 'd' || l_suppkey % 40 || '.example' AS domain, 'ads.example' AS adsystem, CAST(CAST(floor(sqrt(CAST(l_partkey AS DOUBLE)) * 6) AS INT) AS VARCHAR) AS seller_id
-        FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R'
+        FROM lineitem WHERE l_returnflag = 'R'
     ), files AS (
         SELECT DISTINCT l_suppkey % 40 AS d, 'd' || l_suppkey % 40 || '.example' AS domain, CASE WHEN (l_suppkey % 40) % 10 = 9 THEN 'error' ELSE 'ok' END AS status, sha256(CAST((l_suppkey % 40) % 13 AS VARCHAR)) AS sha
-        FROM lineitem WHERE l_linenumber = 1
+        FROM lineitem
     )"""
 
 
