@@ -128,3 +128,15 @@ def test_decision_lists_fail_closed(spark):
     assert [state(acq()), state(acq(id=None)), state(acq(kind="x")), state(acq(path="")), state(acq(), body=None), state(acq(), body="z"), state(acq(truncated=True)), state(acq(complete=None)), state(acq(), claim="q"), state(acq(), claim=None)] == [
         "verified", "body_missing", "wrong_kind", "legacy_unverifiable", "body_missing", "body_mismatch", "truncated", "truncated", "hash_disagrees", "hash_disagrees",
     ]
+
+
+def test_ids_in_every_form_of_call(spark):
+    pages = {
+        "gtag('event', 'conversion', {'send_to': 'AW-987654320'})": {"Google Ads": ["AW-987654320"]},
+        "{\"send_to\": \"AW-987654320/abc-D\"}": {"Google Ads": ["AW-987654320"]},
+        "window._fbq('init', '123456789012345')": {"Meta Pixel": ["123456789012345"]},
+        "<meta name='x' property='fb:pages' content='12, 34'>": {"Meta Facebook Page": ["12", "34"]},
+        "twq('config','abcd')": {"X / Twitter Pixel": ["abcd"]},
+        "send_to AW-987654320": {},
+    }
+    assert values(spark, list(pages), tracking_ids("x")) == list(pages.values())

@@ -7,43 +7,34 @@ from pyspark.sql import functions as F
 
 from tracelink import config
 
-_Q, _S = "['\"]", r"\s*"
-_RUN = r"[^'\"<>\s]*"
-
-
-def _call(name: str, *first: str) -> str:
-    """name('first', 'ID: a call up to where its id begins."""
-    return rf"\b{name}{_S}\({_S}" + "".join(rf"{_Q}{x}{_Q}{_S},{_S}" for x in first)
-
-
-#: Label, pattern whose first group is the id.
+#: Label, and the pattern whose first group is the id. Which call, URL or literal of a vendor counts decides every result.
 PATTERNS = [
-    ("Meta Pixel", _call("fbq", "init") + rf"{_Q}([0-9]{{15,17}}){_Q}"),
-    ("Google Analytics 4", _call("(?:gtag|ga)", "(?:config|create)") + rf"{_Q}(G-[A-Z0-9]{{6,12}}){_Q}"),
-    ("Google Analytics 4", rf"(?:googletagmanager|google-analytics)\.com{_RUN}[?&;](?:id|tid)=(G-[A-Z0-9]{{6,12}})(?![A-Z0-9])"),
-    ("Google Analytics (UA)", _call("(?:gtag|ga)", "(?:config|create)") + rf"{_Q}(UA-[0-9]{{4,12}}-[0-9]{{1,4}}){_Q}"),
-    ("Google Analytics (UA)", rf"(?:googletagmanager|google-analytics)\.com{_RUN}[?&;]tid=(UA-[0-9]{{4,12}}-[0-9]{{1,4}})(?![0-9])"),
-    ("Google Tag Manager", rf"{_Q}dataLayer{_Q}{_S},{_S}{_Q}(GTM-[A-Z0-9]{{4,8}}){_Q}"),
-    ("Google Tag Manager", rf"googletagmanager\.com{_RUN}[?&;]id=(GTM-[A-Z0-9]{{4,8}})(?![A-Z0-9])"),
-    ("Google Ads", _call("gtag", "config") + rf"{_Q}(AW-[0-9]{{9,12}}){_Q}"),
-    ("Google Ads", rf"{_Q}?send_to{_Q}?{_S}:{_S}{_Q}(AW-[0-9]{{9,12}})/"),
-    ("TikTok Pixel", _call(r"ttq\.load") + rf"{_Q}([A-Z0-9]{{15,25}}){_Q}"),
-    ("Microsoft Clarity", r"clarity\.ms/tag/([a-z0-9]{6,20})(?![a-z0-9])"),
-    ("Microsoft Clarity", _call("clarity", "set", "project") + rf"{_Q}([a-z0-9]{{6,20}}){_Q}"),
-    ("Hotjar", rf"_hjSettings{_S}={_S}\{{{_S}hjid{_S}:{_S}([0-9]{{4,10}}){_S},"),
-    ("LINE Tag", _call("_lt", "init") + rf"\{{[^}}]*?tagId{_Q}?{_S}:{_S}{_Q}([A-Za-z0-9_-]{{8,40}}){_Q}"),
-    ("X / Twitter Pixel", _call("twq", "(?:config|init)") + rf"{_Q}([A-Za-z0-9]{{4,20}}){_Q}"),
-    ("Google AdSense", rf"data-ad-client{_S}={_S}{_Q}(ca-pub-[0-9]{{16}}){_Q}"),
-    ("Google AdSense", rf"google_ad_client{_Q}?{_S}[:=]{_S}{_Q}(ca-pub-[0-9]{{16}}){_Q}"),
-    ("Google AdSense", rf"googlesyndication\.com{_RUN}[?&;]client=(ca-pub-[0-9]{{16}})(?![0-9])"),
-    ("Meta Facebook Page", rf"<meta\b[^>]*\bproperty{_S}={_S}{_Q}fb:pages{_Q}[^>]*\bcontent{_S}={_S}{_Q}([^'\">]*){_Q}"),
+    ("Meta Pixel", r"""fbq\s*\(\s*['"]init['"]\s*,\s*['"](\d{15,17})['"]"""),
+    ("Google Analytics 4", r"""(?:gtag|ga)\s*\(\s*['"](?:config|create)['"]\s*,\s*['"](G-[A-Z0-9]{6,12})['"]"""),
+    ("Google Analytics 4", r"""(?:googletagmanager\.com|google-analytics\.com)[^"'<>\s]*?[?&](?:id|tid)=(G-[A-Z0-9]{6,12})\b"""),
+    ("Google Analytics (UA)", r"""(?:gtag|ga)\s*\(\s*['"](?:config|create)['"]\s*,\s*['"](UA-\d{4,12}-\d{1,4})['"]"""),
+    ("Google Analytics (UA)", r"""(?:googletagmanager\.com|google-analytics\.com)[^"'<>\s]*?[?&]tid=(UA-\d{4,12}-\d{1,4})\b"""),
+    ("Google Tag Manager", r"""['"]dataLayer['"]\s*,\s*['"](GTM-[A-Z0-9]{4,8})['"]"""),
+    ("Google Tag Manager", r"""googletagmanager\.com[^"'<>\s]*?[?&]id=(GTM-[A-Z0-9]{4,8})\b"""),
+    ("Google Ads", r"""gtag\s*\(\s*['"]config['"]\s*,\s*['"](AW-\d{9,12})['"]"""),
+    ("Google Ads", r"""['"]send_to['"]\s*:\s*['"](AW-\d{9,12})(?:/[^'"]*)?['"]"""),
+    ("TikTok Pixel", r"""ttq\.load\s*\(\s*['"]([A-Z0-9]{15,25})['"]"""),
+    ("Microsoft Clarity", r"""clarity\.ms/tag/([a-z0-9]{6,20})\b"""),
+    ("Microsoft Clarity", r"""clarity\s*\(\s*['"]set['"]\s*,\s*['"]project['"]\s*,\s*['"]([a-z0-9]{6,20})['"]"""),
+    ("Hotjar", r"""_hjSettings\s*=\s*\{\s*hjid\s*:\s*(\d{4,10})\s*,"""),
+    ("LINE Tag", r"""_lt\s*\(\s*['"]init['"]\s*,\s*\{[^}]*tagId\s*:\s*['"]([A-Za-z0-9_-]{8,40})['"]"""),
+    ("X / Twitter Pixel", r"""twq\s*\(\s*['"](?:config|init)['"]\s*,\s*['"]([A-Za-z0-9]{4,20})['"]"""),
+    ("Google AdSense", r"""data-ad-client\s*=\s*['"](ca-pub-\d{16})['"]"""),
+    ("Google AdSense", r"""['"]?google_ad_client['"]?\s*[:=]\s*['"](ca-pub-\d{16})['"]"""),
+    ("Google AdSense", r"""googlesyndication\.com[^"'<>\s]*?[?&]client=(ca-pub-\d{16})\b"""),
+    ("Meta Facebook Page", r"""<meta\s+[^>]*property\s*=\s*['"]fb:pages['"][^>]*content\s*=\s*['"]([0-9,\s]+)['"]"""),
 ]
 
 
 def is_placeholder(value: Column) -> Column:
     """A segment after the first that is one letter over and over, or a known dummy."""
-    rest = F.slice(F.split(F.upper(value), "-"), 2, F.lit(100))
-    return F.exists(rest, lambda p: p.rlike(r"^([A-Z])\1{2,}$") | p.isin(config.PLACEHOLDERS))
+    parts = F.split(F.upper(value), "-")
+    return F.exists(F.slice(parts, F.lit(2), F.size(parts)), lambda p: p.rlike(r"^([A-Z])\1{2,}$") | p.isin(config.PLACEHOLDERS))
 
 
 def tracking_ids(html: Column | str) -> Column:

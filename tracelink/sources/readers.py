@@ -69,9 +69,13 @@ def domain_list(spark: SparkSession, path: str, apex: bool = True) -> DataFrame:
 
 
 def observations(spark: SparkSession, path: str) -> DataFrame:
-    """Observations of JSON lines, or of one JSON array: the first character tells."""
-    first = spark.read.text(path).select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).where("c <> ''").limit(1).collect()
-    return spark.read.schema(OBSERVATION).json(path, multiLine=bool(first) and first[0].c == "[")
+    """Observations of JSON lines, or of one JSON array: each file's first character tells. A line that is no record gives no row."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"), F.ltrim("value").alias("value"))
+    first = lines.where("value <> ''").groupBy("file").agg(F.min_by(F.left("value", F.lit(1)), F.struct("at", "line")).alias("c"))
+    arrays = [r.file for r in first.where("c = '['").select("file").collect()]
+    plain = lines.join(first.where("c <> '['"), "file", "left_semi").select(F.from_json("value", OBSERVATION).alias("o"))
+    rows = plain.where("o IS NOT NULL AND o.domain IS NOT NULL").select("o.*")
+    return rows.unionByName(spark.read.schema(OBSERVATION).json(arrays, multiLine=True)) if arrays else rows
 
 
 def prevalence(spark: SparkSession, path: str, schema_name: str = "prevalence/1") -> DataFrame:

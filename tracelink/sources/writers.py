@@ -39,11 +39,13 @@ def write_prevalence(rows: DataFrame, path: str, schema_name: str = "prevalence/
 
 
 def failed_capture_csv(pending: DataFrame, path: str) -> None:
-    pending.select("case_id", "scan_run_id", "final_url").orderBy("case_id", "scan_run_id").coalesce(1).write.mode("errorifexists").csv(path, header=True)
+    """Part files in order, each with a header."""
+    pending.select("case_id", "scan_run_id", "final_url").orderBy("case_id", "scan_run_id").write.mode("errorifexists").csv(path, header=True)
 
 
 def write_graph(lines: DataFrame, path: str) -> None:
-    lines.orderBy("case_id", "place", "line").select("line").coalesce(1).write.mode("errorifexists").text(path)
+    """Part files that make the graph when read one after the other."""
+    lines.orderBy("case_id", "place", "line").select("line").write.mode("errorifexists").text(path)
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:
@@ -63,10 +65,10 @@ def write_pack(tables: dict[str, DataFrame], bodies: DataFrame, path: str, key:
     if not bodies.where("content IS NULL").isEmpty():
         raise ValueError("a member has no content")
     for name, df in tables.items():
-        df.coalesce(1).write.mode("errorifexists").csv(f"{path}/{name}", header=True, escape='"', quoteAll=True)
+        df.write.mode("errorifexists").csv(f"{path}/{name}", header=True, escape='"', quoteAll=True)
     bodies.write.mode("errorifexists").parquet(f"{path}/bodies")
     manifest = export_manifest(bodies)
-    manifest.coalesce(1).write.mode("errorifexists").csv(f"{path}/manifest", header=True)
+    manifest.write.mode("errorifexists").csv(f"{path}/manifest", header=True)
     return manifest_hmac(manifest, key)
 
 
