@@ -71,8 +71,8 @@ def last_write(rows: DataFrame) -> DataFrame:
 
 
 def write_index(signals: DataFrame, path: str) -> None:
-    """Replaces the partitions (source_db, case_id) that `signals` holds, and no other."""
-    sorted_ = signals.repartition("source_db", "case_id").sortWithinPartitions("signal_type", "signal_value")
+    """Replaces the partitions (source_db, case_id) that `signals` holds, and no other; a large case is written by several tasks."""
+    sorted_ = signals.hint("rebalance", "source_db", "case_id").sortWithinPartitions("source_db", "case_id", "signal_type", "signal_value")
     sorted_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_db", "case_id").parquet(path)
 
 

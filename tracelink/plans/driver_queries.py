@@ -583,4 +583,4 @@ def attach_decisions(spark, sf_dir):
     return integrity.decision_histogram(integrity.attach_decisions(claims, scans, expected, now))
 
 
-from tracelink.plans import function_queries  # noqa: E402, F401  registers its queries
+from tracelink.plans import function_queries, store_queries  # noqa: E402, F401  registers their queries

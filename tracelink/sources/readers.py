@@ -107,9 +107,10 @@ def body_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def evidence_pack(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of an unpacked evidence pack: one CSV per table, and its bodies with fresh hashes."""
+    """Tables of an unpacked evidence pack: a CSV file, or folder of part files, per table, and its bodies with fresh hashes."""
     names = ["message_evidence", "url_artifacts", "scan_runs", "redirect_hops", "snapshots", "acquisitions"]
-    found = set(r.path for r in store_files(spark, path).select("path").where("path LIKE '%.csv'").collect())
+    parts = store_files(spark, path).select(F.regexp_extract("path", r"^([^/]+\.csv)(?:/|$)", 1).alias("name"))
+    found = {r.name for r in parts.where(F.col("name").isin([f"{n}.csv" for n in names])).distinct().collect()}
     tables = {n: spark.read.csv(f"{path}/{n}.csv", header=True, multiLine=True, escape='"') for n in names if f"{n}.csv" in found}
     return tables | {"files": store_files(spark, path, content=True).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))}
 

@@ -65,7 +65,7 @@ def write_pack(tables: dict[str, DataFrame], bodies: DataFrame, path: str, key:
     if not bodies.where("content IS NULL").isEmpty():
         raise ValueError("a member has no content")
     for name, df in tables.items():
-        df.write.mode("errorifexists").csv(f"{path}/{name}", header=True, escape='"', quoteAll=True)
+        df.write.mode("errorifexists").csv(f"{path}/{name}.csv", header=True, escape='"', quoteAll=True)
     bodies.write.mode("errorifexists").parquet(f"{path}/bodies")
     manifest = export_manifest(bodies)
     manifest.write.mode("errorifexists").csv(f"{path}/manifest", header=True)

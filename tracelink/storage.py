@@ -23,15 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is there when the driver ends is deleted."""
+    path = f"{shared_dir(spark)}/tracelink/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage without keeping anything on one machine; the files go by `discard`, or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracelink/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.options(**options).parquet(path)
-    atexit.register(_delete, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
