@@ -554,33 +554,4 @@ def round_robin(spark, sf_dir):
     return ordered.withColumn("turn", F.row_number().over(Window.partitionBy("apex").orderBy("pos")))
 
 
-@query()
-def extract_signals(spark, sf_dir):
-    return index.extract_signals(p.case_tables(spark, sf_dir), "main.db", "2026-01-01 00:00:00 UTC")
-
-
-@query()
-def group_graph(spark, sf_dir):
-    tracking = infra.shared_tracking_ids(p.case_tables(spark, sf_dir))
-    none = spark.createDataFrame([], "case_id long, issuer string, serial string, domains array<string>")
-    files = spark.createDataFrame([], "case_id long, sha256 string, domains array<string>, verification string")
-    fakes = spark.createDataFrame([], "case_id long, domain string, header string, value string, reason string")
-    signals = groups.hard_signals(tracking, none, files)
-    return groups.dot_lines(groups.groups(signals, groups.memberships(signals), fakes))
-
-
-@query()
-def attach_decisions(spark, sf_dir):
-    """Claims made of pages: every gate of the list meets some of them."""
-    pages = p.read(spark, sf_dir, "pages").withColumn("k", F.col("page_id") % 9)
-    claims = pages.select(
-        F.concat(F.lit("c/"), "page_id").alias("dir"), F.col("page_id").alias("scan_run_id"), first_of((F.col("k") == 0, "empty"), otherwise="capture").alias("kind"), (F.col("k") == 1).alias("filled"),
-        F.when(F.col("k") != 2, urls.registrable_domain(urls.hostname("url"))).alias("domain"), F.lit(None).cast("string").alias("manifest_domain"), F.to_timestamp(F.when(F.col("k") != 3, F.lit("2026-01-02 00:00:00"))).alias("captured_at"), F.lit("x").alias("digest"),
-    )
-    scans = pages.where("k <> 4").select(F.col("page_id").alias("scan_run_id"), F.when(F.col("k") == 5, "2026-01-03 00:00:00 UTC").otherwise("2026-01-01 00:00:00 UTC").alias("run_at"))
-    expected = pages.where("k <> 4").select(F.col("page_id").alias("scan_run_id"), F.array(F.when(F.col("k") == 6, "other.example").otherwise(urls.registrable_domain(urls.hostname("url")))).alias("domains"))
-    now = claims.select("dir", F.when(F.col("scan_run_id") % 9 == 7, "y").otherwise("x").alias("digest_now"))
-    return integrity.decision_histogram(integrity.attach_decisions(claims, scans, expected, now))
-
-
-from tracelink.plans import function_queries, store_queries  # noqa: E402, F401  registers their queries
+from tracelink.plans import case_queries, function_queries, store_queries  # noqa: E402, F401  registers their queries
