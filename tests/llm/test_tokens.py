@@ -1,5 +1,5 @@
 from tests.llm.conftest import AWKWARD
-from tracelink.llm.tokens import CACHE, encoder, fresh_cache, token_counts, tokenizer_path
+from tracelink.llm.tokens import CACHE, compact_cache, encoder, fresh_cache, token_counts, tokenizer_path
 
 
 def library_count(text):
@@ -35,3 +35,16 @@ def test_only_misses_are_encoded(spark, awkward):
 
 def test_empty_table(spark, nothing):
     assert token_counts(nothing, fresh_cache(spark)).count() == 0
+
+
+def test_a_digest_stored_twice_counts_once_and_columns_stay(spark):
+    path = fresh_cache(spark)
+    docs = spark.createDataFrame([(1, "one two", "d", "s"), (2, "three", "d", "s")], "doc_id long, text string, _digest string, digest string")
+    first = token_counts(docs, path)
+    rows = sorted(map(tuple, first.collect()))
+    spark.read.schema(CACHE).parquet(path).write.mode("append").parquet(path)
+    again = token_counts(docs, path)
+    assert sorted(map(tuple, again.collect())) == rows and again.columns == ["doc_id", "_digest", "digest", "n_bytes", "n_tokens", "over_limit"]
+    compact_cache(spark, path, path + "-compact")
+    assert spark.read.schema(CACHE).parquet(path + "-compact").count() == 2
+    assert sorted(map(tuple, token_counts(docs, path + "-compact").collect())) == rows

@@ -14,7 +14,7 @@ from functools import cached_property, lru_cache
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,25 +102,41 @@ def token_counts(docs: DataFrame, cache_path: str, name: str = "byte_bpe_50k.jso
     Null text counts as empty: 0 bytes, 0 tokens. Repeated contents are encoded once and never again while
     `cache_path` is kept; another tokenizer file has another digest and so its own counts. Rows, ids and other
     columns pass unchanged whatever they hold, except that columns named n_bytes, n_tokens or over_limit are replaced.
+    A content that the cache holds more than once, as after runs side by side, counts once.
     A hot content costs one row per map task: the distinct step combines before it shuffles.
     """
     spark = bounded_batches(docs.sparkSession)
-    version = tokenizer_digest(name)
+    version, key, count = tokenizer_digest(name), free_name(docs, "digest"), free_name(docs, "stored")
     content = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(content, 256)))
+    keyed = docs.withColumn(key, F.unhex(F.sha2(content, 256)))
     cache = spark.read.schema(CACHE).parquet(cache_path) if _exists(spark, cache_path) else spark.createDataFrame([], CACHE)
     known = cache.where(F.col("tokenizer") == version).select("digest", "n_tokens")
-    distinct = keyed.select(F.col("_digest").alias("digest"), content.alias("content")).dropDuplicates(["digest"])
+    distinct = keyed.select(F.col(key).alias("digest"), content.alias("content")).dropDuplicates(["digest"])
     misses = distinct.join(known.select("digest"), "digest", "left_anti")
     fresh = misses.mapInArrow(_encode_counts(name), "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == version)
-    stored = stored.select(F.col("digest").alias("_digest"), "n_tokens")
-    sized = keyed.drop("n_bytes", "n_tokens", "over_limit").withColumn("n_bytes", F.octet_length(content).cast("long")).drop(text)
-    counted = sized.join(stored, "_digest", "left").drop("_digest")
+    # runs side by side may both have appended a digest
+    stored = stored.groupBy(F.col("digest").alias(key)).agg(F.min("n_tokens").alias(count))
+    sized = keyed.withColumn("n_bytes", F.octet_length(content).cast("long")).drop("n_tokens", "over_limit", text)
+    counted = sized.join(stored, key, "left").drop(key).withColumnRenamed(count, "n_tokens")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def compact_cache(spark: SparkSession, cache_path: str, into: str) -> None:
+    """Each stored count once, in few files, at a new path."""
+    rows = spark.read.schema(CACHE).parquet(cache_path)
+    rows.groupBy("tokenizer", "digest").agg(F.min("n_tokens").alias("n_tokens")).write.parquet(into)
+
+
 def _exists(spark, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
