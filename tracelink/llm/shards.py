@@ -7,6 +7,7 @@ finds any slot by arithmetic and resumes there.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ LENGTH = 512
 PER_SHARD = 256
 TASK_BYTES = 64 << 20
 ROUNDS = 6
-SHARD = "shard long, first_slot long, n_sequences int, stride int, doc_ids array<long>, parts array<int>, lengths array<int>, crc32 long, payload binary"
+SHARD = "shard long, first_slot long, n_sequences int, stride int, id_bytes int, doc_ids array<long>, parts array<int>, lengths array<int>, crc32 long, payload binary"
 
 
 class Permutation:
@@ -97,13 +98,13 @@ def _slots(starts, n: int, key: int):
     return run
 
 
-def _pack(per_shard: int):
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
-    names = ["shard", "first_slot", "n_sequences", "stride", "doc_ids", "parts", "lengths", "crc32", "payload"]
+def _pack(per_shard: int, length: int):
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+    names = ["shard", "first_slot", "n_sequences", "stride", "id_bytes", "doc_ids", "parts", "lengths", "crc32", "payload"]
 
     def shard_row(number: int, rows: list[tuple]) -> list:
         payload = b"".join(r[4] for r in rows)
-        return [number, number * per_shard, len(rows), len(rows[0][4]), [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], zlib.crc32(payload), payload]
+        return [number, number * per_shard, len(rows), len(rows[0][4]), len(rows[0][4]) // length, [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], zlib.crc32(payload), payload]
 
     def emit(rows: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -129,11 +130,12 @@ def _pack(per_shard: int):
 
 
 def token_shards(docs: DataFrame, key: int = 20240229, length: int = LENGTH, per_shard: int = PER_SHARD, name: str = "byte_bpe_50k.json") -> DataFrame:
-    """SHARD rows: shard s holds slots s * per_shard on, each of `stride` bytes of little-endian ids.
+    """SHARD rows: shard s holds slots s * per_shard on, each of `stride` bytes of little-endian ids of `id_bytes`.
 
     A text's tokens and one end token fill sequences of `length`; the last is padded with end tokens (`lengths` tell).
     Null and empty texts have no sequence. Repeated rows and ids, and null ids, have sequences of their own. No rows give no
-    shards. A sequence's index is its place in the token table, which follows the order of the input's files and rows.
+    shards. A sequence's index is its place in the token table that is written once: by the task that wrote it, then by row.
+    Columns other than doc_id and text, whatever their names, are not read.
     """
     spark = bounded_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -154,18 +156,55 @@ def token_shards(docs: DataFrame, key: int = 20240229, length: int = LENGTH, per
     tasks = max(-(-total * length * 2 // TASK_BYTES), min(shards, 2 * spark.sparkContext.defaultParallelism))
     into = F.floor(F.floor(F.col("slot") / per_shard) * tasks / shards).cast("int")
     ordered = slotted.repartitionById(int(tasks), into).sortWithinPartitions("slot")
-    return ordered.mapInArrow(_pack(per_shard), SHARD)
+    return ordered.mapInArrow(_pack(per_shard, length), SHARD)
+
+
+INDEX = "shard long, first_slot long, n_sequences int, stride int, id_bytes int, doc_ids array<long>, parts array<int>, lengths array<int>, crc32 long, file string"
+
+
+def _write_files(path: str):
+    """Writes each shard's payload as a file; a task that runs again replaces it with the same bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            files = []
+            for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("payload"), strict=True):
+                files.append(f"shard-{shard:012d}.bin")
+                draft = f"{base}/.{files[-1]}-{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(payload.as_buffer())
+                store.move(draft, f"{base}/{files[-1]}")
+            kept = batch.drop_columns(["payload"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(files, pa.string())], [*kept.schema.names, "file"])
+
+    return run
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
-    shards.write.parquet(path)
+    """Binary files of fixed stride below `path`/data, a URI that all executors reach, and their index as Parquet in `path`/index."""
+    columns = [c.split()[0] for c in SHARD.split(", ")]
+    rows = shards.select(*columns)
+    index = rows.mapInArrow(_write_files(f"{path}/data"), INDEX)
+    index.write.parquet(f"{path}/index")
 
 
-def read_slots(spark: SparkSession, path: str, first: int, count: int, per_shard: int = PER_SHARD) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, ids) of `count` slots from `first` on, shard by shard; where a run stopped is where the next one starts."""
+def read_slots(spark: SparkSession, path: str, first: int, count: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) of `count` slots from `first` on, in order; where a run stopped is where the next one starts.
+
+    The index is listed once, for the shards asked for; of each file only the bytes of the slots are read.
+    """
+    from pyarrow import fs
+
     stop = first + count
-    for shard in range(first // per_shard, -(-stop // per_shard)):
-        for row in spark.read.parquet(path).where(F.col("shard") == shard).select("first_slot", "n_sequences", "stride", "payload").collect():
-            for slot in range(max(first, row.first_slot), min(stop, row.first_slot + row.n_sequences)):
-                at = (slot - row.first_slot) * row.stride
-                yield slot, np.frombuffer(row.payload[at : at + row.stride], "<u2")
+    store, base = fs.FileSystem.from_uri(f"{path}/data")
+    wanted = spark.read.parquet(f"{path}/index").where((F.col("first_slot") < stop) & (F.col("first_slot") + F.col("n_sequences") > first))
+    for row in wanted.select("first_slot", "n_sequences", "stride", "id_bytes", "file").orderBy("first_slot").toLocalIterator():
+        low, high = max(first, row.first_slot), min(stop, row.first_slot + row.n_sequences)
+        with store.open_input_file(f"{base}/{row.file}") as file:
+            file.seek((low - row.first_slot) * row.stride)
+            for slot in range(low, high):
+                yield slot, np.frombuffer(file.read(row.stride), f"<u{row.id_bytes}")
