@@ -140,3 +140,8 @@ def test_ids_in_every_form_of_call(spark):
         "send_to AW-987654320": {},
     }
     assert values(spark, list(pages), tracking_ids("x")) == list(pages.values())
+
+
+def test_both_spellings_of_a_name_are_one_domain(spark):
+    got = values(spark, ["www.bücher.de", "WWW.BÜCHER.DE.", "xn--bcher-kva.de", "a.bücher.co.uk", "x" * 70 + "ü.de"], u.registrable_domain(u.ascii_host(F.rtrim(F.lower("x"), F.lit(".")))))
+    assert got == ["xn--bcher-kva.de"] * 3 + ["xn--bcher-kva.co.uk", "x" * 70 + "ü.de"]

@@ -41,6 +41,12 @@ def is_direct_ip(host: Column | str) -> Column:
     return is_ipv4(h) | F.coalesce(tail.contains(":") & shaped & (whole | short), F.lit(False))
 
 
+def ascii_host(host: Column) -> Column:
+    """The IDNA form of a name that isn't ASCII; a name that has none stays as it is. For readers: Spark takes the call for one that can't be repeated."""
+    form = F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host))
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.coalesce(form, host)).otherwise(host)
+
+
 def registrable_domain(host: Column | str, private_suffixes: Sequence[str] = ()) -> Column:
     """Three labels under a two-label suffix, two elsewhere; addresses and short hosts as they are."""
     h = F.lower(F.rtrim(F.trim(_col(host)), F.lit(".")))

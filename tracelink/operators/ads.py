@@ -1,12 +1,13 @@
 """ads.txt accounts and templates: who carries what, and how much that says about the operator.
 
 Accounts of an exchange are carried by most domains, often in files that are alike. Domains with the same account set are one
-class; pairs of classes come from one self-join on the account, weigh as many pairs of domains as they stand for, and are joined back.
+class; pairs of classes that may share enough come from a self-join on each class's rarest accounts, weigh as many pairs of domains as they stand
+for, and are joined back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelink import config
@@ -53,8 +54,19 @@ def account_classes(accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def linked_classes(classes: DataFrame, held: DataFrame, conf: Conf = Conf()) -> DataFrame:
     """(case_id, c1, c2, pairs), c1 < c2: classes whose domains share enough accounts for one template, and how many pairs of domains that is."""
-    a, b = held.withColumnRenamed("class", "c1"), held.withColumnRenamed("class", "c2")
-    shared = a.join(b, ["case_id", *ACCOUNT]).where("c1 < c2").groupBy("case_id", "c1", "c2").agg(F.count("*").alias("shared")).where(F.col("shared") >= conf.template_min_shared)
+    # of a link's shared accounts one stands among the rarest of either class: a class leaves out fewer than must be shared
+    carried = held.groupBy("case_id", *ACCOUNT).agg(F.count("*").alias("carriers"))
+    rarest = Window.partitionBy("case_id", "class").orderBy("carriers", *ACCOUNT)
+    ranked = held.join(carried, ["case_id", *ACCOUNT]).join(classes.select("case_id", "class", "size"), ["case_id", "class"]).withColumn("place", F.row_number().over(rarest))
+    ranked = ranked.where((F.col("carriers") > 1) & (F.col("size") >= conf.template_min_shared))
+    need = F.greatest(F.lit(conf.template_min_shared), F.ceil(conf.template_overlap * F.col("size") - 1e-9))
+    small = ranked.where(F.col("place") <= F.col("size") - need + 1).select("case_id", *ACCOUNT, F.col("class").alias("x"), F.col("size").alias("sx"))
+    large = ranked.where(F.col("place") <= F.col("size") - conf.template_min_shared + 1).select("case_id", *ACCOUNT, F.col("class").alias("y"), F.col("size").alias("sy"))
+    order = (F.col("sx") < F.col("sy")) | (F.col("sx") == F.col("sy")) & (F.col("x") < F.col("y"))
+    pairs = small.join(large, ["case_id", *ACCOUNT]).where(order).select("case_id", F.least("x", "y").alias("c1"), F.greatest("x", "y").alias("c2")).distinct()
+    first = pairs.join(held.withColumnRenamed("class", "c1"), ["case_id", "c1"])
+    shared = first.join(held.withColumnRenamed("class", "c2"), ["case_id", "c2", *ACCOUNT], "left_semi").groupBy("case_id", "c1", "c2").agg(F.count("*").alias("shared"))
+    shared = shared.where(F.col("shared") >= conf.template_min_shared)
     side = lambda n: classes.select("case_id", F.col("class").alias(f"c{n}"), F.col("members").alias(f"m{n}"), F.col("size").alias(f"s{n}"))
     sized = shared.join(side(1), ["case_id", "c1"]).join(side(2), ["case_id", "c2"])
     return sized.where(F.col("shared") >= conf.template_overlap * F.least("s1", "s2")).select("case_id", "c1", "c2", (F.col("m1") * F.col("m2")).alias("pairs"))

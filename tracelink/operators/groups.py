@@ -9,6 +9,7 @@ from tracelink import config
 from tracelink.config import Conf
 from tracelink.operators.graph import connected_components
 from tracelink.operators.infra import sorted_set
+from tracelink.storage import materialise
 
 CHANNELS = {"tracking_id": "html", "certificate": "tls", "ads_txt_template": "ads_txt"}
 
@@ -32,13 +33,14 @@ def hard_signals(tracking: DataFrame, certificates: DataFrame, templates: DataFr
 def memberships(signals: DataFrame) -> DataFrame:
     """(case_id, domain, gid, group_size, label): components of domains over shared signals, largest first; gid counts from 1 in each case.
 
-    Nodes are numbers made of the case and the domain; each signal links its domains to its first, so that edges grow with members.
+    Domains of cases are numbered once; each signal links its domains to its first, so that edges grow with members and hold numbers only.
     """
     flat = signals.select("case_id", F.col("domains")[0].alias("first"), F.explode("domains").alias("domain"))
-    name = lambda c: F.to_json(F.struct("case_id", F.col(c).alias("domain")))
-    found = connected_components(flat.select(name("first").alias("a"), name("domain").alias("b")))
-    parts = lambda c: F.from_json(c, "case_id BIGINT, domain STRING")
-    rows = found.select(parts("node").alias("n"), "component").select("n.case_id", "n.domain", "component")
+    flat = materialise(flat, "signal-domains")
+    nodes = materialise(flat.select("case_id", "domain").distinct().withColumn("node", F.monotonically_increasing_id()), "domain-numbers")
+    side = lambda name, number: nodes.select("case_id", F.col("domain").alias(name), F.col("node").alias(number))
+    edges = flat.join(side("first", "a"), ["case_id", "first"]).join(side("domain", "b"), ["case_id", "domain"]).select("a", "b")
+    rows = connected_components(edges).join(nodes, "node").select("case_id", "domain", "component")
     sizes = rows.groupBy("case_id", "component").agg(F.count("*").alias("group_size"), F.min("domain").alias("label"))
     sizes = sizes.where("group_size > 1")
     gid = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("group_size"), "label"))

@@ -10,7 +10,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tracelink.functions.fingerprints import tracking_ids
 from tracelink.functions.parsing import ads_txt_body, list_apex, list_domain
-from tracelink.functions.urls import extract_urls, hostname, registrable_domain
+from tracelink.functions.urls import ascii_host, extract_urls, hostname, registrable_domain
 from tracelink.schema import OBSERVATION, PREVALENCE, filled
 
 POST_COLUMNS = ["platform", "permalink", "actor_label", "posted_at", "message_text"]
@@ -26,7 +26,7 @@ def posts_csv(spark: SparkSession, path: str) -> DataFrame:
 def post_urls(posts: DataFrame) -> DataFrame:
     """(message_id, case_id, original_url, domain, url_order) of posts (id, case_id, message_text): each URL of a post once."""
     each = posts.select(F.col("id").alias("message_id"), "case_id", F.posexplode(extract_urls("message_text")).alias("url_order", "original_url"))
-    return each.withColumn("domain", registrable_domain(hostname("original_url"))).dropDuplicates(["message_id", "original_url"])
+    return each.withColumn("domain", registrable_domain(ascii_host(hostname("original_url")))).dropDuplicates(["message_id", "original_url"])
 
 
 def html_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +59,7 @@ def sellers_json(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema("sellers ARRAY<STRUCT<domain: STRING>>").json(path, multiLine=True, mode="PERMISSIVE")
     host = F.lower(F.trim("s.domain"))
     bare = F.when(host.contains("://"), hostname(host)).otherwise(F.regexp_extract(host, "^([^/:]*)", 1))
-    return raw.select(F.explode("sellers").alias("s")).select(registrable_domain(bare).alias("domain")).where("domain LIKE '%.%'").distinct().orderBy("domain")
+    return raw.select(F.explode("sellers").alias("s")).select(registrable_domain(ascii_host(bare)).alias("domain")).where("domain LIKE '%.%'").distinct().orderBy("domain")
 
 
 def domain_list(spark: SparkSession, path: str, apex: bool = True) -> DataFrame:
