@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, near-duplicate join, decontamination, mixing, token shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
-docs. All but the last return the columns of `documents`.
+docs. All but the last return the columns of `documents`, and read these only: other columns, whatever their names, are left out.
+Rows may hold nulls anywhere, repeat ids and texts, and be none at all; what each stage makes of that is said there.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled rows that aren't held out, and drops what the models reject: no text, no letters, no language."""
+    """Learns from the labelled rows that aren't held out, and drops what the models reject.
+
+    A null or empty text, one without a letter, and one far from all languages go; where no row has both lang and text all
+    go. A null id counts as not held out. Rows that repeat an id or a text are judged each, by the text alone.
+    """
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.predict(docs, model, COLUMNS).where(~F.col("rejected")).select(*COLUMNS)
 
@@ -32,7 +37,11 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8: of each component the document with the smallest id stays, once. Null ids stay."""
+    """Five-word shingles, similarity 0.8: of each component the document with the smallest id stays, once.
+
+    Rows with a null id stay, whatever their text. Rows that share an id are one document: one of them stays, of the rows
+    alike or unlike in text any. Texts without words are like nothing and stay.
+    """
     found = materialise(ngram_join.ngram_components(docs.select("doc_id", "text"), k=5, tenths=8), "stage-components")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = materialise(docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id"), "stage-repeated")
@@ -42,13 +51,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which an item of `benchmark` is found go. Null and empty texts stay; rows that repeat an id or have none are judged each by their text."""
     return decontaminate.drop_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document comes as often as the mix takes it, to the nearest whole: not at all, once or twice.
 
-    Rows alike in id and source are one for the join, so their takes are summed and shared evenly.
+    Texts without words are never taken. A null source is one more source; null ids are taken like others. Rows alike in id and source are one for the join, so their takes are summed and shared evenly.
     """
     taken = mixing.mix_sources(docs).where("size > 0").groupBy("doc_id", "source").agg((F.sum("taken") / F.sum("size")).alias("times"))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.round("times").cast("int").alias("_times")).where("_times > 0")
@@ -57,6 +67,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shards of all rows' tokens in training order. Null and empty texts have no sequence; each of several rows with one id, or none, has its own."""
     return shards.token_shards(docs)
 
 
