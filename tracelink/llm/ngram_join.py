@@ -11,14 +11,15 @@ of one and of the other have one in common. The order is by how often a shingle'
 corpus occurs, rare ones first, so that passages which many documents share seldom name a block.
 
 In a block only its smallest id is compared with the others (no pairs within a group) and the links found are closed
-transitively; a round with other leaders follows in blocks that still hold several components. What is left of
-these goes into an R-tree each, whose search leaves out what is linked already. So
+transitively. Blocks that still hold several components are cut by size; after a round with other leaders what is left of
+them goes into an R-tree each, whose search leaves out what is linked already. So
 groups of copies cost about as many comparisons as they have members, and no link between different texts is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ from tracelink.llm.hashing import U64, bounded_batches, byte_table, chunks, mix,
 from tracelink.operators.graph import connected_components
 from tracelink.storage import discard, materialise
 
-#: Coordinates of the points at least; larger sets have so many that a group holds two to four shingles.
+#: Coordinates of the points at least; larger sets have so many that a group holds two to four shingles, up to MOST_GROUPS.
 GROUPS = 128
+MOST_GROUPS = 4096
 #: Members of one side of an R-tree join; larger blocks are joined part by part.
 PART = 1024
 LEAF = 32
@@ -63,7 +65,7 @@ def point(values: np.ndarray) -> np.ndarray:
     The number of groups is a power of two and the group a shingle's leading bits, so that pairs of neighbours add up to the
     counts of half as many groups.
     """
-    bits = max(GROUPS.bit_length() - 1, (max(1, len(values) // 4) - 1).bit_length())
+    bits = min(MOST_GROUPS.bit_length() - 1, max(GROUPS.bit_length() - 1, (max(1, len(values) // 4) - 1).bit_length()))
     return np.bincount((mix(values) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2")
 
 
@@ -258,32 +260,58 @@ class RTree:
         return nodes
 
 
+def _candidates(tenths: int, rows: list[tuple]) -> tuple[list, list]:
+    """Candidate pairs of one part of a block (side, doc, n, component, point) against another: different components, bound reached."""
+    a, b = ([r for r in rows if r[0] != other] for other in (1, 0))
+    found: tuple[list, list] = ([], [])
+    if a and b:
+        points = fold_points([r[4] for r in a + b])
+        mine, other = points[: len(a)], points[len(a) :]
+        doc, size, comp = (np.array([r[i] for r in b]) for i in (1, 2, 3))
+        # a tree of a leaf or two is its points
+        tree = RTree(other) if len(other) > 2 * LEAF else None
+        whole = all(r[0] == 2 for r in rows)
+        for (_, d, n, c, _), p in zip(a, mine, strict=True):
+            hit = np.flatnonzero((comp != c) & ((doc > d) | (not whole)) & (10 * size >= tenths * n) & (10 * n >= tenths * size)) if tree is None else tree.search(p, tenths * n / 10 - 1e-9)
+            if not len(hit):
+                continue
+            hit = hit[comp[hit] != c]
+            shared = np.minimum(other[hit], p).sum(1)
+            hit = hit[10 * shared >= tenths * (n + size[hit] - shared)]
+            found[0].extend(np.minimum(doc[hit], d).tolist())
+            found[1].extend(np.maximum(doc[hit], d).tolist())
+    return found
+
+
 def _tree_join(tenths: int):
-    """Candidate pairs of one part of a block against another: different components, bound reached."""
-
-    def run(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
-        a, b = group.filter(pa.array(side != 1)).to_pydict(), group.filter(pa.array(side != 0)).to_pydict()
-        found: tuple[list, list] = ([], [])
-        if a["doc"] and b["doc"]:
-            points = fold_points(a["point"] + b["point"])
-            mine, other = points[: len(a["doc"])], points[len(a["doc"]) :]
-            size, comp, doc = np.array(b["n"]), np.array(b["component"]), np.array(b["doc"])
-            # a tree of a leaf or two is its points
-            tree = RTree(other) if len(other) > 2 * LEAF else None
-            for d, n, c, p in zip(a["doc"], a["n"], a["component"], mine, strict=True):
-                # similar sets of n and at least tenths / 10 of n shingles share this many
-                hit = np.flatnonzero(comp != c) if tree is None else tree.search(p, tenths * n / 10 - 1e-9)
-                hit = hit[comp[hit] != c]
-                shared = np.minimum(other[hit], p).sum(1)
-                hit = hit[10 * shared >= tenths * (n + size[hit] - shared)]
-                found[0].extend(np.minimum(doc[hit], d).tolist())
-                found[1].extend(np.maximum(doc[hit], d).tolist())
-        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+    """Candidate pairs (a, b) of sorted rows (sig, i, j, side, doc, n, component, point)."""
+    names = ["sig", "i", "j", "side", "doc", "n", "component", "point"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*[batch.column(c).to_pylist() for c in names], strict=True))
+        a, b = [], []
+        for _, group in groupby(rows, key=lambda r: r[:3]):
+            found = _candidates(tenths, [r[3:] for r in group])
+            a.extend(found[0])
+            b.extend(found[1])
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _sized_blocks(members: DataFrame, points: DataFrame, tenths: int) -> DataFrame:
+    """Blocks (sig, doc) cut by size: sets within the similarity are in one class of size or in neighbouring ones. Of blocks with the same members one stays."""
+    grade = F.floor(F.log(F.col("n")) / F.log(F.lit(10 / tenths)) + 1e-9)
+    cut = members.join(points.select("doc", "n"), "doc").withColumn("grade", F.explode(F.array(grade, grade + 1)))
+    cut = cut.select(F.xxhash64("sig", "grade").alias("sig"), "doc")
+    alike = cut.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+    alike = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    return cut.join(alike, "sig", "left_semi")
+
+
 def _split(members: DataFrame, components: DataFrame) -> DataFrame:
     """(sig, doc, component) of the blocks that hold several components."""
     known = members.join(components, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
@@ -332,11 +360,12 @@ def ngram_components(
     links = verifier.links(pairs)
     components = connected_components(equal.union(links))
 
-    # blocks of three and more that hold several components have pairs that weren't compared; of blocks with the same members one is enough
+    # blocks of three and more that hold several components have pairs that weren't compared
     members = near.select("sig", F.col("a").alias("doc")).union(near.select("sig", "b")).distinct()
-    alike = members.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
-    alike = alike.where("n > 2").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    members = materialise(members.join(alike, "sig", "left_semi"), "ngram-members")
+    large = materialise(members.groupBy("sig").count().where("count > 2").select("sig"), "ngram-large")
+    open_ = materialise(_split(members.join(large, "sig", "left_semi"), components), "ngram-open")
+    members = materialise(_sized_blocks(open_.select("sig", "doc"), points, tenths), "ngram-members")
+    discard(open_, large)
     for number in range(ROUNDS):
         open_ = materialise(_split(members, components), "ngram-open")
         if open_.isEmpty():
@@ -357,8 +386,9 @@ def ngram_components(
         later = F.transform(F.sequence("part", F.col("parts") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.when(j == F.col("part"), 2).otherwise(0).alias("side")))
         earlier = F.when(F.col("part") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("part") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"))))
         to = F.concat(later, F.coalesce(earlier, F.array().cast("array<struct<i:bigint,j:bigint,side:int>>")))
+        keys = ["sig", "i", "j"]
         dealt = dealt.withColumn("to", F.explode(to)).select("sig", "to.*", "doc", "n", "point", "component")
-        more = dealt.groupBy("sig", "i", "j").applyInArrow(_tree_join(tenths), "a long, b long")
+        more = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_join(tenths), "a long, b long")
         more = materialise(more.where("a <> b").distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-more")
         components = _merged(components, verifier.links(more))
     listed = stars.where("n IS NOT NULL").select(F.col("doc").alias(id), F.col("n").alias("n_shingles"))
