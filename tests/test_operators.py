@@ -1,4 +1,6 @@
+import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +54,30 @@ def test_greedy_windows_anchor_at_the_first(spark):
     assert [(r.window_start.hour, r.cert_count) for r in got] == [(0, 2), (16, 2)]
 
 
+def test_windows_match_a_walk_through_all_times(spark):
+    rng = random.Random(5)
+    base = dt.datetime(2026, 1, 1, tzinfo=dt.UTC)
+    rows = []
+    for case in range(3):
+        at = 0
+        for i in range(120):
+            at += rng.choice([0, 1, 3600, 40_000, 86_400, 86_401, 200_000])
+            rows.append((case, i, i, f"d{rng.randrange(9)}", f"CA {rng.randrange(3)}", f"s{i}", base + dt.timedelta(seconds=at)))
+    want = set()
+    for case in range(3):
+        left = sorted((r for r in rows if r[0] == case), key=lambda r: r[6])
+        while left:
+            inside = [r for r in left if r[6] <= left[0][6] + dt.timedelta(hours=24)]
+            domains = {r[3] for r in inside}
+            if len(inside) >= 2 and len(domains) >= 2:
+                want.add((case, len(inside), len(domains), ", ".join(sorted(domains))))
+            left = left[len(inside) :]
+    schema = "case_id long, ua_id long, post_id long, domain string, issuer string, serial string, not_before timestamp"
+    certs = spark.createDataFrame(rows, schema).withColumns({"not_after": F.lit(None).cast("timestamp"), "sans": F.lit(1)})
+    got = {(r.case_id, r.cert_count, r.domain_count, ", ".join(r.domains)) for r in infra.issuance_windows(certs).collect()}
+    assert got == want and len(got) > 20
+
+
 def test_tracking_counts_every_usable_capture(spark):
     ids = json.dumps({"Meta Pixel": ["1" * 15], "Bad": "x"})
     snaps = [(1, 10, "a.test", ids, "ok"), (2, 11, "b.test", ids, "ok"), (3, 11, "c.test", ids, "error"), (4, 10, "a2.test", ids, "ok")]

@@ -43,6 +43,8 @@ def test_observations_and_prevalence(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text(json.dumps(one) + "\n" + json.dumps(one) + "\n")
     (tmp_path / "a.json").write_text(json.dumps([one, one, one], indent=1))
     assert readers.observations(spark, str(tmp_path / "l.jsonl")).count() == 2 and readers.observations(spark, str(tmp_path / "a.json")).count() == 3
+    # both forms in one folder, each told by its own first character
+    assert readers.observations(spark, str(tmp_path / "[al].js*")).count() == 5
     rows = spark.createDataFrame([("x", "1", 300, 1000)], "adsystem string, seller_id string, hits long, site_count long")
     writers.write_prevalence(rows, str(tmp_path / "prev"))
     assert [tuple(r) for r in readers.prevalence(spark, str(tmp_path / "prev")).collect()] == [("x", "1", 300, 1000)]
