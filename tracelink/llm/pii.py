@@ -144,7 +144,10 @@ def _patterns(first: Column, last: Column) -> Column:
 
 
 def _matches(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, _text, _base, _words, _gaps, _edges, _seeds): spans of the fixed patterns, candidate words, and what stands between them."""
+    """(doc_id, _text, _base, _words, _gaps, _edges, _seeds): spans of the fixed patterns, candidate words, and what stands between them.
+
+    _gaps has only gaps of blanks, and null for others: of those only the words at their edges are kept.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     plain = docs.select("doc_id", F.sha2(body, 256).alias("_text"), body.alias("_body"))
     some = plain.withColumn("_some", F.col("_body").rlike("[0-9@]"))
@@ -163,14 +166,15 @@ def _matches(docs: DataFrame, text: str) -> DataFrame:
     touched = lambda m: F.array_max(F.array(*[F.coalesce(F.get(F.col(f"_ok_{k}"), _last(F.col(f"_ok_{k}"), m["end"] - 1))["end"], F.lit(0)) for k in KINDS])) > m["start"]
     words = F.transform("_at_candidate", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), touched(m).alias("taken")))
     base = F.array_sort(F.concat(*[_spans(k) for k in KINDS])).cast(SPAN)
-    found = found.select("doc_id", "_text", "_body", "_gaps", "_edges", words.alias("_words"), base.alias("_base"), *good)
+    joints = F.transform("_gaps", lambda g: F.when(g.rlike(r"\A\x20++\z"), g))
+    found = found.select("doc_id", "_text", "_body", joints.alias("_gaps"), "_edges", words.alias("_words"), base.alias("_base"), *good)
     return found.select("doc_id", "_text", "_base", "_words", "_gaps", "_edges", F.concat(*map(_seeds, KINDS)).alias("_seeds"))
 
 
 def _runs(rows: DataFrame, most: int) -> DataFrame:
     """(doc_id, _text, start, end, value, patterns): words with digits and runs of up to `most` of them with blanks between, outside the fixed patterns' spans."""
     # the blanks before word i, where they are all that parts it from the word before
-    joint = lambda i: F.when((i > 0) & F.get("_gaps", i).rlike(r"\A\x20++\z") & ~F.get("_words", i)["taken"], F.get("_gaps", i))
+    joint = lambda i: F.when((i > 0) & ~F.get("_words", i)["taken"], F.get("_gaps", i))
     more = lambda acc, j: F.when(
         (F.size(acc) > 0) & F.element_at(acc, -1)["open"],
         F.array_append(acc, F.struct(j.alias("j"), F.concat(F.element_at(acc, -1)["whole"], joint(j), F.get("_words", j)["value"]).alias("whole"), joint(j + 1).isNotNull().alias("open"))),
