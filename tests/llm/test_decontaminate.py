@@ -107,7 +107,7 @@ def test_window_sums_count_repeats_once():
     for n, kinds in ((1, 1), (9, 2), (60, 7), (200, 500)):
         values, columns = rng.integers(0, kinds, n).astype(np.uint64), rng.integers(-5, 6, (n, 3))
         for size in {1, 2, (n + 1) // 2, n} - {k for k in range(9) if k > n}:
-            got = Windows(values).sums(columns, size)
+            got = Windows(values, columns).sums(size)
             for start in range(n - size + 1):
                 first = np.unique(values[start : start + size], return_index=True)[1] + start
                 assert (got[start] == columns[first].sum(0)).all()

@@ -29,6 +29,8 @@ RADIUS = 18
 SLAB_BYTES = 8 << 20
 #: Starts of windows in one row of a stretch, which then holds so many shingles and the longest item's.
 STEP = 4096
+#: Stretches in a task that matches them, and tasks at most.
+STRETCHES, MOST_TASKS = 250, 20_000
 #: Bits per shingle of the Bloom filter, and the most it may have (256 MB); beyond that it lets more through.
 BLOOM_BITS, BLOOM_MOST = 32, 31
 #: So many leaking documents at most go to all tasks (some 64 MB); more are joined with the documents.
@@ -45,32 +47,32 @@ def blocks(radius: int = RADIUS) -> list[tuple[int, int]]:
 
 
 class Windows:
-    """Sums over the distinct shingles of every window of a run."""
+    """Sums of columns over the distinct shingles of every window of a run."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, columns: np.ndarray):
         order = np.argsort(values, kind="stable")
         same = values[order[1:]] == values[order[:-1]]
-        self.again, self.before = order[1:][same], order[:-1][same]
+        self.again, self.before, self.columns = order[1:][same], order[:-1][same], columns
+        self.total = np.zeros((len(columns) + 1, columns.shape[1]), np.int64)
+        np.cumsum(columns, axis=0, out=self.total[1:])
 
-    def sums(self, columns: np.ndarray, size: int) -> np.ndarray:
+    def sums(self, size: int) -> np.ndarray:
         """Row per start of a window of `size`; a shingle counts where it comes first in the window."""
-        n = len(columns)
-        total = np.zeros((n + 1, columns.shape[1]), np.int64)
-        np.cumsum(columns, axis=0, out=total[1:])
-        found = total[size:] - total[: n - size + 1]
-        first, last = np.maximum(0, self.again - size + 1), np.minimum(self.before, n - size)
-        some = first <= last
-        if some.any():
-            change = np.zeros((n - size + 2, columns.shape[1]), np.int64)
-            np.add.at(change, first[some], columns[self.again[some]])
-            np.subtract.at(change, last[some] + 1, columns[self.again[some]])
+        n = len(self.columns)
+        found = self.total[size:] - self.total[: n - size + 1]
+        if len(self.again):
+            first, last = np.maximum(0, self.again - size + 1), np.minimum(self.before, n - size)
+            some = first <= last
+            change = np.zeros((n - size + 2, self.columns.shape[1]), np.int64)
+            np.add.at(change, first[some], self.columns[self.again[some]])
+            np.subtract.at(change, last[some] + 1, self.columns[self.again[some]])
             found -= np.cumsum(change[:-1], axis=0)
         return found
 
-    def dense(self, weights: np.ndarray, hit: np.ndarray, size: int) -> np.ndarray:
-        """Starts of the windows of `size` whose hits may have SIMILAR of the weight."""
-        both = self.sums(np.stack([weights, weights * hit], 1), size)
-        return np.flatnonzero((both[:, 1] > 0) & (both[:, 1] >= (SIMILAR - 1e-6) * both[:, 0]))
+
+def _dense(sums: np.ndarray) -> np.ndarray:
+    """Rows whose second column, the weight of the benchmark's shingles, may be SIMILAR of the first, the weight of all."""
+    return np.flatnonzero((sums[:, 1] > 0) & (sums[:, 1] >= (SIMILAR - 1e-6) * sums[:, 0]))
 
 
 def _votes(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -88,29 +90,43 @@ def _fixed(weights: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Sized:
-    """A slab's items of one size: ids, words, sets with weights, fingerprints, and the multi-index over these."""
-
-    places: list[int]
-    ids: list[int]
-    words: list[int]
-    sets: list[np.ndarray]
-    totals: list[float]
-    prints: np.ndarray
-    index: list[tuple[np.ndarray, np.ndarray]]
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of fingerprints within the radius, each pair once."""
-        found = [np.zeros(0, np.int64)]
-        for (shift, width), (keys, order) in zip(blocks(), self.index, strict=True):
-            wanted = (prints >> U64(shift)) & U64((1 << width) - 1)
-            low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-            sizes = high - low
-            window = np.repeat(np.arange(len(prints)), sizes)
-            item = order[np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
-            close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
-            found.append(window[close] * len(self.prints) + item[close])
-        return np.divmod(np.unique(np.concatenate(found)), len(self.prints))
+class Item:
+    place: int
+    id: int
+    words: int
+    shingles: np.ndarray
+    total: float
+
+
+class Slab:
+    """A part of the benchmark: items, their fingerprints, and the multi-index over these, a table of each size's blocks."""
+
+    def __init__(self, by: dict[int, list[tuple[Item, np.ndarray]]]):
+        self.sizes = sorted(by)
+        self.items = [item for size in self.sizes for item, _ in by[size]]
+        of = np.repeat(np.arange(len(self.sizes)), [len(by[size]) for size in self.sizes])
+        self.prints = np.concatenate([_prints(_votes(item.shingles, _fixed(w)).sum(0, keepdims=True)) for size in self.sizes for item, w in by[size]])
+        keys = self._keys(of, self.prints)
+        order = np.argsort(keys, axis=None, kind="stable")
+        self.keys, self.owner = keys.reshape(-1)[order], order // keys.shape[1]
+
+    @staticmethod
+    def _keys(size: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """Size, block and the block's bits, of each fingerprint and block."""
+        parts = blocks()
+        shifts, widths = (np.array(c, U64) for c in zip(*parts, strict=True))
+        bits = (prints[:, None] >> shifts) & ((U64(1) << widths) - U64(1))
+        return ((size[:, None] * len(parts) + np.arange(len(parts))) << 8) + bits.astype(np.int64)
+
+    def near(self, size: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of fingerprints of a size within the radius, each pair once."""
+        wanted = self._keys(size, prints)
+        low, high = np.searchsorted(self.keys, wanted.reshape(-1), "left"), np.searchsorted(self.keys, wanted.reshape(-1), "right")
+        sizes = high - low
+        window = np.repeat(np.arange(wanted.size) // wanted.shape[1], sizes)
+        item = self.owner[np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+        return np.divmod(np.unique(window[close] * len(self.prints) + item[close]), len(self.prints))
 
 
 def _runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
@@ -121,23 +137,15 @@ def _runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
         yield from zip(shingles(hashes, offsets, K), np.diff(offsets).tolist(), strict=True)
 
 
-def slab_of(rows: list[tuple[int, str | None]], held: dict[int, int], total: int) -> dict[int, Sized]:
-    """Items by size in shingles. held: how many of the benchmark's `total` items hold a shingle, whose weight falls with it."""
+def slab_of(rows: list[tuple[int, str | None]], held: dict[int, int], total: int) -> Slab | None:
+    """held: how many of the benchmark's `total` items hold a shingle, whose weight falls with it. Items without words are left out."""
     by: dict[int, list] = {}
-    for place, ((item, _), (run, words)) in enumerate(zip(rows, _runs([t for _, t in rows]), strict=True)):
+    for place, ((id_, _), (run, words)) in enumerate(zip(rows, _runs([t for _, t in rows]), strict=True)):
         if len(run):
-            by.setdefault(len(run), []).append((place, item, words, np.unique(run)))
-    slab = {}
-    for size, items in by.items():
-        weights = [1 + np.log(total / np.array([held[x] for x in s.tolist()])) for *_, s in items]
-        prints = np.concatenate([_prints(_votes(s, _fixed(w)).sum(0, keepdims=True)) for (*_, s), w in zip(items, weights, strict=True)])
-        index = []
-        for shift, width in blocks():
-            keys = (prints >> U64(shift)) & U64((1 << width) - 1)
-            order = np.argsort(keys, kind="stable")
-            index.append((keys[order], order))
-        slab[size] = Sized(*(list(c) for c in zip(*items, strict=True)), [float(w.sum()) for w in weights], prints, index)
-    return slab
+            values = np.unique(run)
+            weights = 1 + np.log(total / np.array([held[x] for x in values.tolist()]))
+            by.setdefault(len(run), []).append((Item(place, id_, words, values, float(weights.sum())), weights))
+    return Slab(by) if by else None
 
 
 @dataclass
@@ -176,14 +184,13 @@ class Filter:
         for own in np.split(places, cuts):
             a, b = max(0, int(own[0]) - longest), min(len(run), int(own[-1]) + longest + 1)
             part = run[a:b]
-            windows = Windows(part)
-            ones = np.ones(len(part), np.int64)
+            windows = Windows(part, np.stack([np.ones(len(part), np.int64), hit[a:b].astype(np.int64)], 1))
             for size in self.sizes:
                 width = min(size, len(run))
                 # of a window's shingles at most the repeats don't count
                 if len(own) < (SIMILAR - 1e-6) * (width - len(windows.again)):
                     continue
-                starts = windows.dense(ones, hit[a:b].astype(np.int64), width) + a
+                starts = _dense(windows.sums(width)) + a
                 np.add.at(covered, starts, 1)
                 np.subtract.at(covered, starts + width, 1)
                 if width < size:
@@ -224,31 +231,33 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(values), pa.int64()), pa.array(values.view(np.int64)), size], ["number", "shingle", "size"])
 
 
-def _best(slab: dict[int, Sized], values: np.ndarray, held: np.ndarray, n: int, total: int) -> Iterator[tuple[Sized, int, float, int, int]]:
-    """(items, item, similarity, start, distance) of the verified windows of one stretch, the best one of each item."""
-    windows = Windows(values)
+def _best(slab: Slab, values: np.ndarray, held: np.ndarray, n: int, total: int) -> Iterator[tuple[Item, float, int, int]]:
+    """(item, similarity, start, distance) of the verified windows of one stretch, the best one of each item."""
     weights = 1 + np.log(total / np.maximum(held, 1))
-    fixed, hit, votes = _fixed(weights), (held > 0).astype(np.int64), None
-    for size, items in slab.items():
+    fixed = _fixed(weights)
+    windows = Windows(values, np.column_stack([fixed, fixed * (held > 0), _votes(values, fixed)]))
+    sizes, starts, prints = [], [], []
+    for number, size in enumerate(slab.sizes):
         # an item longer than the document is compared with the whole of it
-        width = min(size, n)
-        if width > len(values):
-            continue
-        starts = windows.dense(fixed, hit, width)
-        if not len(starts):
-            continue
-        votes = _votes(values, fixed) if votes is None else votes
-        prints = _prints(windows.sums(votes, width)[starts])
-        best: dict[int, tuple] = {}
-        for at, item in zip(*(x.tolist() for x in items.near(prints)), strict=True):
-            start = int(starts[at])
-            own, first = np.unique(values[start : start + width], return_index=True)
-            mine = weights[start + first]
-            shared = mine[np.isin(own, items.sets[item], assume_unique=True)].sum()
-            similar = float(shared / (items.totals[item] + mine.sum() - shared))
-            if similar >= SIMILAR - 1e-12 and similar > best.get(item, (0.0,))[0]:
-                best[item] = similar, start, (int(prints[at]) ^ int(items.prints[item])).bit_count()
-        yield from ((items, item, *found) for item, found in best.items())
+        if (width := min(size, n)) <= len(values):
+            sums = windows.sums(width)
+            own = _dense(sums)
+            starts.append(own)
+            sizes.append(np.full(len(own), number))
+            prints.append(_prints(sums[own, 2:]))
+    if not starts:
+        return
+    start, size, print_ = np.concatenate(starts), np.concatenate(sizes), np.concatenate(prints)
+    best: dict[int, tuple] = {}
+    for at, item in zip(*(x.tolist() for x in slab.near(size, print_)), strict=True):
+        a = int(start[at])
+        own, first = np.unique(values[a : a + slab.sizes[size[at]]], return_index=True)
+        mine = weights[a + first]
+        shared = mine[np.isin(own, slab.items[item].shingles, assume_unique=True)].sum()
+        similar = float(shared / (slab.items[item].total + mine.sum() - shared))
+        if similar >= SIMILAR - 1e-12 and similar > best.get(item, (0.0,))[0]:
+            best[item] = similar, a, (int(print_[at]) ^ int(slab.prints[item])).bit_count()
+    yield from ((slab.items[item], *found) for item, found in best.items())
 
 
 FOUND = f"row long, doc_id long, tag long, place long, {MATCH}"
@@ -263,8 +272,8 @@ def _match_rows(shared, total: int):
             for row in zip(*[batch.column(c) for c in ("row", "doc_id", "tag", "start", "n", "n_words", "values", "held")], strict=True):
                 *key, start, n, words = (x.as_py() for x in row[:6])
                 values, held = (x.values.to_numpy(zero_copy_only=False) for x in row[6:])
-                for items, item, similar, at, distance in _best(slab, values.view(U64), held, n, total):
-                    out.append((*key, items.places[item], items.ids[item], similar, start + at, min(items.words[item], words), distance))
+                for item, similar, at, distance in _best(slab, values.view(U64), held, n, total):
+                    out.append((*key, item.place, item.id, similar, start + at, min(item.words, words), distance))
             columns = zip(*out, strict=True) if out else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -297,15 +306,20 @@ def _matches(docs: DataFrame, benchmark: DataFrame, slab_bytes: int) -> DataFram
     each = found.select("row", "start", F.posexplode("values").alias("i", "shingle")).join(held, "shingle", "left")
     each = each.groupBy("row", "start").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("held", F.lit(0)).alias("held")))).alias("of"))
     weighed = found.join(each.select("row", "start", F.col("of.held").alias("held")), ["row", "start"])
-    weighed = materialise(weighed, "weighed-stretches") if count > 1 else weighed
+    weighed = materialise(weighed, "weighed-stretches")
+    # stretches are few bytes and much work
+    tasks = max(1, min(-(-weighed.count() // STRETCHES), MOST_TASKS))
 
     matches = []
     for number in range(count):
         here = sorted(items.where(F.col("number") == number).collect(), key=lambda r: (r.item_id is None, r.item_id, r.text))
         counts = held.join(rows.where(F.col("number") == number).select("shingle").distinct(), "shingle").toArrow()
         counts = dict(zip(counts.column("shingle").to_numpy().view(U64).tolist(), counts.column("held").to_pylist(), strict=True))
-        slab = spark.sparkContext.broadcast(slab_of([(r.item_id, r.text) for r in here], counts, total))
-        one = weighed.mapInArrow(_match_rows(slab, total), FOUND)
+        made = slab_of([(r.item_id, r.text) for r in here], counts, total)
+        if made is None:
+            continue
+        slab = spark.sparkContext.broadcast(made)
+        one = weighed.repartition(tasks).mapInArrow(_match_rows(slab, total), FOUND)
         # stretches overlap, and one document may hold an item twice
         best = F.max_by(F.struct("similarity", "start_word", "n_words", "distance"), F.struct("similarity", -F.col("start_word")))
         one = one.groupBy("row", "doc_id", "tag", "place", "item_id").agg(best.alias("m"))
