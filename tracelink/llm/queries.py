@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelink.llm import chat, decontaminate, langid, licenses, mixing, ngram_join, pii, shards, tokens, vectors
+from tracelink.llm import align, chat, decontaminate, divergence, langid, licenses, mixing, ngram_join, pii, shards, tokens, vectors, warc
+from tracelink.storage import scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +59,20 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(_read(spark, sf_dir, "pages"), path)
+    return warc.page_table(warc.read_archives(spark, f"{path}/archives"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokens(_read(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op1_pii": op1_pii,
@@ -69,8 +84,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_shards": op3_token_shards,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op11_warc": op11_warc,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLES: dict[str, str] = {
+    "op11_warc": """
+        WITH sized AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest, coalesce(html, '') AS payload FROM pages
+        ), kept AS (
+            SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS kept FROM sized
+        )
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN kept <> page_id THEN kept END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+        FROM kept
+    """,
+    "op13_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+        ), words AS (
+            SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+        ), kept AS (
+            SELECT lang, term, count(*) AS n FROM words GROUP BY 1, 2 HAVING count(DISTINCT d) >= 10
+        ), langs AS (
+            SELECT l.lang, coalesce(sum(n), 0) + 2 * count(term) AS total, count(term) AS v FROM (SELECT DISTINCT lang FROM docs) l LEFT JOIN kept USING (lang) GROUP BY 1
+        ), counts AS (
+            SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY 1, 2, 3
+        ), sources AS (
+            SELECT g.lang, g.source, coalesce(sum(c), 0) + 2 * any_value(v) AS total FROM (SELECT DISTINCT lang, source FROM docs) g JOIN langs USING (lang) LEFT JOIN counts USING (lang, source) GROUP BY 1, 2
+        ), p AS (
+            SELECT s.lang, s.source, k.term, coalesce(c, 0) AS c, CAST(1 + (1000000000 * (coalesce(c, 0) + 2)::HUGEINT) // s.total AS BIGINT) AS p
+            FROM sources s JOIN kept k USING (lang) LEFT JOIN counts USING (lang, source, term)
+        ), f AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 4
+        ), pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+            FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+        ), q AS (
+            SELECT lang, term, CAST(1 + (1000000000 * (n + 2)::HUGEINT) // total AS BIGINT) AS q FROM kept JOIN langs USING (lang)
+        ), terms AS (
+            SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+        )
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
     "op9_ngram_join": r"""
         WITH RECURSIVE worded AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
