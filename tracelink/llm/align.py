@@ -94,7 +94,7 @@ def overlaps(len_a: np.ndarray, len_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return groups_a, groups_b, at_a, at_b, len(cuts)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _digits(size: int) -> np.ndarray:
     """Each number's decimal digits, zero bytes before them and one place after."""
     width = len(str(max(1, size - 1)))
@@ -103,7 +103,7 @@ def _digits(size: int) -> np.ndarray:
 
 def groups_text(a: np.ndarray, b: np.ndarray, groups_a: np.ndarray, groups_b: np.ndarray) -> bytes:
     """`a1,a2|b1;a3|b2,b3`: ids of both sides, group by group."""
-    table = _digits(int(max(a.max(), b.max())) + 1 if len(a) and len(b) else 1)
+    table = _digits(1 << int(max(a.max(initial=0), b.max(initial=0), 255)).bit_length())
     # a token stands after all of its own side before it, and after the other side's tokens of the groups before (A) or up to its own (B)
     place_a = np.arange(len(a)) + np.searchsorted(groups_b, groups_a, "left")
     place_b = np.arange(len(b)) + np.searchsorted(groups_a, groups_b, "right")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -250,7 +251,7 @@ def _opened(path: str) -> BinaryIO:
 
     store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
     stream = store.open_input_stream(at, compression=None, buffer_size=1 << 20)
-    return gzip.GzipFile(fileobj=stream, mode="rb") if path.endswith(".gz") else stream
+    return gzip.GzipFile(fileobj=stream, mode="rb") if path.endswith(".gz") else io.BufferedReader(stream, 1 << 20)
 
 
 def _whole(path: str) -> Iterator[tuple]:
