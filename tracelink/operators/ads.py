@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tracelink import config
 from tracelink.config import Conf
 from tracelink.functions.decisions import CLUSTER_ORDER, rank_of, verification
-from tracelink.functions.urls import hostname, registrable_domain
+from tracelink.functions.suffixes import SuffixRules, apexes
+from tracelink.functions.urls import hostname
 from tracelink.operators.infra import sorted_set
 from tracelink.operators.pins import pinned
 from tracelink.schema import CaseTables, ads_txt, filled
@@ -21,12 +22,12 @@ from tracelink.schema import CaseTables, ads_txt, filled
 ACCOUNT = ["adsystem", "seller_id"]
 
 
-def ads_rows(t: CaseTables, pin: str = "url_done") -> DataFrame:
+def ads_rows(t: CaseTables, pin: str = "url_done", rules: SuffixRules | None = None) -> DataFrame:
     """(case_id, ua_id, post_id, scan_run_id, domain, apex, status, sha, manager, owner, acquisition_id, records) of pinned scans with ads.txt."""
     rows = pinned(t, pin, "final_url", "ads_txt_json").where(filled("ads_txt_json")).withColumn("ads", ads_txt())
     rows = rows.where(F.col("ads").isNotNull()).withColumn("domain", hostname(F.coalesce("final_url", "original_url"))).where("domain <> ''")
-    return rows.select(
-        "case_id", "ua_id", "post_id", "scan_run_id", "domain", registrable_domain("domain").alias("apex"), "ads.status", F.col("ads.raw_sha256").alias("sha"), F.col("ads.manager_domain").alias("manager"),
+    return apexes(rows, rules, apex="domain").select(
+        "case_id", "ua_id", "post_id", "scan_run_id", "domain", "apex", "ads.status", F.col("ads.raw_sha256").alias("sha"), F.col("ads.manager_domain").alias("manager"),
         F.col("ads.owner_domain").alias("owner"), "ads.acquisition_id", F.coalesce("ads.records", F.array().cast("array<struct<adsystem:string,seller_id:string,relationship:string,cert_authority_id:string>>")).alias("records"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelink.config import Conf
 from tracelink.functions.decisions import VERDICT_RANK, rank_of, screening
+from tracelink.functions.suffixes import SuffixRules, apexes
 from tracelink.operators.infra import sorted_set
 from tracelink.schema import filled
 
@@ -65,11 +66,9 @@ def portfolios(clusters: DataFrame) -> DataFrame:
     return clusters.where("kind = 'portfolio'")
 
 
-def without_scanned(candidates: DataFrame, scanned_apexes: DataFrame) -> DataFrame:
+def without_scanned(candidates: DataFrame, scanned_apexes: DataFrame, rules: SuffixRules | None = None) -> DataFrame:
     """Candidates (domain) whose apex no case has scanned."""
-    from tracelink.functions.urls import registrable_domain
-
-    return candidates.withColumn("apex", registrable_domain("domain")).join(scanned_apexes.select("apex").distinct(), "apex", "left_anti").drop("apex")
+    return apexes(candidates, rules, apex="domain").join(scanned_apexes.select("apex").distinct(), "apex", "left_anti").drop("apex")
 
 
 def distinct_in_order(rows: DataFrame, column: str, pos: str = "pos") -> DataFrame:

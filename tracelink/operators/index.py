@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracelink import config
 from tracelink.config import Conf
-from tracelink.functions.urls import hostname, is_noise_endpoint, registrable_domain
+from tracelink.functions.suffixes import SuffixRules, apexes
+from tracelink.functions.urls import hostname, is_noise_endpoint
 from tracelink.operators import ads, headers, infra
 from tracelink.operators.groups import is_gtm
 from tracelink.operators.pins import pinned
@@ -17,7 +18,7 @@ COLUMNS = ["signal_type", "signal_value", "platform", "source_db", "case_id", "c
 KEY = ["signal_type", "signal_value", "source_db", "case_id", "scan_run_id"]
 
 
-def extract_signals(t: CaseTables, source_db: str, indexed_at: str, prevalence: DataFrame | None = None, bodies: DataFrame | None = None, conf: Conf = Conf()) -> DataFrame:
+def extract_signals(t: CaseTables, source_db: str, indexed_at: str, prevalence: DataFrame | None = None, bodies: DataFrame | None = None, conf: Conf = Conf(), rules: SuffixRules | None = None) -> DataFrame:
     """All kinds of signals of all cases, singletons included; a key (type, value, db, case, scan) keeps its last domain."""
     base = pinned(t, "own_done", "final_url", "run_at", "whois_registrar", "asn", "tls_info_json").withColumn("final_domain", hostname(F.coalesce("final_url", "original_url")))
     scans = base.select("case_id", "scan_run_id", "final_domain", F.col("run_at").alias("observed_at")).distinct()
@@ -36,10 +37,10 @@ def extract_signals(t: CaseTables, source_db: str, indexed_at: str, prevalence:
     header = constants.join(scans, (constants.case_id == scans.case_id) & (constants.domain == scans.final_domain))
     header = header.select(constants.case_id, "scan_run_id", F.lit("header_value").alias("signal_type"), F.concat_ws(": ", "header", "value").alias("signal_value"), null.alias("platform"))
 
-    ends = infra.endpoint_rows(t).withColumns({"apex": registrable_domain("endpoint"), "landing": registrable_domain("domain")})
+    ends = apexes(infra.endpoint_rows(t), rules, apex="endpoint", landing="domain")
     ends = ends.where((F.col("apex") != F.col("landing")) & ~is_noise_endpoint("apex")).select("case_id", "scan_run_id", F.lit("har_endpoint").alias("signal_type"), F.col("apex").alias("signal_value"), null.alias("platform")).distinct()
 
-    files = ads.ads_rows(t, "own_done")
+    files = ads.ads_rows(t, "own_done", rules)
     verified = ads.acquisition_states(files, t.acquisitions, bodies).where("verification = 'verified'").select("case_id", "domain", "sha").distinct()
     template = files.join(verified, ["case_id", "domain", "sha"], "left_semi").select("case_id", "scan_run_id", F.lit("ads_txt_template").alias("signal_type"), F.col("sha").alias("signal_value"), null.alias("platform"))
     declared = files.where("status = 'ok'").select("case_id", "scan_run_id", F.explode(F.array(kind("ads_txt_owner", F.col("owner")), kind("ads_txt_manager", F.col("manager")))).alias("d"))
@@ -92,11 +93,11 @@ def recurring_signals(signals: DataFrame, min_cases: int = 2, min_domains: int =
     return per.orderBy(F.desc("case_count"), F.desc("domain_count"), F.desc("hit_count"), "signal_type", "signal_value")
 
 
-def operator_cross_links(signals: DataFrame) -> DataFrame:
+def operator_cross_links(signals: DataFrame, rules: SuffixRules | None = None) -> DataFrame:
     """Endpoints that are themselves landing apexes of some case, and who calls them; case_count counts callers' cases before same-apex callers go."""
-    landings = signals.where("signal_type = 'final_domain'").select(registrable_domain("signal_value").alias("endpoint"), "source_db", "case_id", "case_title").distinct()
+    landings = apexes(signals.where("signal_type = 'final_domain'"), rules, endpoint="signal_value").select("endpoint", "source_db", "case_id", "case_title").distinct()
     landings = landings.groupBy("endpoint").agg(infra.sorted_set(F.struct("source_db", "case_id", "case_title")).alias("investigated_as_landing_in"))
     calls = signals.where("signal_type = 'har_endpoint'").select(F.col("signal_value").alias("endpoint"), "final_domain", "source_db", "case_id").join(landings.select("endpoint"), "endpoint", "left_semi")
-    other = registrable_domain("final_domain") != F.col("endpoint")
+    calls, other = apexes(calls, rules, caller="final_domain"), F.col("caller") != F.col("endpoint")
     per = calls.groupBy("endpoint").agg(infra.sorted_set(F.when(other, F.col("final_domain"))).alias("called_by"), F.count_distinct(F.when(other, F.col("final_domain"))).alias("caller_count"), F.count_distinct(F.struct("source_db", "case_id")).alias("case_count"))
     return per.where("caller_count > 0").join(landings, "endpoint").orderBy(F.desc("caller_count"), "endpoint")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tracelink import config
 from tracelink.functions.decisions import first_of, holds, verification
 from tracelink.functions.parsing import directory_time, utc_text
-from tracelink.functions.urls import hostname, is_direct_ip, query_pairs, registrable_domain
+from tracelink.functions.suffixes import SuffixRules, apexes
+from tracelink.functions.urls import hostname, is_direct_ip, query_pairs
 from tracelink.operators.infra import sorted_set
 from tracelink.schema import CaseTables, filled, header_pairs
 
@@ -84,13 +85,13 @@ def acquisition_health(acquisitions: DataFrame, bodies: DataFrame) -> DataFrame:
     return rows.groupBy(health.alias("health")).agg(F.count("*").alias("n")).orderBy("health")
 
 
-def expected_domains(t: CaseTables) -> DataFrame:
+def expected_domains(t: CaseTables, rules: SuffixRules | None = None) -> DataFrame:
     """(scan_run_id, domains): apexes that a scan has been seen on: its URLs, its hops, its captures."""
     urls = t.url_artifacts.select(F.col("id").alias("url_artifact_id"), "original_url")
     scans = t.scan_runs.join(urls, "url_artifact_id", "left").select(F.col("id").alias("scan_run_id"), F.explode(F.array("final_url", "original_url")).alias("u"))
     hops = t.redirect_hops.select("scan_run_id", F.explode(F.array("url", "resolved_url", "location")).alias("u"))
     hosts = scans.union(hops).select("scan_run_id", hostname("u").alias("host")).union(t.snapshots.select("scan_run_id", F.lower("final_domain")))
-    return hosts.where(filled("host")).groupBy("scan_run_id").agg(sorted_set(registrable_domain("host")).alias("domains"))
+    return apexes(hosts.where(filled("host")), rules, apex="host").groupBy("scan_run_id").agg(sorted_set("apex").alias("domains"))
 
 
 def attach_decisions(claims: DataFrame, scans: DataFrame, expected: DataFrame, now: DataFrame, kinds: tuple[str, ...] = ("capture", "partial")) -> DataFrame:

@@ -554,4 +554,4 @@ def round_robin(spark, sf_dir):
     return ordered.withColumn("turn", F.row_number().over(Window.partitionBy("apex").orderBy("pos")))
 
 
-from tracelink.plans import case_queries, function_queries, store_queries  # noqa: E402, F401  registers their queries
+from tracelink.plans import case_queries, function_queries, store_queries, suffix_queries  # noqa: E402, F401  registers their queries

@@ -10,7 +10,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tracelink.functions.fingerprints import tracking_ids
 from tracelink.functions.parsing import ads_txt_body, list_apex, list_domain
-from tracelink.functions.urls import ascii_host, extract_urls, hostname, registrable_domain
+from tracelink.functions.suffixes import SuffixRules, apexes
+from tracelink.functions.urls import ascii_host, extract_urls, hostname
 from tracelink.schema import OBSERVATION, PREVALENCE, filled
 
 POST_COLUMNS = ["platform", "permalink", "actor_label", "posted_at", "message_text"]
@@ -23,10 +24,21 @@ def posts_csv(spark: SparkSession, path: str) -> DataFrame:
     return named.select(*[(F.col(c) if c in named.columns else F.lit(None).cast("string")).alias(c) for c in POST_COLUMNS]).where(filled("message_text"))
 
 
-def post_urls(posts: DataFrame) -> DataFrame:
-    """(message_id, case_id, original_url, domain, url_order) of posts (id, case_id, message_text): each URL of a post once."""
+def post_urls(posts: DataFrame, rules: SuffixRules | None = None) -> DataFrame:
+    """(message_id, case_id, original_url, url_order, domain) of posts (id, case_id, message_text): each URL of a post once."""
     each = posts.select(F.col("id").alias("message_id"), "case_id", F.posexplode(extract_urls("message_text")).alias("url_order", "original_url"))
-    return each.withColumn("domain", registrable_domain(ascii_host(hostname("original_url")))).dropDuplicates(["message_id", "original_url"])
+    each = apexes(each.withColumn("_host", ascii_host(hostname("original_url"))), rules, domain="_host").drop("_host")
+    return each.dropDuplicates(["message_id", "original_url"])
+
+
+def suffix_list(spark: SparkSession, path: str) -> DataFrame:
+    """(rule, private) of a public-suffix list: a rule per line, comments after //, the private section between its two marker lines. Without markers no rule is private."""
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
+    marks = [F.array_position(F.transform("lines", lambda x: F.contains(x, F.lit(f"==={edge} PRIVATE DOMAINS==="))), True) for edge in ("BEGIN", "END")]
+    each = lines.select(*[m.alias(name) for m, name in zip(marks, ("begin", "end"), strict=True)], F.posexplode("lines").alias("pos", "line"))
+    rule = F.regexp_extract("line", r"^\s*(\S*)", 1)
+    private = (F.col("begin") > 0) & (F.col("pos") >= F.col("begin")) & ((F.col("end") == 0) | (F.col("pos") < F.col("end")))
+    return each.where((rule != "") & ~rule.startswith("//")).select(rule.alias("rule"), private.alias("private"))
 
 
 def html_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -54,12 +66,13 @@ def ads_txt_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "raw_sha256", "a.*")
 
 
-def sellers_json(spark: SparkSession, path: str) -> DataFrame:
+def sellers_json(spark: SparkSession, path: str, rules: SuffixRules | None = None) -> DataFrame:
     """Sorted distinct apexes of publishers in sellers.json files; confidential sellers name none."""
     raw = spark.read.schema("sellers ARRAY<STRUCT<domain: STRING>>").json(path, multiLine=True, mode="PERMISSIVE")
     host = F.lower(F.trim("s.domain"))
     bare = F.when(host.contains("://"), hostname(host)).otherwise(F.regexp_extract(host, "^([^/:]*)", 1))
-    return raw.select(F.explode("sellers").alias("s")).select(registrable_domain(ascii_host(bare)).alias("domain")).where("domain LIKE '%.%'").distinct().orderBy("domain")
+    hosts = raw.select(F.explode("sellers").alias("s")).select(ascii_host(bare).alias("host"))
+    return apexes(hosts, rules, domain="host").where("domain LIKE '%.%'").select("domain").distinct().orderBy("domain")
 
 
 def domain_list(spark: SparkSession, path: str, apex: bool = True) -> DataFrame:
