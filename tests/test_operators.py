@@ -42,9 +42,9 @@ def test_delete_keeps_acquisitions(spark, pin_case):
 
 
 def test_browser_captures(spark):
-    rows = [(1, "playwright", "ok", None), (2, "playwright", "error", None), (3, "manual", "error", None), (4, "wayback", None, None), (5, None, "ok", None), (6, None, None, "s.png"), (7, "http_only", "ok", "s.png"), (8, "cloaking_alt", "ok", None), (9, None, None, " ")]
+    rows = [(1, "playwright", "ok", None), (2, "playwright", "error", None), (3, "manual", "manual", None), (4, "wayback", "wayback", None), (5, None, "ok", None), (6, None, None, "s.png"), (7, "http_only", "ok", "s.png"), (8, "cloaking_alt", "ok", None), (9, None, None, " "), (10, "manual", "error", "s.png"), (11, "playwright", "", "s.png")]
     t = empty_tables(spark, snapshots=spark.createDataFrame([(r[0], *r) for r in rows], "id long, scan_run_id long, capture_method string, capture_status string, screenshot_path string"))
-    assert sorted(r[0] for r in pins.browser_captures(t).collect()) == [1, 3, 4, 5, 6]
+    assert sorted(r[0] for r in pins.browser_captures(t).collect()) == [1, 3, 4, 5, 6, 11]
 
 
 def test_greedy_windows_anchor_at_the_first(spark):
@@ -92,9 +92,9 @@ def test_tracking_counts_every_usable_capture(spark):
 
 def test_account_tiers(spark):
     def file(d, accounts, status="ok", manager=None):
-        return (1, d, d, d, f"d{d}.test", f"d{d}.test", status, f"s{d}", manager, None, None, [("x.example" if ":" not in a else a.split(":")[0], a.split(":")[-1], "DIRECT", None) for a in accounts])
+        return (1, d, d, f"http://d{d}.test/", d, f"d{d}.test", f"d{d}.test", status, f"s{d}", manager, None, None, [("x.example" if ":" not in a else a.split(":")[0], a.split(":")[-1], "DIRECT", None) for a in accounts])
 
-    schema = "case_id long, ua_id long, post_id long, scan_run_id long, domain string, apex string, status string, sha string, manager string, owner string, acquisition_id long, records array<struct<adsystem:string,seller_id:string,relationship:string,cert_authority_id:string>>"
+    schema = "case_id long, ua_id long, post_id long, original_url string, scan_run_id long, domain string, apex string, status string, sha string, manager string, owner string, acquisition_id long, records array<struct<adsystem:string,seller_id:string,relationship:string,cert_authority_id:string>>"
     files = [file(1, ["rare", "openx.com:1", "known", "all"]), file(2, ["rare", "openx.com:1", "known", "all"]), file(3, ["all", "managed"], manager="m"), file(4, ["all", "managed"], manager="m"), file(5, ["all"]), file(6, ["solo"], status="error")]
     prevalence = spark.createDataFrame([("x.example", "known", 10, 1000)], "adsystem string, seller_id string, hits long, site_count long")
     got = {r.seller_id: r for r in ads.shared_ad_accounts(spark.createDataFrame(files, schema), prevalence).collect()}

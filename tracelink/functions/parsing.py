@@ -67,10 +67,10 @@ def _first_of(value: Column) -> Column:
 
 
 def issuer_label(issuer: Column) -> Column:
-    """`Organisation (common name)`, or the one that is there; empty for neither."""
+    """`Organisation (common name)`, or the one that is there or that both are; empty for neither."""
     org, name = (_first_of(F.try_element_at(issuer, F.lit(k))) for k in ("organizationName", "commonName"))
     both = F.concat(org, F.lit(" ("), name, F.lit(")"))
-    return F.when((F.coalesce(org, F.lit("")) != "") & (F.coalesce(name, F.lit("")) != ""), both).otherwise(F.coalesce(F.nullif(org, F.lit("")), name, F.lit("")))
+    return F.when((F.coalesce(org, F.lit("")) != "") & (F.coalesce(name, F.lit("")) != "") & (org != name), both).otherwise(F.coalesce(F.nullif(org, F.lit("")), name, F.lit("")))
 
 
 def issuer_text(issuer: Column) -> Column:

@@ -23,19 +23,20 @@ ACCOUNT = ["adsystem", "seller_id"]
 
 
 def ads_rows(t: CaseTables, pin: str = "url_done", rules: SuffixRules | None = None) -> DataFrame:
-    """(case_id, ua_id, post_id, scan_run_id, domain, apex, status, sha, manager, owner, acquisition_id, records) of pinned scans with ads.txt."""
-    rows = pinned(t, pin, "final_url", "ads_txt_json").where(filled("ads_txt_json")).withColumn("ads", ads_txt())
-    rows = rows.where(F.col("ads").isNotNull()).withColumn("domain", hostname(F.coalesce("final_url", "original_url"))).where("domain <> ''")
+    """(case_id, ua_id, post_id, original_url, scan_run_id, domain, apex, status, sha, manager, owner, acquisition_id, records) of pinned scans that landed somewhere and have ads.txt."""
+    rows = pinned(t, pin, "final_url", "ads_txt_json", posts=pin != "own_done").where(filled("ads_txt_json")).withColumn("ads", ads_txt())
+    rows = rows.where(F.col("ads").isNotNull()).withColumn("domain", hostname("final_url")).where("domain <> ''")
     return apexes(rows, rules, apex="domain").select(
-        "case_id", "ua_id", "post_id", "scan_run_id", "domain", "apex", "ads.status", F.col("ads.raw_sha256").alias("sha"), F.col("ads.manager_domain").alias("manager"),
-        F.col("ads.owner_domain").alias("owner"), "ads.acquisition_id", F.coalesce("ads.records", F.array().cast("array<struct<adsystem:string,seller_id:string,relationship:string,cert_authority_id:string>>")).alias("records"),
+        "case_id", "ua_id", "post_id", "original_url", "scan_run_id", "domain", "apex", "ads.status", F.col("ads.raw_sha256").alias("sha"), F.lower(F.trim("ads.manager_domain")).alias("manager"),
+        F.lower(F.trim("ads.owner_domain")).alias("owner"), "ads.acquisition_id", F.coalesce("ads.records", F.array().cast("array<struct<adsystem:string,seller_id:string,relationship:string,cert_authority_id:string>>")).alias("records"),
     )
 
 
 def direct_accounts(rows: DataFrame) -> DataFrame:
-    """One row per DIRECT record."""
-    each = rows.withColumn("r", F.explode("records")).where(F.upper("r.relationship") == "DIRECT")
-    return each.select(*[c for c in rows.columns if c != "records"], F.lower("r.adsystem").alias("adsystem"), F.col("r.seller_id").alias("seller_id"))
+    """One row per DIRECT record that names a system and an account; `place` is its place in the file."""
+    each = rows.select("*", F.posexplode("records").alias("place", "r")).where(F.upper("r.relationship") == "DIRECT")
+    named = each.select(*[c for c in rows.columns if c != "records"], "place", F.lower("r.adsystem").alias("adsystem"), F.trim("r.seller_id").alias("seller_id"))
+    return named.where("adsystem <> '' AND seller_id <> ''")
 
 
 def account_footprint(accounts: DataFrame) -> DataFrame:
@@ -88,14 +89,16 @@ def pair_link_counts(accounts: DataFrame, conf: Conf = Conf()) -> DataFrame:
 def shared_ad_accounts(rows: DataFrame, prevalence: DataFrame | None = None, conf: Conf = Conf()) -> DataFrame:
     """DIRECT accounts on several domains of a case, with the tier that their breadth, links, footprint and rarity give.
 
-    Records count whatever the file's status; breadth and footprint need status ok. An account that the prevalence table does not
-    know has null prevalence, which demotes nothing.
+    Records count whatever the file's status; breadth, footprint and a domain's manager need a good file. A domain whose files name several managers has that of
+    the largest artifact id. An account that the prevalence table does not know has null prevalence, which demotes nothing.
     """
     accounts = direct_accounts(rows)
-    good = rows.where((F.col("status") == "ok") & (F.size("records") > 0)).groupBy("case_id").agg(F.count_distinct("domain").alias("denominator"))
-    per = accounts.groupBy("case_id", *ACCOUNT).agg(
-        F.count_distinct("domain").alias("domain_count"), F.count_distinct("ua_id").alias("url_count"), F.count_distinct("post_id").alias("post_count"), sorted_set("domain").alias("domains"),
-        sorted_set("manager").alias("declared_managers"), F.count_distinct(F.when(filled("manager"), F.col("domain"))).alias("managed"),
+    served = rows.where((F.col("status") == "ok") & (F.size("records") > 0))
+    good = served.groupBy("case_id").agg(F.count_distinct("domain").alias("denominator"))
+    managers = served.where(filled("manager")).groupBy("case_id", "domain").agg(F.max_by("manager", "ua_id").alias("named"))
+    per = accounts.join(managers, ["case_id", "domain"], "left").groupBy("case_id", *ACCOUNT).agg(
+        F.count_distinct("domain").alias("domain_count"), F.count_distinct("original_url").alias("url_count"), F.count_distinct("post_id").alias("post_count"), sorted_set("domain").alias("domains"),
+        sorted_set("named").alias("declared_managers"), F.count_distinct(F.when(F.col("named").isNotNull(), F.col("domain"))).alias("managed"),
     ).where(F.col("domain_count") >= conf.min_domains)
     joined = per.join(good, "case_id", "left").join(account_footprint(accounts), ACCOUNT, "left").join(pair_link_counts(accounts, conf), ["case_id", *ACCOUNT], "left")
     if prevalence is None:
@@ -118,17 +121,24 @@ def shared_ad_accounts(rows: DataFrame, prevalence: DataFrame | None = None, con
 
 
 def acquisition_states(rows: DataFrame, acquisitions: DataFrame, bodies: DataFrame | None) -> DataFrame:
-    """(case_id, domain, sha, verification): the state of the bytes behind each good ads.txt. bodies: (body_path, body_sha256)."""
+    """(case_id, ua_id, scan_run_id, domain, sha, acquisition_id, verification): the state of the bytes behind each good ads.txt. bodies: (body_path, body_sha256)."""
     good = rows.where((F.col("status") == "ok") & (F.size("records") > 0) & filled("sha"))
     kept = acquisitions.select(F.col("id").alias("acquisition_id"), F.struct("id", "kind", "scan_run_id", "body_path", "truncated", "captured_sha256", "complete_sha256").alias("acq"))
     joined = good.join(kept, "acquisition_id", "left").withColumn("body_path", F.col("acq.body_path"))
     joined = joined.join(bodies, "body_path", "left") if bodies is not None else joined.withColumn("body_sha256", F.lit(None).cast("string"))
     state = verification(F.col("acq"), F.lit("ads_txt"), F.col("scan_run_id"), F.col("sha"), F.col("body_sha256"))
-    return joined.select("case_id", "domain", "sha", F.when(F.col("acquisition_id").isNull(), "legacy_unverifiable").otherwise(state).alias("verification"))
+    return joined.select("case_id", "ua_id", "scan_run_id", "domain", "sha", "acquisition_id", F.when(F.col("acquisition_id").isNull(), "legacy_unverifiable").otherwise(state).alias("verification"))
+
+
+def domain_states(states: DataFrame) -> DataFrame:
+    """(case_id, domain, sha, verification): one state for a domain and file, that of the largest artifact id with an acquisition."""
+    held = F.col("acquisition_id").isNotNull()
+    per = states.groupBy("case_id", "domain", "sha").agg(F.max_by("verification", F.when(held, F.col("ua_id"))).alias("verification"))
+    return per.withColumn("verification", F.coalesce("verification", F.lit("legacy_unverifiable")))
 
 
 def shared_templates(states: DataFrame, conf: Conf = Conf()) -> DataFrame:
-    """ads.txt files served byte for byte by several domains of a case, with the worst state of their members."""
+    """ads.txt files served byte for byte by several domains of a case, with the worst state of their members. states: of `domain_states`."""
     order = [*CLUSTER_ORDER, "legacy_unverifiable"]
     worst = F.min(F.when(F.col("verification") != "verified", F.array_position(F.array(*map(F.lit, order)), F.col("verification"))))
     per = states.groupBy("case_id", "sha").agg(F.count_distinct("domain").alias("domain_count"), sorted_set("domain").alias("domains"), worst.alias("worst"), sorted_set(F.struct("domain", "verification")).alias("verification_by_domain"))

@@ -20,13 +20,14 @@ def sorted_set(c: Column | str) -> Column:
 
 
 def _counts(*more: Column) -> list[Column]:
-    return [F.count_distinct("domain").alias("domain_count"), F.count_distinct("ua_id").alias("url_count"), F.count_distinct("post_id").alias("post_count"), *more]
+    return [F.count_distinct("domain").alias("domain_count"), F.count_distinct("original_url").alias("url_count"), F.count_distinct("post_id").alias("post_count"), *more]
 
 
 def asn_clusters(t: CaseTables) -> DataFrame:
     """Per case and ASN: domains, URLs, posts, flagged URLs and a histogram of risk tags; most tags first.
 
-    The organisation and country are those of the largest artifact id.
+    A URL counts once, however many artifacts carry it, with the tags of its first artifact; a domain has the address of its first. The organisation and
+    country are those of the largest artifact id. Artifacts without a landing domain give these only.
     """
     snaps = latest_snapshot(t).select("scan_run_id", "final_domain", F.col("asn").alias("s_asn"), F.col("as_org").alias("s_org"), F.col("as_country").alias("s_country"), F.col("ip_address").alias("s_ip"), F.col("risk_tags").alias("s_tags"))
     rows = pinned(t, "url_done", "final_url", "asn", "as_org", "as_country", "ip_address", "intel_risk_tags").join(snaps, "scan_run_id", "left")
@@ -35,20 +36,25 @@ def asn_clusters(t: CaseTables) -> DataFrame:
         F.coalesce(F.nullif("final_domain", F.lit("")), hostname("final_url")).alias("domain"), F.coalesce("s_ip", "ip_address").alias("ip"),
         F.array_distinct(F.concat(string_list("s_tags"), string_list("intel_risk_tags"))).alias("tags"),
     ).where(filled("asn"))
-    per = rows.groupBy("case_id", "asn").agg(
-        F.coalesce(F.max_by("org", "ua_id"), F.lit("—")).alias("as_org"), F.max_by("country", "ua_id").alias("as_country"), *_counts(),
-        F.count_distinct(F.when(F.size("tags") > 0, F.col("ua_id"))).alias("flagged_url_count"), sorted_set(F.struct("domain", F.col("ip").alias("ip_address"))).alias("domains"),
-    )
-    tags = rows.select("case_id", "asn", "ua_id", F.explode("tags").alias("tag")).groupBy("case_id", "asn", "tag").agg(F.count_distinct("ua_id").alias("n"))
-    tags = tags.groupBy("case_id", "asn").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("tag_counts"))
-    return per.join(tags, ["case_id", "asn"], "left").orderBy("case_id", F.desc(F.coalesce(F.size("tag_counts"), F.lit(0))), F.desc("url_count"), "asn")
+    key, landed = ["case_id", "asn"], rows.where("domain <> ''")
+    per = rows.groupBy(*key).agg(
+        F.coalesce(F.max_by("org", "ua_id"), F.lit("—")).alias("as_org"), F.coalesce(F.max_by("country", "ua_id"), F.lit("—")).alias("as_country"), F.count_distinct(F.when(F.col("domain") != "", F.col("post_id"))).alias("post_count")
+    )
+    domains = landed.groupBy(*key, "domain").agg(F.min_by("ip", "ua_id").alias("ip_address"))
+    domains = domains.groupBy(*key).agg(F.count("*").alias("domain_count"), F.array_sort(F.collect_list(F.struct("domain", "ip_address"))).alias("domains"))
+    urls = landed.groupBy(*key, "original_url").agg(F.min_by("tags", "ua_id").alias("tags"))
+    counts = urls.groupBy(*key).agg(F.count("*").alias("url_count"), F.count_if(F.size("tags") > 0).alias("flagged_url_count"))
+    tags = urls.select(*key, F.explode("tags").alias("tag")).groupBy(*key, "tag").agg(F.count("*").alias("n"))
+    tags = tags.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("tag_counts"))
+    out = per.join(domains, key, "left").join(counts, key, "left").join(tags, key, "left").fillna(0, ["domain_count", "url_count", "flagged_url_count"])
+    return out.orderBy("case_id", F.desc(F.coalesce(F.size("tag_counts"), F.lit(0))), F.desc("url_count"), "asn")
 
 
 def certificates(t: CaseTables, pin: str = "url_done") -> DataFrame:
-    """(case_id, ua_id, post_id, domain, issuer, serial, not_before, not_after, sans) of pinned scans that have a certificate."""
-    rows = pinned(t, pin, "final_url", "tls_info_json").where(filled("tls_info_json")).withColumn("tls", tls())
+    """(case_id, ua_id, post_id, original_url, domain, issuer, serial, not_before, not_after, sans) of pinned scans that landed somewhere and have a certificate."""
+    rows = pinned(t, pin, "final_url", "tls_info_json", posts=pin != "own_done").where(filled("tls_info_json")).withColumn("tls", tls())
     rows = rows.select(
-        "case_id", "ua_id", "post_id", hostname(F.coalesce("final_url", "original_url")).alias("domain"), issuer_label(F.col("tls.issuer")).alias("issuer"), F.col("tls.serialNumber").alias("serial"),
+        "case_id", "ua_id", "post_id", "original_url", hostname("final_url").alias("domain"), issuer_label(F.col("tls.issuer")).alias("issuer"), F.trim("tls.serialNumber").alias("serial"),
         openssl_date("tls.notBefore").alias("not_before"), openssl_date("tls.notAfter").alias("not_after"), F.size(F.coalesce("tls.subjectAltName", F.array().cast("array<string>"))).alias("sans"),
     )
     return rows.where(F.col("domain") != "")
@@ -106,18 +112,17 @@ def issuance_windows(certs: DataFrame, conf: Conf = Conf()) -> DataFrame:
 
 
 def certificate_authorities(certs: DataFrame) -> DataFrame:
-    """Issuers of a case's certificates, of `certificates(t, "own_done")`."""
-    per = certs.where(F.col("issuer") != "").groupBy("case_id", "issuer")
-    per = per.agg(F.count_distinct("domain").alias("domain_count"), F.count_distinct("ua_id").alias("url_count"), F.count_distinct("serial").alias("cert_count"), sorted_set("domain").alias("domains"), F.min("not_before").alias("earliest_not_before"))
+    """Issuers of a case's certificates, of `certificates(t, "own_done")`; one without a name is —."""
+    per = certs.withColumn("issuer", F.coalesce(F.nullif("issuer", F.lit("")), F.lit("—"))).groupBy("case_id", "issuer")
+    per = per.agg(F.count_distinct("domain").alias("domain_count"), F.count_distinct("original_url").alias("url_count"), F.count_distinct(F.when(filled("serial"), F.col("serial"))).alias("cert_count"), sorted_set("domain").alias("domains"), F.min("not_before").alias("earliest_not_before"))
     return per.orderBy("case_id", F.desc("domain_count"), "issuer")
 
 
 def tracking_rows(t: CaseTables, pin: str = "url_done") -> DataFrame:
-    """(case_id, ua_id, post_id, domain, platform, tracking_id): ids on every usable capture of the pinned scans."""
-    snaps = usable_snapshots(t, "tracking_ids_json").select("scan_run_id", "final_domain", F.explode(tracking_map()).alias("platform", "ids"))
-    rows = pinned(t, pin, "final_url").join(snaps, "scan_run_id")
-    domain = F.coalesce(F.nullif(F.lower("final_domain"), F.lit("")), hostname(F.coalesce("final_url", "original_url")))
-    return rows.select("case_id", "ua_id", "post_id", "original_url", "scan_run_id", domain.alias("domain"), "platform", F.explode("ids").alias("tracking_id"))
+    """(case_id, ua_id, post_id, original_url, scan_run_id, domain, platform, tracking_id): ids on every usable capture of the pinned scans, under the domain that the capture landed on; empty where it states none."""
+    snaps = usable_snapshots(t, "tracking_ids_json").select("scan_run_id", F.lower(F.coalesce("final_domain", F.lit(""))).alias("domain"), F.explode(tracking_map()).alias("platform", "ids"))
+    rows = pinned(t, pin).join(snaps, "scan_run_id")
+    return rows.select("case_id", "ua_id", "post_id", "original_url", "scan_run_id", "domain", "platform", F.explode("ids").alias("tracking_id")).where("tracking_id <> ''")
 
 
 def shared_tracking_ids(t: CaseTables, conf: Conf = Conf()) -> DataFrame:
@@ -132,16 +137,19 @@ def platform_of_label(label: Column | str) -> Column:
 
 
 def ad_tracking_platforms(t: CaseTables) -> DataFrame:
-    """Platforms of a case by their evidence: URL parameters, ids in HTML, or both on the same artifact or domain."""
+    """Platforms of a case by their evidence: URL parameters, ids in HTML, or both on the same artifact or domain.
+
+    A parameter counts for the host of the URL that holds it, an id for the domain its capture landed on. A platform that a capture names without an id is evidence too.
+    """
     base = pinned(t, "url_any", "final_url", how="left")
-    urls = base.select("case_id", "ua_id", "post_id", hostname(F.coalesce("final_url", "original_url")).alias("domain"), F.explode(F.array_distinct(F.array("original_url", "final_url"))).alias("url"))
-    pairs = urls.select("case_id", "ua_id", "post_id", "domain", F.explode(query_pairs("url")).alias("p"))
-    by_url = pairs.select("case_id", "ua_id", "post_id", "domain", identify_param("p.key").alias("platform_id"), F.lower("p.key").alias("param_key"), F.lit(None).cast("string").alias("tracking_id")).where("platform_id <> ''")
-    html = tracking_rows(t, "url_any")
-    by_html = html.select("case_id", "ua_id", "post_id", "domain", platform_of_label("platform").alias("platform_id"), F.lit(None).cast("string").alias("param_key"), "tracking_id")
+    own = ["case_id", "ua_id", "post_id", "original_url"]
+    urls = base.select(*own, F.explode(F.array_distinct(F.array("original_url", "final_url"))).alias("url")).withColumn("domain", hostname("url")).where("domain <> ''")
+    keys = urls.select(*own, "domain", F.explode(query_pairs("url")).alias("p")).select(*own, "domain", identify_param("p.key").alias("platform_id"), F.col("p.key").alias("param_key"), F.array().cast("array<string>").alias("ids"))
+    snaps = usable_snapshots(t, "tracking_ids_json").select("scan_run_id", F.nullif(F.lower("final_domain"), F.lit("")).alias("domain"), F.explode(tracking_map()).alias("platform", "ids"))
+    html = base.join(snaps, "scan_run_id").select(*own, "domain", platform_of_label("platform").alias("platform_id"), F.lit(None).cast("string").alias("param_key"), "ids")
     from_url = F.col("param_key").isNotNull()
-    per = by_url.unionByName(by_html).groupBy("case_id", "platform_id").agg(
-        sorted_set("param_key").alias("param_keys"), sorted_set("tracking_id").alias("tracking_ids"), *_counts(), sorted_set(F.nullif("domain", F.lit(""))).alias("domains"),
+    per = keys.where("platform_id <> ''").unionByName(html).groupBy("case_id", "platform_id").agg(
+        sorted_set("param_key").alias("param_keys"), F.array_sort(F.filter(F.array_distinct(F.flatten(F.collect_set("ids"))), lambda x: x != "")).alias("tracking_ids"), *_counts(), sorted_set("domain").alias("domains"),
         F.collect_set(F.when(from_url, F.col("ua_id"))).alias("ua_u"), F.collect_set(F.when(~from_url, F.col("ua_id"))).alias("ua_h"),
         F.collect_set(F.when(from_url, F.col("domain"))).alias("d_u"), F.collect_set(F.when(~from_url, F.col("domain"))).alias("d_h"),
     )
@@ -149,15 +157,13 @@ def ad_tracking_platforms(t: CaseTables) -> DataFrame:
     source = F.when(both & (F.arrays_overlap("ua_u", "ua_h") | F.arrays_overlap("d_u", "d_h")), "both").when(both, "mixed_nonoverlap").when(F.size("ua_h") > 0, "html_embedded").otherwise("url_param")
     rank = F.array_position(F.array(*map(F.lit, ["both", "mixed_nonoverlap", "html_embedded", "url_param"])), F.col("signal_source"))
     out = per.withColumns({"signal_source": source, "owner_kind": owner_kind("platform_id")}).drop("ua_u", "ua_h", "d_u", "d_h")
-    return out.orderBy("case_id", rank, F.desc("domain_count"), F.desc("url_count"), "platform_id")
+    return out.orderBy("case_id", F.desc("url_count"), F.desc("domain_count"), rank, "platform_id")
 
 
 def endpoint_rows(t: CaseTables, pin: str = "own_done") -> DataFrame:
-    """(case_id, ua_id, scan_run_id, domain, endpoint): third-party hosts that usable captures asked for."""
-    snaps = usable_snapshots(t, "request_domains_json").select("scan_run_id", "final_domain", F.explode(F.array_distinct(string_list("request_domains_json"))).alias("endpoint"))
-    rows = pinned(t, pin, "final_url").join(snaps, "scan_run_id")
-    domain = F.coalesce(F.nullif(F.lower("final_domain"), F.lit("")), hostname("final_url"))
-    rows = rows.select("case_id", "ua_id", "scan_run_id", domain.alias("domain"), F.lower("endpoint").alias("endpoint"))
+    """(case_id, ua_id, scan_run_id, domain, endpoint): third-party hosts that usable captures asked for, under the domain that the capture landed on."""
+    snaps = usable_snapshots(t, "request_domains_json").select("scan_run_id", F.lower("final_domain").alias("domain"), F.explode(F.array_distinct(string_list("request_domains_json"))).alias("endpoint"))
+    rows = pinned(t, pin, posts=False).join(snaps, "scan_run_id").select("case_id", "ua_id", "scan_run_id", "domain", F.lower(F.trim("endpoint")).alias("endpoint"))
     return rows.where((F.col("domain") != "") & filled("endpoint") & ~within(F.col("endpoint"), F.col("domain")) & ~is_noise_endpoint("endpoint"))
 
 
@@ -165,7 +171,7 @@ def shared_endpoints(t: CaseTables, conf: Conf = Conf()) -> DataFrame:
     """Third-party hosts that several landing domains of a case call; addresses first."""
     per = endpoint_rows(t).groupBy("case_id", "endpoint").agg(F.count_distinct("domain").alias("domain_count"), sorted_set("domain").alias("domains"))
     per = per.where(F.col("domain_count") >= conf.min_domains).withColumn("is_direct_ip", is_direct_ip("endpoint"))
-    return per.orderBy("case_id", F.desc("is_direct_ip"), F.desc("domain_count"), "endpoint")
+    return per.orderBy("case_id", F.desc("domain_count"), F.desc("is_direct_ip"), "endpoint")
 
 
 def newest(df: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -30,12 +30,12 @@ def url_scan(t: CaseTables, done: bool = True) -> DataFrame:
 PINS = {"own_done": lambda t: own_scan(t), "own_any": lambda t: own_scan(t, False), "url_done": lambda t: url_scan(t), "url_any": lambda t: url_scan(t, False)}
 
 
-def pinned(t: CaseTables, pin: str, *scan_columns: str, how: str = "inner") -> DataFrame:
-    """(case_id, ua_id, post_id, original_url, scan_run_id, columns of the pinned scan) per artifact with a post."""
-    posts = t.message_evidence.select(F.col("id").alias("post_id"), F.col("case_id"))
-    urls = t.url_artifacts.select(F.col("id").alias("ua_id"), F.col("message_id").alias("post_id"), "original_url")
+def pinned(t: CaseTables, pin: str, *scan_columns: str, how: str = "inner", posts: bool = True) -> DataFrame:
+    """(case_id, ua_id, post_id, original_url, scan_run_id, columns of the pinned scan) per artifact; posts=False keeps artifacts whose post isn't there."""
+    urls = t.url_artifacts.select(F.col("id").alias("ua_id"), F.col("message_id").alias("post_id"), "case_id", "original_url")
     scans = t.scan_runs.select(F.col("id").alias("scan_run_id"), *scan_columns)
-    base = urls.join(posts, "post_id").join(PINS[pin](t).withColumnRenamed("url_artifact_id", "ua_id"), "ua_id", how)
+    base = urls.join(t.message_evidence.select(F.col("id").alias("post_id")), "post_id", "left_semi") if posts else urls
+    base = base.join(PINS[pin](t).withColumnRenamed("url_artifact_id", "ua_id"), "ua_id", how)
     return base.join(scans, "scan_run_id", how).select("case_id", "ua_id", "post_id", "original_url", "scan_run_id", *scan_columns)
 
 
@@ -53,10 +53,13 @@ def latest_snapshot(t: CaseTables) -> DataFrame:
 
 
 def browser_captures(t: CaseTables) -> DataFrame:
-    """scan_run_id of scans that a browser, an analyst or an archive has captured; light fetches and alternative personas don't count."""
-    m, ok = F.col("capture_method"), F.coalesce(F.col("capture_status") == "ok", F.lit(False))
-    good = ((m == "playwright") & ok) | m.isin("manual", "wayback") | (m.isNull() & ok) | (m.isNull() & F.col("capture_status").isNull() & filled("screenshot_path"))
-    return t.snapshots.where(F.coalesce(good, F.lit(False))).select("scan_run_id").distinct()
+    """scan_run_id of scans that a browser, an analyst or an archive has captured; light fetches and alternative personas don't count.
+
+    Analyst's and archive's captures are told by their status. A capture without status counts by its screenshot, one without method as the browser's.
+    """
+    method, status = F.col("capture_method"), F.coalesce("capture_status", F.lit(""))
+    good = ((status == "ok") & (F.coalesce(method, F.lit("playwright")) == "playwright")) | status.isin("manual", "wayback") | ((status == "") & filled("screenshot_path"))
+    return t.snapshots.where(good).select("scan_run_id").distinct()
 
 
 def unscanned_urls(t: CaseTables) -> DataFrame:

@@ -137,7 +137,7 @@ WIDE_SQL = """
 
 @query(f"""
     WITH {WIDE_SQL}, per AS (
-        SELECT adsystem, seller, count(DISTINCT domain) AS domain_count, bool_and(d % 4 = 0) AS managed, count(DISTINCT CASE WHEN d % 10 <> 9 THEN domain END) AS apexes FROM direct GROUP BY 1, 2 HAVING count(DISTINCT domain) >= 2
+        SELECT adsystem, seller, count(DISTINCT domain) AS domain_count, bool_and(d % 4 = 0 AND d % 10 <> 9) AS managed, count(DISTINCT CASE WHEN d % 10 <> 9 THEN domain END) AS apexes FROM direct GROUP BY 1, 2 HAVING count(DISTINCT domain) >= 2
     ), sizes AS (SELECT domain, count(*) AS n FROM direct GROUP BY 1), linked AS (
         SELECT a.domain AS d1, b.domain AS d2 FROM direct a JOIN direct b ON a.seller = b.seller AND a.domain < b.domain JOIN sizes s ON s.domain = a.domain JOIN sizes t ON t.domain = b.domain GROUP BY 1, 2, s.n, t.n HAVING count(*) >= 8 AND count(*) >= 0.4 * least(s.n, t.n)
     ), pairs AS (
@@ -284,52 +284,142 @@ def case_clusters(spark, sf_dir):
     return _counts(**found)
 
 
-def _full_tables(spark: SparkSession, sf_dir: str) -> CaseTables:
-    """The case tables with registrars, certificates and ads.txt files in their scans."""
+def _full_tables(spark: SparkSession, sf_dir: str) -> tuple[CaseTables, DataFrame]:
+    """The case tables with registrars, certificates, ads.txt files, response headers and retained bytes, and the hashes of these bytes.
+
+    Neighbouring pages of a case share certificates and files. Bytes of even pages are retained, those of every seventh in part.
+    """
     t, i = p.case_tables(spark, sf_dir), F.col("url_artifact_id")
-    manager = F.when(i % 4 == 0, F.concat(F.lit('"manager_domain":"m'), i % 3, F.lit('.example",'))).otherwise("")
-    records = F.concat(F.lit('"records":[{"adsystem":"ads.example","seller_id":"'), i % 23, F.lit('","relationship":"DIRECT"},{"adsystem":"openx.com","seller_id":"7","relationship":"DIRECT"},{"adsystem":"ads.example","seller_id":"r","relationship":"RESELLER"}]}'))
-    document = F.concat(F.lit('{"status":"'), F.when(i % 10 == 9, "error").otherwise("ok"), F.lit('","raw_sha256":"s","owner_domain":"o'), i % 6, F.lit('.example",'), manager, records)
+    sha = F.sha2(F.concat(F.lit("file "), F.floor(i / 24)), 256)
+    manager = F.when(i % 4 == 0, F.concat(F.lit('"manager_domain":"M'), i % 3, F.lit('.example ",'))).otherwise("")
+    records = F.concat(F.lit('"records":[{"adsystem":"ads.example","seller_id":" '), i % 23, F.lit(' ","relationship":"DIRECT"},{"adsystem":"openx.com","seller_id":"7","relationship":"DIRECT"},{"adsystem":"ads.example","seller_id":"r","relationship":"RESELLER"}]}'))
+    acquired = F.when(i % 2 == 0, F.concat(F.lit('"acquisition_id":'), "id", F.lit(","))).otherwise("")
+    document = F.concat(F.lit('{"status":"'), F.when(i % 10 == 9, "error").otherwise("ok"), F.lit('","raw_sha256":"'), sha, F.lit('",'), acquired, F.lit('"owner_domain":"o'), i % 6, F.lit('.example",'), manager, records)
+    tls = F.concat(F.lit('{"serialNumber":" S'), F.floor(i / 8), F.lit('","notBefore":"Apr  7 00:00:00 2026 GMT","issuer":{"organizationName":"Org '), i % 4, F.lit('"}}'))
     t.scan_runs = t.scan_runs.withColumns({
         "whois_registrar": F.when(i % 7 != 0, F.concat(F.lit(" Registrar "), i % 5, F.lit(" "))), "ads_txt_json": F.when(i % 3 != 0, document),
-        "tls_info_json": F.when(i % 4 != 0, F.concat(F.lit('{"serialNumber":"S'), i % 31, F.lit('"}'))), "run_at": F.concat(F.lit("2026-01-0"), 1 + i % 9, F.lit(" 00:00:00 UTC")),
+        "tls_info_json": F.when(i % 3 != 1, tls), "run_at": F.concat(F.lit("2026-01-0"), 1 + i % 9, F.lit(" 00:00:00 UTC")),
     })
-    return t
+    pairs = F.concat(F.lit('[["Server","nginx"],["X-Powered-By","ab"],["X-Frame-Options","SAMEORIGIN-ALWAYS"],["Via","1.1 proxy/'), i % 7, F.lit('"],["X-Origin"," origin/'), i % 7, F.lit('"]]'))
+    t.redirect_hops = conform(spark, t.scan_runs.select("id", F.col("id").alias("scan_run_id"), F.col("final_url").alias("url"), pairs.alias("response_headers_json")), "redirect_hops")
+    kept = t.scan_runs.where(i % 2 == 0).select("id", F.lit("ads_txt").alias("kind"), F.col("id").alias("scan_run_id"), F.concat(F.lit("b/"), F.floor(i / 24)).alias("body_path"), (i % 7 == 0).alias("truncated"), sha.alias("captured_sha256"), sha.alias("complete_sha256"))
+    t.acquisitions = conform(spark, kept, "acquisitions")
+    n = F.floor(F.col("page_id") / 24)
+    bodies = p.read(spark, sf_dir, "pages").select(F.concat(F.lit("b/"), n).alias("body_path"), F.sha2(F.concat(F.lit("file "), n), 256).alias("body_sha256")).distinct()
+    return t, bodies
+
+
+#: base: own scans; files, cert_rows: of the scans in a pin; i is the artifact that the scan belongs to.
+FULL_SQL = f"""
+    base AS (
+        SELECT u.case_id, u.ua_id, d.scan_run_id, {host("s.final_url")} AS final_domain, i.host AS page_host FROM urls u JOIN own_done d ON d.ua_id = u.ua_id JOIN scans s ON s.scan_run_id = d.scan_run_id JOIN ids i ON i.page_id = u.ua_id
+    ), landed AS (
+        SELECT u.case_id, u.ua_id, d.scan_run_id, d.scan_run_id // 10 AS i, {host("s.final_url")} AS domain FROM urls u JOIN url_done d ON d.ua_id = u.ua_id JOIN scans s ON s.scan_run_id = d.scan_run_id
+    ), cert_rows AS (
+        SELECT case_id, 'Org ' || i % 4 AS issuer, 'S' || i // 8 AS serial, domain FROM landed WHERE i % 3 <> 1
+    ), template_rows AS (
+        SELECT case_id, sha256('file ' || i // 24) AS sha, domain, coalesce(max_by(CASE WHEN i % 7 = 0 THEN 'truncated' ELSE 'verified' END, ua_id) FILTER (WHERE i % 2 = 0), 'legacy_unverifiable') AS state FROM landed WHERE i % 3 <> 0 AND i % 10 <> 9 GROUP BY 1, 2, 3
+    )"""
 
 
 @query(f"""
-    WITH {PAGES_SQL}, base AS (
-        SELECT u.case_id, u.ua_id, d.scan_run_id, {host("s.final_url")} AS final_domain, i.host AS page_host FROM urls u JOIN own_done d ON d.ua_id = u.ua_id JOIN scans s ON s.scan_run_id = d.scan_run_id JOIN ids i ON i.page_id = u.ua_id
-    ), calls AS (
+    WITH {PAGES_SQL}, {FULL_SQL}, calls AS (
         SELECT *, unnest(['cdn.' || final_domain, '203.0.113.' || ua_id % 20]) AS endpoint FROM base WHERE scan_run_id % 7 <> 0
     ), files AS (
         SELECT *, CASE WHEN ua_id % 10 = 9 THEN 'error' ELSE 'ok' END AS status FROM base WHERE ua_id % 3 <> 0
+    ), managed_ AS (
+        SELECT DISTINCT case_id, final_domain FROM files WHERE status = 'ok' AND ua_id % 4 = 0
     ), carriers AS (
-        SELECT case_id, ua_id % 23 AS seller, count(DISTINCT final_domain) AS domains, count(DISTINCT CASE WHEN ua_id % 4 = 0 THEN final_domain END) AS managed FROM files GROUP BY 1, 2 HAVING count(DISTINCT final_domain) >= 2
+        SELECT case_id, ua_id % 23 AS seller, count(DISTINCT final_domain) AS domains, count(DISTINCT CASE WHEN (case_id, final_domain) IN (SELECT (case_id, final_domain) FROM managed_) THEN final_domain END) AS managed FROM files GROUP BY 1, 2
     ), good AS (
         SELECT case_id, count(DISTINCT final_domain) AS n FROM files WHERE status = 'ok' GROUP BY 1
+    ), apexes AS (
+        SELECT ua_id % 23 AS seller, count(DISTINCT {_apex_sql("final_domain")}) AS apexes FROM files WHERE status = 'ok' GROUP BY 1
     ), demoted AS (
-        SELECT c.case_id, seller FROM carriers c LEFT JOIN good USING (case_id) WHERE managed = domains OR domains / greatest(coalesce(n, 0), 1) >= 0.8
-    ), wide AS (
-        SELECT ua_id % 23 AS seller FROM files WHERE status = 'ok' GROUP BY 1 HAVING count(DISTINCT {_apex_sql("final_domain")}) >= 10
+        SELECT c.case_id, seller FROM carriers c LEFT JOIN good USING (case_id) LEFT JOIN apexes USING (seller) WHERE domains >= 2 AND managed = domains OR domains / greatest(coalesce(n, 0), 1) >= 0.8 OR domains >= 2 AND apexes > 4 OR apexes >= 10
+    ), constants AS (
+        SELECT u.case_id, {host("s.final_url")} AS domain, 'origin/' || min(s.ua_id % 7) AS value FROM urls u JOIN scans s ON s.ua_id = u.ua_id WHERE s.status = 'done' GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT s.ua_id % 7) = 1
+    ), firsts AS (
+        SELECT case_id, final_domain AS domain, min_by(scan_run_id, ua_id) AS scan_run_id FROM base GROUP BY 1, 2
     ), found_ AS (
-        SELECT case_id, scan_run_id, 'final_domain' AS signal_type, final_domain AS signal_value, NULL AS platform FROM base
-        UNION ALL SELECT case_id, scan_run_id, 'registrar', 'Registrar ' || ua_id % 5, NULL FROM base WHERE ua_id % 7 <> 0
-        UNION ALL SELECT case_id, scan_run_id, 'asn', 'AS' || ua_id % 9, NULL FROM base
-        UNION ALL SELECT case_id, scan_run_id, 'cert_serial', 'S' || ua_id % 31, NULL FROM base WHERE ua_id % 4 <> 0
-        UNION ALL SELECT b.case_id, b.scan_run_id, CASE f.platform WHEN 'Google Tag Manager' THEN 'gtm_container' ELSE 'tracking_id' END, f.tracking_id, f.platform FROM base b JOIN found f ON f.page_id = b.ua_id WHERE b.scan_run_id % 7 <> 0
-        UNION ALL SELECT DISTINCT case_id, scan_run_id, 'har_endpoint', CASE WHEN endpoint LIKE '203.%' THEN endpoint ELSE {_apex_sql("endpoint")} END, NULL FROM calls
-            WHERE endpoint <> page_host AND NOT ends_with(endpoint, '.' || page_host) AND CASE WHEN endpoint LIKE '203.%' THEN endpoint ELSE {_apex_sql("endpoint")} END <> {_apex_sql("page_host")}
-        UNION ALL SELECT case_id, scan_run_id, 'ads_txt_owner', 'o' || ua_id % 6 || '.example', NULL FROM files WHERE status = 'ok'
-        UNION ALL SELECT case_id, scan_run_id, 'ads_txt_manager', 'm' || ua_id % 3 || '.example', NULL FROM files WHERE status = 'ok' AND ua_id % 4 = 0
-        UNION ALL SELECT case_id, scan_run_id, 'ads_txt_seller', 'ads.example|' || ua_id % 23, 'ads.example' FROM files
-            WHERE status = 'ok' AND (case_id, ua_id % 23) NOT IN (SELECT (case_id, seller) FROM demoted) AND ua_id % 23 NOT IN (SELECT seller FROM wide)
+        SELECT scan_run_id, 'final_domain' AS signal_type, final_domain AS signal_value, NULL AS platform, final_domain FROM base
+        UNION ALL SELECT scan_run_id, 'registrar', 'Registrar ' || ua_id % 5, NULL, final_domain FROM base WHERE ua_id % 7 <> 0
+        UNION ALL SELECT scan_run_id, 'asn', 'AS' || ua_id % 9, 'org' || ua_id % 9, final_domain FROM base
+        UNION ALL SELECT scan_run_id, 'cert_serial', 'S' || ua_id // 8, 'Org ' || ua_id % 4, final_domain FROM base WHERE ua_id % 3 <> 1
+        UNION ALL SELECT b.scan_run_id, CASE f.platform WHEN 'Google Tag Manager' THEN 'gtm_container' ELSE 'tracking_id' END, f.tracking_id, f.platform, page_host FROM base b JOIN found f ON f.page_id = b.ua_id WHERE b.scan_run_id % 7 <> 0
+        UNION ALL SELECT scan_run_id, 'header_value', value, 'x-origin', domain FROM constants JOIN firsts USING (case_id, domain)
+        UNION ALL SELECT DISTINCT scan_run_id, 'har_endpoint', CASE WHEN endpoint LIKE '203.%' THEN endpoint ELSE {_apex_sql("endpoint")} END, NULL, page_host FROM calls
+            WHERE CASE WHEN endpoint LIKE '203.%' THEN endpoint ELSE {_apex_sql("endpoint")} END <> {_apex_sql("page_host")}
+        UNION ALL SELECT scan_run_id, 'ads_txt_template', sha256('file ' || ua_id // 24), NULL, final_domain FROM files WHERE status = 'ok' AND ua_id % 2 = 0 AND ua_id % 7 <> 0
+        UNION ALL SELECT scan_run_id, 'ads_txt_owner', 'o' || ua_id % 6 || '.example', NULL, final_domain FROM files WHERE status = 'ok'
+        UNION ALL SELECT scan_run_id, 'ads_txt_manager', 'm' || ua_id % 3 || '.example', NULL, final_domain FROM files WHERE status = 'ok' AND ua_id % 4 = 0
+        UNION ALL SELECT scan_run_id, 'ads_txt_seller', CAST(ua_id % 23 AS VARCHAR), 'ads.example', final_domain FROM files WHERE (case_id, ua_id % 23) NOT IN (SELECT (case_id, seller) FROM demoted)
     )
-    SELECT signal_type, signal_value, platform, 'main.db' AS source_db, f.case_id, 'case ' || f.case_id AS case_title, f.scan_run_id, b.final_domain, '2026-01-0' || (1 + b.ua_id % 9) || ' 00:00:00 UTC' AS observed_at, 't' AS indexed_at
+    SELECT signal_type, signal_value, platform, 'main.db' AS source_db, b.case_id, 'case ' || b.case_id AS case_title, f.scan_run_id, f.final_domain, '2026-01-0' || (1 + b.ua_id % 9) || ' 00:00:00 UTC' AS observed_at, 't' AS indexed_at
     FROM found_ f JOIN base b USING (scan_run_id)
 """)
 def extract_signals(spark, sf_dir):
-    return index.extract_signals(_full_tables(spark, sf_dir), "main.db", "t")
+    t, bodies = _full_tables(spark, sf_dir)
+    return index.extract_signals(t, "main.db", "t", bodies=bodies)
+
+
+BOUND_SQL = f"""
+    {PAGES_SQL}, {TRACKED_SQL}, {FULL_SQL}, hard AS (
+        SELECT case_id, 'tracking_id' AS type, platform AS label, tracking_id AS value, domain FROM tracked WHERE platform <> 'Google Tag Manager'
+        UNION SELECT case_id, 'certificate', issuer, serial, domain FROM cert_rows
+        UNION SELECT case_id, 'ads_txt_template', 'ads.txt', sha, domain FROM template_rows WHERE (case_id, sha) NOT IN (SELECT (case_id, sha) FROM template_rows WHERE state <> 'verified')
+    ), shared AS (
+        SELECT case_id, type, label, value, min(domain) AS first FROM hard GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT domain) >= 2
+    ), star AS (
+        SELECT DISTINCT case_id, first AS x, domain AS y FROM hard JOIN shared USING (case_id, type, label, value)
+    ), edges AS (
+        SELECT * FROM star UNION SELECT case_id, y, x FROM star
+    ), reach(case_id, x, y) AS (
+        SELECT case_id, x, x FROM edges UNION SELECT r.case_id, r.x, e.y FROM reach r JOIN edges e ON e.case_id = r.case_id AND e.x = r.y
+    ), part AS (
+        SELECT case_id, x AS domain, min(y) AS label, count(*) AS group_size FROM reach GROUP BY 1, 2
+    ), members AS (
+        SELECT *, dense_rank() OVER (PARTITION BY case_id ORDER BY group_size DESC, label) AS gid FROM part
+    )"""
+
+
+def _all_bound(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(hard signals, members) of tracking ids, certificates and verified files."""
+    t, bodies = _full_tables(spark, sf_dir)
+    templates = ads.shared_templates(ads.domain_states(ads.acquisition_states(ads.ads_rows(t), t.acquisitions, bodies)))
+    signals = groups.hard_signals(infra.shared_tracking_ids(t), infra.shared_certificates(infra.certificates(t)), templates)
+    return signals, groups.memberships(signals)
+
+
+@query(f"""
+    WITH RECURSIVE {BOUND_SQL}, per AS (
+        SELECT case_id, gid, min(label) AS label, string_agg(domain, ', ' ORDER BY domain) AS domains, count(*) AS domain_count FROM members GROUP BY 1, 2
+    ), bound AS (
+        SELECT m.case_id, m.gid, count(*) AS signal_count, string_agg(s.type || ' ' || s.label || ' ' || s.value, ', ' ORDER BY s.type, s.label, s.value) AS signals,
+            string_agg(DISTINCT CASE s.type WHEN 'tracking_id' THEN 'html' WHEN 'certificate' THEN 'tls' ELSE 'ads_txt' END, ', ' ORDER BY CASE s.type WHEN 'tracking_id' THEN 'html' WHEN 'certificate' THEN 'tls' ELSE 'ads_txt' END) AS channels
+        FROM shared s JOIN members m ON m.case_id = s.case_id AND m.domain = s.first GROUP BY 1, 2
+    )
+    SELECT per.*, signal_count, signals, channels FROM per JOIN bound USING (case_id, gid)
+""")
+def operator_groups_by_all_signals(spark, sf_dir):
+    """Groups that ids, certificates and files with retained bytes bind together."""
+    signals, members = _all_bound(spark, sf_dir)
+    found = groups.groups(signals, members, spark.createDataFrame([], NO_FAKES))
+    named = F.array_join(F.transform("signals", lambda s: F.concat_ws(" ", s["type"], s["signal"], s["value"])), ", ")
+    return found.select("case_id", "gid", "label", text("domains").alias("domains"), "domain_count", "signal_count", named.alias("signals"), text("channels").alias("channels"))
+
+
+@query(f"""
+    WITH {PAGES_SQL}, {FULL_SQL}, worst AS (
+        SELECT case_id, sha, string_agg(domain, ', ' ORDER BY domain) AS domains, count(*) AS domain_count, bool_or(state = 'truncated') AS t, bool_or(state = 'legacy_unverifiable') AS l FROM template_rows GROUP BY 1, 2 HAVING count(*) >= 2
+    )
+    SELECT case_id, sha AS sha256, domains, domain_count, CASE WHEN t THEN 'truncated' WHEN l THEN 'legacy_unverifiable' ELSE 'verified' END AS verification FROM worst
+""")
+def shared_templates_with_bodies(spark, sf_dir):
+    """Files served by several domains, some with all their bytes retained."""
+    t, bodies = _full_tables(spark, sf_dir)
+    found = ads.shared_templates(ads.domain_states(ads.acquisition_states(ads.ads_rows(t), t.acquisitions, bodies)))
+    return found.select("case_id", "sha256", text("domains").alias("domains"), "domain_count", "verification")
 
 
 @query(f"""

@@ -104,24 +104,31 @@ def shared_destinations(spark, sf_dir):
 @query(f"""
     WITH {PAGES_SQL}, {PINNED_SQL}, landed AS (
         SELECT q.*, i.host FROM pinned q LEFT JOIN ids i ON i.page_id = q.scan_run_id // 10
+    ), first AS (
+        SELECT case_id, asn, original_url, min_by(tagged, ua_id) AS tagged FROM landed GROUP BY 1, 2, 3
+    ), urls_ AS (
+        SELECT case_id, asn, count(*) AS url_count, count(CASE WHEN tagged < 2 THEN 1 END) AS flagged_url_count, count(CASE WHEN tagged = 0 THEN 1 END) AS hop, count(CASE WHEN tagged = 1 THEN 1 END) AS new_ FROM first GROUP BY 1, 2
+    ), per AS (
+        SELECT case_id, asn, max_by(as_org, ua_id) AS as_org, '—' AS as_country, count(DISTINCT host) AS domain_count, count(DISTINCT post_id) AS post_count, string_agg(DISTINCT host, ', ' ORDER BY host) AS domains FROM landed GROUP BY 1, 2
     )
-    SELECT case_id, asn, max_by(as_org, ua_id) AS as_org, count(DISTINCT host) AS domain_count, count(DISTINCT ua_id) AS url_count, count(DISTINCT post_id) AS post_count, count(DISTINCT CASE WHEN tagged < 2 THEN ua_id END) AS flagged_url_count
-    FROM landed GROUP BY 1, 2
+    SELECT per.*, url_count, flagged_url_count, concat_ws(', ', CASE WHEN hop > 0 THEN 'http=' || hop || ', multi_hop=' || hop END, CASE WHEN new_ > 0 THEN 'new_domain=' || new_ END) AS tag_counts FROM per JOIN urls_ USING (case_id, asn)
 """)
 def asn_clusters(spark, sf_dir):
-    return infra.asn_clusters(p.case_tables(spark, sf_dir)).drop("as_country", "tag_counts", "domains")
+    counted = F.array_join(F.transform(F.map_entries("tag_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    found = infra.asn_clusters(p.case_tables(spark, sf_dir)).withColumn("domains", text(F.transform("domains", lambda d: d["domain"])))
+    return found.withColumn("tag_counts", F.coalesce(counted, F.lit("")))
 
 
 TRACKED_SQL = f"""
     tracked AS (
-        SELECT u.case_id, u.ua_id, u.post_id, f.host AS domain, f.platform, f.tracking_id
+        SELECT u.case_id, u.ua_id, u.post_id, u.original_url, f.host AS domain, f.platform, f.tracking_id
         FROM urls u JOIN url_done d ON d.ua_id = u.ua_id JOIN found f ON f.page_id = d.scan_run_id // 10 WHERE d.scan_run_id % 7 <> 0
     )"""
 
 
 @query(f"""
     WITH {PAGES_SQL}, {TRACKED_SQL}
-    SELECT case_id, platform, tracking_id, count(DISTINCT domain) AS domain_count, count(DISTINCT ua_id) AS url_count, count(DISTINCT post_id) AS post_count, string_agg(DISTINCT domain, ', ' ORDER BY domain) AS domains
+    SELECT case_id, platform, tracking_id, count(DISTINCT domain) AS domain_count, count(DISTINCT original_url) AS url_count, count(DISTINCT post_id) AS post_count, string_agg(DISTINCT domain, ', ' ORDER BY domain) AS domains
     FROM tracked GROUP BY 1, 2, 3 HAVING count(DISTINCT domain) >= 2
 """)
 def shared_tracking_ids(spark, sf_dir):
@@ -136,17 +143,23 @@ def extract_tracking_ids(spark, sf_dir):
 
 @query(f"""
     WITH {PAGES_SQL}, {PARAMS_SQL}, by_url AS (
-        SELECT case_id, ua_id, post_id, {PLATFORM_SQL} AS platform_id FROM params
+        SELECT case_id, ua_id, post_id, original_url, domain, k AS param_key, NULL AS tracking_id, {PLATFORM_SQL} AS platform_id FROM params JOIN (SELECT ua_id, original_url FROM urls) o USING (ua_id)
     ), by_html AS (
-        SELECT u.case_id, u.ua_id, u.post_id, CASE f.platform WHEN 'Meta Pixel' THEN 'meta_facebook' WHEN 'Google Analytics 4' THEN 'google_analytics' ELSE 'google_tag_manager' END AS platform_id
+        SELECT u.case_id, u.ua_id, u.post_id, u.original_url, f.host AS domain, NULL AS param_key, f.tracking_id, CASE f.platform WHEN 'Meta Pixel' THEN 'meta_facebook' WHEN 'Google Analytics 4' THEN 'google_analytics' ELSE 'google_tag_manager' END AS platform_id
         FROM urls u JOIN url_any d ON d.ua_id = u.ua_id JOIN found f ON f.page_id = d.scan_run_id // 10 WHERE d.scan_run_id % 7 <> 0
     ), every AS (
-        SELECT *, 1 AS u FROM by_url WHERE platform_id <> '' UNION ALL SELECT *, 0 FROM by_html
+        SELECT * FROM by_url WHERE platform_id <> '' UNION ALL SELECT * FROM by_html
+    ), per AS (
+        SELECT case_id, platform_id, count(DISTINCT original_url) AS url_count, count(DISTINCT post_id) AS post_count, count(DISTINCT domain) AS domain_count, coalesce(string_agg(DISTINCT param_key, ', ' ORDER BY param_key), '') AS param_keys,
+            coalesce(string_agg(DISTINCT tracking_id, ', ' ORDER BY tracking_id), '') AS tracking_ids, string_agg(DISTINCT domain, ', ' ORDER BY domain) AS domains, count(param_key) > 0 AS u, count(tracking_id) > 0 AS h FROM every GROUP BY 1, 2
+    ), meet AS (
+        SELECT DISTINCT a.case_id, a.platform_id FROM every a JOIN every b ON a.case_id = b.case_id AND a.platform_id = b.platform_id AND a.param_key IS NOT NULL AND b.tracking_id IS NOT NULL AND (a.ua_id = b.ua_id OR a.domain = b.domain)
     )
-    SELECT case_id, platform_id, count(DISTINCT ua_id) AS url_count, count(DISTINCT post_id) AS post_count FROM every GROUP BY 1, 2
+    SELECT per.* EXCLUDE (u, h), CASE WHEN platform_id = 'generic' THEN 'generic' ELSE 'platform' END AS owner_kind,
+        CASE WHEN u AND h AND (case_id, platform_id) IN (SELECT (case_id, platform_id) FROM meet) THEN 'both' WHEN u AND h THEN 'mixed_nonoverlap' WHEN h THEN 'html_embedded' ELSE 'url_param' END AS signal_source FROM per
 """)
 def ad_tracking_platforms(spark, sf_dir):
-    return infra.ad_tracking_platforms(p.case_tables(spark, sf_dir)).select("case_id", "platform_id", "url_count", "post_count")
+    return infra.ad_tracking_platforms(p.case_tables(spark, sf_dir)).withColumns({c: text(c) for c in ("param_keys", "tracking_ids", "domains")})
 
 
 @query(f"""
@@ -218,11 +231,11 @@ def cloaking_suspects(spark, sf_dir):
 
 @query(f"""
     WITH {CERTS_SQL}
-    SELECT case_id, issuer, serial, min(not_before) AS not_before, count(DISTINCT domain) AS domain_count, count(DISTINCT ua_id) AS url_count, string_agg(DISTINCT domain, ', ' ORDER BY domain) AS domains
+    SELECT case_id, issuer, serial, min(not_before) AS not_before, count(DISTINCT domain) AS domain_count, count(DISTINCT original_url) AS url_count, count(DISTINCT post_id) AS post_count, 1 AS san_count, string_agg(DISTINCT domain, ', ' ORDER BY domain) AS domains
     FROM certs GROUP BY 1, 2, 3 HAVING count(DISTINCT domain) >= 2
 """)
 def shared_certificates(spark, sf_dir):
-    return infra.shared_certificates(p.certificates(spark, sf_dir)).withColumn("domains", text("domains")).drop("not_after", "san_count", "post_count")
+    return infra.shared_certificates(p.certificates(spark, sf_dir)).withColumn("domains", text("domains")).drop("not_after")
 
 
 @query(f"""
@@ -305,18 +318,18 @@ def opsec_gap(spark, sf_dir):
     ), foot AS (
         SELECT seller_id, count(DISTINCT domain) AS apexes FROM direct WHERE d % 10 <> 9 GROUP BY 1
     ), per AS (
-        SELECT seller_id, count(DISTINCT domain) AS domain_count, string_agg(DISTINCT domain, ', ' ORDER BY domain) AS domains, bool_and(d % 4 = 0) AS managed FROM direct GROUP BY 1 HAVING count(DISTINCT domain) >= 2
+        SELECT seller_id, count(DISTINCT domain) AS domain_count, string_agg(DISTINCT domain, ', ' ORDER BY domain) AS domains, bool_and(d % 4 = 0 AND d % 10 <> 9) AS managed FROM direct GROUP BY 1 HAVING count(DISTINCT domain) >= 2
     ), figures AS (
         SELECT per.*, coalesce(apexes, 0) AS global_apex_count, coalesce(linked, 0) AS linked_pairs, (SELECT count(DISTINCT domain) FROM files WHERE status = 'ok') AS denominator
         FROM per LEFT JOIN foot USING (seller_id) LEFT JOIN pairs USING (seller_id)
     )
     SELECT 'ads.example' AS adsystem, seller_id, domain_count, domains, global_apex_count, linked_pairs, managed AS all_carriers_managed,
-        CASE WHEN managed OR domain_count / denominator >= 0.8 OR linked_pairs / (domain_count * (domain_count - 1) / 2) >= 0.6 OR global_apex_count >= 10 THEN 'manager' WHEN global_apex_count <= 4 THEN 'operator' ELSE 'uncertain' END AS tier
+        domain_count / denominator AS breadth_ratio, linked_pairs / (domain_count * (domain_count - 1) / 2) AS pair_link_ratio, domain_count AS url_count, domain_count AS post_count, CASE WHEN managed OR domain_count / denominator >= 0.8 OR linked_pairs / (domain_count * (domain_count - 1) / 2) >= 0.6 OR global_apex_count >= 10 THEN 'manager' WHEN global_apex_count <= 4 THEN 'operator' ELSE 'uncertain' END AS tier
     FROM figures
 """)
 def shared_ad_accounts(spark, sf_dir):
     rows = ads.shared_ad_accounts(p.ads_rows(spark, sf_dir)).withColumn("domains", text("domains"))
-    return rows.select("adsystem", "seller_id", "domain_count", "domains", "global_apex_count", "linked_pairs", "all_carriers_managed", "tier")
+    return rows.select("adsystem", "seller_id", "domain_count", "domains", "global_apex_count", "linked_pairs", "all_carriers_managed", "tier", "breadth_ratio", "pair_link_ratio", "url_count", "post_count")
 
 
 @query(f"WITH {ADS_SQL} SELECT sha AS sha256, count(DISTINCT domain) AS domain_count, string_agg(DISTINCT domain, ', ' ORDER BY domain) AS domains, 'legacy_unverifiable' AS verification FROM files WHERE status = 'ok' GROUP BY 1 HAVING count(DISTINCT domain) >= 2")
@@ -324,7 +337,7 @@ def shared_templates(spark, sf_dir):
     from tracelink.schema import DDL
 
     states = ads.acquisition_states(p.ads_rows(spark, sf_dir), spark.createDataFrame([], DDL["acquisitions"]), None)
-    return ads.shared_templates(states).select("sha256", "domain_count", text("domains").alias("domains"), "verification")
+    return ads.shared_templates(ads.domain_states(states)).select("sha256", "domain_count", text("domains").alias("domains"), "verification")
 
 
 @query(f"WITH {ADS_SQL} SELECT adsystem, seller_id, count(DISTINCT domain) AS global_apex_count FROM direct WHERE d % 10 <> 9 GROUP BY 1, 2")

@@ -22,7 +22,7 @@ def _pages(spark, sf_dir):
 
 @query(f"""
     WITH {CERTS_SQL}
-    SELECT case_id, issuer, count(DISTINCT domain) AS domain_count, count(DISTINCT ua_id) AS url_count, count(DISTINCT serial) AS cert_count, min(not_before) AS earliest_not_before FROM certs GROUP BY 1, 2
+    SELECT case_id, issuer, count(DISTINCT domain) AS domain_count, count(DISTINCT original_url) AS url_count, count(DISTINCT serial) AS cert_count, min(not_before) AS earliest_not_before FROM certs GROUP BY 1, 2
 """)
 def certificate_authorities(spark, sf_dir):
     return infra.certificate_authorities(p.certificates(spark, sf_dir)).drop("domains")

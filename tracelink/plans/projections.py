@@ -129,14 +129,14 @@ CAPTURES_SQL = """
 
 def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(
-        (F.col("o_custkey") % 3).alias("case_id"), F.col("o_orderkey").alias("ua_id"), F.col("o_orderkey").alias("post_id"), F.concat(F.lit("d"), F.col("o_orderkey") % 50).alias("domain"),
+        (F.col("o_custkey") % 3).alias("case_id"), F.col("o_orderkey").alias("ua_id"), F.col("o_orderkey").alias("post_id"), F.concat(F.lit("u"), F.col("o_orderkey") % 700).alias("original_url"), F.concat(F.lit("d"), F.col("o_orderkey") % 50).alias("domain"),
         F.concat(F.lit("CA "), F.col("o_custkey") % 5).alias("issuer"), F.col("o_custkey").cast("string").alias("serial"), F.col("o_orderdate").cast("timestamp").alias("not_before"), F.lit(None).cast("timestamp").alias("not_after"), F.lit(1).alias("sans"),
     )
 
 
 CERTS_SQL = """
     certs AS (
-        SELECT o_custkey % 3 AS case_id, o_orderkey AS ua_id, 'd' || o_orderkey % 50 AS domain, 'CA ' || o_custkey % 5 AS issuer, CAST(o_custkey AS VARCHAR) AS serial, CAST(o_orderdate AS TIMESTAMP) AS not_before
+        SELECT o_custkey % 3 AS case_id, o_orderkey AS ua_id, o_orderkey AS post_id, 'u' || o_orderkey % 700 AS original_url, 'd' || o_orderkey % 50 AS domain, 'CA ' || o_custkey % 5 AS issuer, CAST(o_custkey AS VARCHAR) AS serial, CAST(o_orderdate AS TIMESTAMP) AS not_before
         FROM orders
     )"""
 
@@ -150,7 +150,7 @@ def ads_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = rows.groupBy(d.alias("d")).agg(F.array_sort(F.collect_set(record)).alias("records"))
     name = F.concat(F.lit("d"), "d", F.lit(".example"))
     return per.select(
-        F.lit(0).cast("long").alias("case_id"), F.col("d").alias("ua_id"), F.col("d").alias("post_id"), F.col("d").alias("scan_run_id"), name.alias("domain"), name.alias("apex"), F.when(F.col("d") % 10 == 9, "error").otherwise("ok").alias("status"),
+        F.lit(0).cast("long").alias("case_id"), F.col("d").alias("ua_id"), F.col("d").alias("post_id"), F.concat(F.lit("http://"), name, F.lit("/")).alias("original_url"), F.col("d").alias("scan_run_id"), name.alias("domain"), name.alias("apex"), F.when(F.col("d") % 10 == 9, "error").otherwise("ok").alias("status"),
         F.sha2((F.col("d") % 13).cast("string"), 256).alias("sha"), F.when(F.col("d") % 4 == 0, "manager.example").alias("manager"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("long").alias("acquisition_id"), "records",
     )
 
