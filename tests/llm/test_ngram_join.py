@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import AWKWARD
-from tracelink.llm.ngram_join import RTree, ngram_components, point
+from tracelink.llm.ngram_join import RTree, _candidates, ngram_components, point
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -102,3 +102,31 @@ def test_tree_search_is_exact():
 
 def test_empty_table(nothing):
     assert ngram_components(nothing).count() == 0
+
+
+def test_a_pair_of_many_blocks_is_a_candidate_in_the_first_only():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(400) < 0.95], rng.integers(0, 2**63, 20, dtype=np.uint64)])) for _ in range(90)]
+    blocks = {sig: sorted(rng.choice(90, 70, replace=False).tolist()) for sig in (-5, 3, 11, 2**40)}
+    sigs = {d: [s for s, members in blocks.items() if d in members] for d in range(90)}
+    found = []
+    for sig, members in blocks.items():
+        a, b = _candidates(8, sig, [(2, d, len(sets[d]), d, point(sets[d]).tobytes(), sigs[d]) for d in members])
+        found += list(zip(a, b, strict=True))
+    bound = lambda d, e: (m := int(np.minimum(point(sets[d]), point(sets[e])).sum())) * 10 >= 8 * (len(sets[d]) + len(sets[e]) - m)
+    want = {(d, e) for members in blocks.values() for d in members for e in members if d < e and bound(d, e)}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_cloud_of_copies(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(160):
+        now = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 6])):
+            now[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((rng.randrange(10**9), " ".join(now)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(ngram_components(docs, 5, 8)) == brute(rows, 5, 8)

@@ -260,8 +260,11 @@ class RTree:
         return nodes
 
 
-def _candidates(tenths: int, rows: list[tuple]) -> tuple[list, list]:
-    """Candidate pairs of one part of a block (side, doc, n, component, point) against another: different components, bound reached."""
+def _candidates(tenths: int, sig: int, rows: list[tuple]) -> tuple[list, list]:
+    """Candidate pairs of one part of block `sig` (side, doc, n, component, point, sigs) against another: different components, bound reached, and no earlier block that both are in.
+
+    sigs: the open blocks of a document. Near copies share many blocks; the first of these has the pair.
+    """
     a, b = ([r for r in rows if r[0] != other] for other in (1, 0))
     found: tuple[list, list] = ([], [])
     if a and b:
@@ -271,27 +274,30 @@ def _candidates(tenths: int, rows: list[tuple]) -> tuple[list, list]:
         # a tree of a leaf or two is its points
         tree = RTree(other) if len(other) > 2 * LEAF else None
         whole = all(r[0] == 2 for r in rows)
-        for (_, d, n, c, _), p in zip(a, mine, strict=True):
+        earlier = [frozenset(s for s in r[5] if s < sig) for r in b]
+        for (_, d, n, c, _, sigs), p in zip(a, mine, strict=True):
             hit = np.flatnonzero((comp != c) & ((doc > d) | (not whole)) & (10 * size >= tenths * n) & (10 * n >= tenths * size)) if tree is None else tree.search(p, tenths * n / 10 - 1e-9)
             if not len(hit):
                 continue
             hit = hit[comp[hit] != c]
             shared = np.minimum(other[hit], p).sum(1)
             hit = hit[10 * shared >= tenths * (n + size[hit] - shared)]
+            before = [s for s in sigs if s < sig]
+            hit = np.array([h for h in hit.tolist() if earlier[h].isdisjoint(before)], np.int64)
             found[0].extend(np.minimum(doc[hit], d).tolist())
             found[1].extend(np.maximum(doc[hit], d).tolist())
     return found
 
 
 def _tree_join(tenths: int):
-    """Candidate pairs (a, b) of sorted rows (sig, i, j, side, doc, n, component, point)."""
-    names = ["sig", "i", "j", "side", "doc", "n", "component", "point"]
+    """Candidate pairs (a, b) of sorted rows (sig, i, j, side, doc, n, component, point, sigs)."""
+    names = ["sig", "i", "j", "side", "doc", "n", "component", "point", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*[batch.column(c).to_pylist() for c in names], strict=True))
         a, b = [], []
-        for _, group in groupby(rows, key=lambda r: r[:3]):
-            found = _candidates(tenths, [r[3:] for r in group])
+        for (sig, _, _), group in groupby(rows, key=lambda r: r[:3]):
+            found = _candidates(tenths, sig, [r[3:] for r in group])
             a.extend(found[0])
             b.extend(found[1])
             if len(a) > 10_000:
@@ -381,13 +387,14 @@ def ngram_components(
     if not open_.isEmpty():
         sized = open_.groupBy("sig").agg(F.ceil(F.count("*") / PART).alias("parts"))
         dealt = open_.join(sized, "sig").withColumn("part", F.pmod(F.xxhash64("doc"), "parts"))
-        dealt = dealt.join(points, "doc")
+        blocks_of = open_.groupBy("doc").agg(F.collect_set("sig").alias("sigs"))
+        dealt = dealt.join(points, "doc").join(blocks_of, "doc")
         # a pair of parts (i, j), i <= j, meets in one group; side 0: of part i, 1: of part j, 2: of both
         later = F.transform(F.sequence("part", F.col("parts") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.when(j == F.col("part"), 2).otherwise(0).alias("side")))
         earlier = F.when(F.col("part") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("part") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"))))
         to = F.concat(later, F.coalesce(earlier, F.array().cast("array<struct<i:bigint,j:bigint,side:int>>")))
         keys = ["sig", "i", "j"]
-        dealt = dealt.withColumn("to", F.explode(to)).select("sig", "to.*", "doc", "n", "point", "component")
+        dealt = dealt.withColumn("to", F.explode(to)).select("sig", "to.*", "doc", "n", "point", "component", "sigs")
         more = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_join(tenths), "a long, b long")
         more = materialise(more.where("a <> b").distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-more")
         components = _merged(components, verifier.links(more))
