@@ -279,7 +279,7 @@ def _candidates(tenths: int, sig: int, rows: list[tuple]) -> tuple[list, list]:
             hit = np.flatnonzero((comp != c) & ((doc > d) | (not whole)) & (10 * size >= tenths * n) & (10 * n >= tenths * size)) if tree is None else tree.search(p, tenths * n / 10 - 1e-9)
             if not len(hit):
                 continue
-            hit = hit[comp[hit] != c]
+            hit = hit[(comp[hit] != c) & ((doc[hit] > d) | (not whole))]
             shared = np.minimum(other[hit], p).sum(1)
             hit = hit[10 * shared >= tenths * (n + size[hit] - shared)]
             before = [s for s in sigs if s < sig]
