@@ -23,7 +23,7 @@ from tracelink.storage import materialise
 LENGTH = 512
 #: Sequences of a shard: 256 KB of two-byte ids.
 PER_SHARD = 256
-TASK_BYTES = 64 << 20
+TASK_BYTES = 24 << 20
 ROUNDS = 6
 SHARD = "shard long, first_slot long, n_sequences int, stride int, id_bytes int, doc_ids array<long>, parts array<int>, lengths array<int>, crc32 long, payload binary"
 
