@@ -145,3 +145,26 @@ def test_ids_in_every_form_of_call(spark):
 def test_both_spellings_of_a_name_are_one_domain(spark):
     got = values(spark, ["www.bücher.de", "WWW.BÜCHER.DE.", "xn--bcher-kva.de", "a.bücher.co.uk", "x" * 70 + "ü.de"], u.registrable_domain(u.ascii_host(F.rtrim(F.lower("x"), F.lit(".")))))
     assert got == ["xn--bcher-kva.de"] * 3 + ["xn--bcher-kva.co.uk", "x" * 70 + "ü.de"]
+
+
+def test_every_pattern_needs_its_trigger_and_a_table_may_add_more(spark):
+    import re
+
+    from tracelink.functions import fingerprints as f
+    from tracelink.plans.driver_queries import SNIPPETS
+
+    shown = [(label, x.replace("{n}", "12345670").replace("{h7}", "ABCDEF1").replace("{h}", "ABCDEF12"), snippet) for label, x, snippet in SNIPPETS]
+    pages = [snippet.replace("{id}", x) for _, x, snippet in shown]
+    assert len(f.PATTERNS) == len(SNIPPETS) == 19
+    for (label, pattern, trigger), (name, x, _), page in zip(f.PATTERNS, shown, pages, strict=True):
+        assert label == name and re.search(pattern, page)[1] == x and trigger in re.search(pattern, page)[0]
+        # the literal is part of what the pattern asks for: without it nothing is found
+        assert trigger.replace(".", r"\.") in pattern
+    got = values(spark, pages, tracking_ids("x"))
+    assert got == [{label: sorted(x.split(", "))} for label, x, _ in shown]
+    rows = f.pattern_table(spark).union(spark.createDataFrame([("Own", r"own-(\d+)", None, False), ("Hotjar", r"hj:(\d+)", "hj:", False)], f.TABLE))
+    text = "own-12 hj:345678 " + pages[12]
+    assert values(spark, [text, None, "nothing"], tracking_ids("x", rows)) == [{"Own": ["12"], "Hotjar": ["112345670", "345678"]}, {}, {}]
+    assert values(spark, [text], tracking_ids("x", rows.limit(0))) == [{}]
+    with pytest.raises(ValueError, match="more than 1000"):
+        tracking_ids("x", spark.range(1001).selectExpr("string(id) AS label", "'x' AS pattern", "NULL AS trigger", "false AS list"))

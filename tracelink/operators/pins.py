@@ -32,11 +32,18 @@ PINS = {"own_done": lambda t: own_scan(t), "own_any": lambda t: own_scan(t, Fals
 
 def pinned(t: CaseTables, pin: str, *scan_columns: str, how: str = "inner", posts: bool = True) -> DataFrame:
     """(case_id, ua_id, post_id, original_url, scan_run_id, columns of the pinned scan) per artifact; posts=False keeps artifacts whose post isn't there."""
+    columns = ["case_id", "ua_id", "post_id", "original_url", "scan_run_id", *scan_columns]
+    stored = getattr(t, "pin_tables", {})
+    if pin in stored:
+        chosen = stored[pin].select(*columns, "has_post")
+        if how != "inner":
+            chosen = chosen.unionByName(stored[f"{pin}_none"], allowMissingColumns=True)
+        return (chosen.where("has_post") if posts else chosen).select(*columns)
     urls = t.url_artifacts.select(F.col("id").alias("ua_id"), F.col("message_id").alias("post_id"), "case_id", "original_url")
     scans = t.scan_runs.select(F.col("id").alias("scan_run_id"), *scan_columns)
     base = urls.join(t.message_evidence.select(F.col("id").alias("post_id")), "post_id", "left_semi") if posts else urls
     base = base.join(PINS[pin](t).withColumnRenamed("url_artifact_id", "ua_id"), "ua_id", how)
-    return base.join(scans, "scan_run_id", how).select("case_id", "ua_id", "post_id", "original_url", "scan_run_id", *scan_columns)
+    return base.join(scans, "scan_run_id", how).select(*columns)
 
 
 def usable_snapshots(t: CaseTables, column: str) -> DataFrame:
@@ -48,6 +55,8 @@ def usable_snapshots(t: CaseTables, column: str) -> DataFrame:
 
 def latest_snapshot(t: CaseTables) -> DataFrame:
     """The newest capture of each scan, whatever its status."""
+    if "newest" in t.snapshots.columns:  # stored with the mark
+        return t.snapshots.where("newest").drop("newest")
     newest = t.snapshots.groupBy("scan_run_id").agg(F.max("id").alias("id"))
     return t.snapshots.join(newest.select("id"), "id", "left_semi")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelink.functions import urls
 from tracelink.functions.decisions import first_of
-from tracelink.functions.fingerprints import tracking_ids
+from tracelink.functions.fingerprints import pattern_table, tracking_ids
 from tracelink.operators import ads, discovery, groups, headers, index, infra, insights, integrity, pins, url
 from tracelink.plans import projections as p
 from tracelink.plans.projections import ADS_SQL, CAPTURES_SQL, CERTS_SQL, HEADERS_SQL, OBSERVED_SQL, PAGES_SQL, SIGNALS_SQL, host
@@ -135,9 +136,45 @@ def shared_tracking_ids(spark, sf_dir):
     return infra.shared_tracking_ids(p.case_tables(spark, sf_dir)).withColumn("domains", text("domains"))
 
 
-@query(f"WITH {PAGES_SQL} SELECT page_id, platform, tracking_id FROM found")
+#: One snippet for each fixed pattern, in their order: {n} is a number of eight digits, {h} eight hex digits in capitals.
+SNIPPETS = [
+    ("Meta Pixel", "1{n}123456", "fbq( 'init' , \"{id}\")"), ("Google Analytics 4", "G-{h}", "gtag('config','{id}')"), ("Google Analytics 4", "G-A{h}", "<a href=https://www.google-analytics.com/g/collect?v=2&tid={id}>"),
+    ("Google Analytics (UA)", "UA-1{n}-1", "ga( 'create', '{id}' )"), ("Google Analytics (UA)", "UA-2{n}-2", "<img src=//www.google-analytics.com/collect?tid={id}>"), ("Google Tag Manager", "GTM-{h}", "(window,'dataLayer' , '{id}')"),
+    ("Google Tag Manager", "GTM-A{h7}", "https://www.googletagmanager.com/ns.html?id={id}"), ("Google Ads", "AW-1{n}", "gtag('config', '{id}')"), ("Google Ads", "AW-2{n}", "{'send_to': '{id}/label'}"), ("TikTok Pixel", "C{h}AAAAAAA", "ttq.load('{id}')"),
+    ("Microsoft Clarity", "x{n}", "src=https://www.clarity.ms/tag/{id}?ref"), ("Microsoft Clarity", "y{n}", "clarity('set', 'project', '{id}')"), ("Hotjar", "1{n}", "h._hjSettings={hjid:{id},hjsv:6}"), ("LINE Tag", "line-{n}", "_lt('init', {customerType: 'lap', tagId: '{id}'})"),
+    ("X / Twitter Pixel", "o{n}", "twq('config','{id}')"), ("Google AdSense", "ca-pub-1{n}1234567", "<ins data-ad-client='{id}'>"), ("Google AdSense", "ca-pub-2{n}1234567", "google_ad_client : '{id}'"), ("Google AdSense", "ca-pub-3{n}1234567", "pagead2.googlesyndication.com/pagead/js?client={id}"),
+    ("Meta Facebook Page", "4{n}, 5{n}", "<meta content='x'><meta property='fb:pages' content='{id}'>"),
+]
+
+
+def _pieces(text: str) -> list[str]:
+    """A snippet's text, cut at its places."""
+    return [x for x in re.split(r"(\{n\}|\{h7\}|\{h\})", text) if x]
+
+
+def _filled_sql(text: str) -> str:
+    return " || ".join(x[1:-1] if x in ("{n}", "{h7}", "{h}") else "'" + x.replace("'", "''") + "'" for x in _pieces(text))
+
+
+def _filled(text: str) -> Column:
+    return F.concat(*[F.col(x[1:-1]) if x in ("{n}", "{h7}", "{h}") else F.lit(x) for x in _pieces(text)])
+
+
+@query(f"""
+    WITH numbered AS (
+        SELECT page_id, lpad(CAST(page_id AS VARCHAR), 8, '9') AS n, upper(md5(CAST(page_id AS VARCHAR))[1:8]) AS h, upper(md5(CAST(page_id AS VARCHAR))[1:7]) AS h7 FROM pages
+    ), every AS (
+        {" UNION ALL ".join(f"SELECT page_id, '{label}' AS platform, unnest(string_split({_filled_sql(id)}, ', ')) AS tracking_id FROM numbered WHERE page_id % 19 <> {i}" for i, (label, id, _) in enumerate(SNIPPETS))}
+    )
+    SELECT DISTINCT page_id, platform, tracking_id FROM every
+""")
 def extract_tracking_ids(spark, sf_dir):
-    each = p.page_html(spark, sf_dir).select("page_id", F.explode(tracking_ids("html")).alias("platform", "ids"))
+    """Whole pages with a snippet for each pattern but one, by the fixed patterns read as a table."""
+    i = F.col("page_id")
+    pages = p.read(spark, sf_dir, "pages").withColumns({"n": F.lpad(i.cast("string"), 8, "9"), "h": F.upper(F.substring(F.md5(i.cast("string")), 1, 8)), "h7": F.upper(F.substring(F.md5(i.cast("string")), 1, 7))})
+    shown = [F.when(i % 19 != k, _filled(snippet.replace("{id}", id))).otherwise("") for k, (_, id, snippet) in enumerate(SNIPPETS)]
+    html = F.concat_ws("\n", F.col("html"), *shown)
+    each = pages.select("page_id", F.explode(tracking_ids(html, pattern_table(spark))).alias("platform", "ids"))
     return each.select("page_id", "platform", F.explode("ids").alias("tracking_id"))
 
 
@@ -567,4 +604,4 @@ def round_robin(spark, sf_dir):
     return ordered.withColumn("turn", F.row_number().over(Window.partitionBy("apex").orderBy("pos")))
 
 
-from tracelink.plans import case_queries, function_queries, store_queries, suffix_queries  # noqa: E402, F401  registers their queries
+from tracelink.plans import case_queries, function_queries, store_queries, stored_queries, suffix_queries  # noqa: E402, F401  registers their queries
