@@ -197,9 +197,6 @@ def test_integrity(spark):
     assert row.r == "a X b X" and row.n == 3
     fill = spark.createDataFrame([(b"\0\0\0",), (b"\0\1",), (b"",)], "c binary").select(integrity.is_single_byte_fill(F.col("c"))).collect()
     assert [r[0] for r in fill] == [True, False, False]
-    reply = bytes.fromhex("3009" "3007" "020102" "03020520")
-    got = spark.createDataFrame([(reply,), (b"x",)], "c binary").select(integrity.timestamp_reply(F.col("c")).alias("r")).collect()
-    assert (got[0].r.status, got[0].r.fail_info) == (2, "20") and got[1].r.status is None
 
 
 def test_insights(spark):

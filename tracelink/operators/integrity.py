@@ -182,19 +182,6 @@ def ip_summary(hits: DataFrame, snapshots: DataFrame) -> DataFrame:
     return joined.agg(F.count_distinct("capture").alias("captures"), F.count_distinct("address").alias("addresses"), F.count_distinct(F.when(F.col("shot") == 1, F.col("capture"))).alias("screenshots"))
 
 
-def timestamp_reply(content: Column) -> Column:
-    """struct<status, fail_info> of a time-stamp reply in DER: SEQUENCE { SEQUENCE { INTEGER status, ..., BIT STRING failInfo }, ... }.
-
-    Only the lengths that the first two headers state are walked, as hex text; null where these aren't there.
-    """
-    h = F.hex(content)
-    head = lambda x: F.regexp_replace(x, "^30(?:8[0-9A-F](?:[0-9A-F]{2})*?|[0-7][0-9A-F])(?=30|0201)", "")
-    inner = head(head(h))
-    status = F.when(h.startswith("30") & inner.startswith("0201"), F.conv(F.substring(inner, 5, 2), 16, 10).cast("int"))
-    fail = F.regexp_extract(inner, "^0201[0-9A-F]{2}.*?030[2-4]([0-9A-F]{2})([0-9A-F]{2,6})$", 2)
-    return F.struct(status.alias("status"), F.nullif(fail, F.lit("")).alias("fail_info"))
-
-
 def foreign_key_orphans(t: CaseTables) -> DataFrame:
     """(relation, n): rows whose parent isn't there."""
     links = [

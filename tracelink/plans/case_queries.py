@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelink import config
-from tracelink.functions import parsing
+from tracelink.functions import der, parsing
 from tracelink.operators import ads, discovery, groups, headers, index, infra, insights, integrity, pins
 from tracelink.plans import projections as p
 from tracelink.plans.driver_queries import OPSEC_SQL, SCREEN_SQL, TRACKED_SQL, _apex_sql, query, text
@@ -461,13 +461,23 @@ def ip_summary(spark, sf_dir):
     return integrity.ip_summary(pages.select(i.alias("capture"), F.concat(F.lit("203.0.113."), i % 30).alias("address")), shots)
 
 
-@query("SELECT page_id, CASE WHEN page_id % 4 < 3 THEN CAST(page_id % 6 AS INT) END AS status, CASE WHEN page_id % 4 = 1 THEN 'A0' END AS fail_info FROM pages")
+@query("""
+    SELECT page_id, CASE WHEN page_id % 5 < 4 THEN page_id % 6 END AS status, CASE WHEN page_id % 5 < 4 THEN CASE page_id % 6 WHEN 0 THEN 'granted' WHEN 1 THEN 'grantedWithMods' WHEN 2 THEN 'rejection' WHEN 3 THEN 'waiting' WHEN 4 THEN 'revocationWarning' ELSE 'revocationNotification' END END AS status_text,
+        CASE WHEN page_id % 5 < 4 THEN CASE WHEN page_id % 5 = 2 THEN 'no ' || page_id % 100 ELSE '' END END AS status_string, CASE WHEN page_id % 5 < 4 THEN CASE WHEN page_id % 5 = 1 THEN 'badAlg,badRequest' ELSE '' END END AS fail_info, CASE WHEN page_id % 5 < 4 THEN true END AS has_token
+    FROM pages
+""")
 def timestamp_reply(spark, sf_dir):
-    """Replies with a status, with a failure too, inside a longer sequence, and something else."""
-    k, status = F.col("page_id") % 4, F.format_string("%02X", F.col("page_id") % 6)
-    body = F.when(k == 0, F.concat(F.lit("30053003" "0201"), status)).when(k == 1, F.concat(F.lit("30093007" "0201"), status, F.lit("030205A0"))).when(k == 2, F.concat(F.lit("308200053003" "0201"), status)).otherwise("FF00")
-    reply = integrity.timestamp_reply(F.unhex(body))
-    return p.read(spark, sf_dir, "pages").select("page_id", reply["status"].alias("status"), reply["fail_info"].alias("fail_info"))
+    """Replies with a status, with failures, with a text, of lengths with every second byte, and some cut short."""
+    i = F.col("page_id")
+    k, status = i % 5, F.format_string("%02X", i % 6)
+    text = F.hex(F.concat(F.lit("no "), i % 100).cast("binary"))
+    length = lambda x: F.lpad(F.hex((F.length(x) / 2).cast("int")), 4, "0")
+    short = lambda x: F.lpad(F.hex((F.length(x) / 2).cast("int")), 2, "0")
+    info = F.concat(F.lit("0201"), status, F.when(k == 1, "030205A0").when(k == 2, F.concat(F.lit("30"), F.lpad(F.hex((F.length(text) / 2 + 2).cast("int")), 2, "0"), F.lit("0C"), short(text), text)).otherwise(""))
+    body = F.concat(F.lit("30"), short(info), info, F.repeat(F.lit("30"), (256 + i % 4096).cast("int")))
+    whole = F.concat(F.lit("3082"), length(body), body)
+    pages = p.read(spark, sf_dir, "pages").select("page_id", F.unhex(F.when(k == 4, F.substring(whole, 1, 300)).otherwise(whole)).alias("reply"))
+    return pages.withColumn("r", der.timestamp_reply(F.col("reply"))).select("page_id", "r.*")
 
 
 @query("""
