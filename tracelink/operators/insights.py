@@ -41,19 +41,20 @@ def opsec_gap(profile: DataFrame) -> DataFrame:
 
 
 def cloaking_suspects(t: CaseTables) -> DataFrame:
-    rows = pinned(t, "own_done", "cloaking_signal_json")
+    rows = pinned(t, "own_done", "cloaking_signal_json", posts=False)
     suspect = F.get_json_object("cloaking_signal_json", "$.verdict") == "cloaking_suspect"
     return rows.groupBy("case_id").agg(F.count_distinct(F.when(suspect, F.col("original_url"))).alias("suspects"))
 
 
 def evidence_gaps(t: CaseTables) -> DataFrame:
-    """One pass over the newest scan of each artifact: what is missing."""
-    captured = browser_captures(t).withColumn("captured", F.lit(True))
-    rows = pinned(t, "own_any", "status", "domain_enriched_at", "tls_info_json", "corroboration_json", how="left").join(captured, "scan_run_id", "left")
-    has = F.col("scan_run_id").isNotNull()
+    """What artifacts whose newest scan is finished lack: intel and captures where it landed, certificates where it landed on https, corroboration; and artifacts without such a scan. One pass."""
+    captured = t.snapshots.select("scan_run_id").distinct().withColumn("captured", F.lit(True))
+    rows = pinned(t, "own_any", "status", "final_url", "domain_enriched_at", "tls_info_json", "corroboration_json", how="left", posts=False).join(captured, "scan_run_id", "left")
+    done = F.coalesce(F.col("status") == "done", F.lit(False))
+    landed = done & F.col("final_url").isNotNull()
     return rows.groupBy("case_id").agg(
-        F.count_if(has & ~filled("domain_enriched_at")).alias("no_intel"), F.count_if(has & F.col("captured").isNull()).alias("no_snapshot"), F.count_if(has & ~filled("tls_info_json")).alias("no_tls"),
-        F.count_if(has & ~filled("corroboration_json")).alias("no_corroboration"), F.count_if(~has).alias("unscanned"),
+        F.count_if(landed & ~filled("domain_enriched_at")).alias("no_intel"), F.count_if(landed & F.col("captured").isNull()).alias("no_snapshot"), F.count_if(landed & F.lower("final_url").startswith("https") & ~filled("tls_info_json")).alias("no_tls"),
+        F.count_if(done & ~filled("corroboration_json")).alias("no_corroboration"), F.count_if(~done).alias("unscanned"),
     )
 
 

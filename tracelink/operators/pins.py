@@ -117,15 +117,18 @@ def case_list(t: CaseTables) -> DataFrame:
 
 
 def case_show(t: CaseTables) -> DataFrame:
-    """(case_id, url_count, scanned, unscanned, pending)."""
+    """(case_id, url_count, scanned, unscanned, pending); pending are scans without a browser capture."""
     counts = case_counts(t)
-    pending = pending_snapshots(t).groupBy("case_id").agg(F.count("*").alias("pending"))
+    of = t.url_artifacts.select(F.col("id").alias("url_artifact_id"), "case_id")
+    scans = t.scan_runs.select(F.col("id").alias("scan_run_id"), "url_artifact_id").join(browser_captures(t), "scan_run_id", "left_anti")
+    pending = scans.join(of, "url_artifact_id").groupBy("case_id").agg(F.count("*").alias("pending"))
     return counts.select("case_id", F.col("total").alias("url_count"), "scanned", (F.col("total") - F.col("scanned")).alias("unscanned")).join(pending, "case_id", "left").fillna(0, ["pending"])
 
 
 def case_counts(t: CaseTables) -> DataFrame:
-    """(case_id, total, scanned): artifacts, and those with a finished scan of their own."""
-    scanned = own_scan(t).select(F.col("url_artifact_id").alias("id"), F.lit(1).alias("one"))
+    """(case_id, total, scanned): artifacts, and those whose own newest scan is finished."""
+    done = t.scan_runs.where("status = 'done'").select(F.col("id").alias("scan_run_id"))
+    scanned = own_scan(t, False).join(done, "scan_run_id", "left_semi").select(F.col("url_artifact_id").alias("id"), F.lit(1).alias("one"))
     return t.url_artifacts.select("id", "case_id").join(scanned, "id", "left").groupBy("case_id").agg(F.count("*").alias("total"), F.count("one").alias("scanned"))
 
 

@@ -20,12 +20,14 @@ def shared_destinations(t: CaseTables) -> DataFrame:
     rows = pinned(t, "url_done", "final_url", "intel_risk_tags").join(snaps, "scan_run_id", "left").join(posts, "post_id", "left")
     rows = rows.withColumns({"final_domain": hostname("final_url"), "tags": F.array_distinct(F.concat(string_list("s_tags"), string_list("intel_risk_tags")))}).where("final_domain <> ''")
     per = rows.groupBy("case_id", "final_domain").agg(
-        F.count_distinct("original_url").alias("url_count"), F.count_distinct("post_id").alias("post_count"), F.count_distinct(F.when(F.size("tags") > 0, F.col("original_url"))).alias("flagged_url_count"),
-        sorted_set("original_url").alias("urls"), sorted_set(F.struct("post_id", "platform", "actor")).alias("posts"),
+        F.count_distinct("original_url").alias("url_count"), F.count_distinct("post_id").alias("post_count"), sorted_set("original_url").alias("urls"), sorted_set(F.struct("post_id", "platform", "actor")).alias("posts"),
     )
-    tags = rows.select("case_id", "final_domain", "original_url", F.explode("tags").alias("tag")).groupBy("case_id", "final_domain", "tag").agg(F.count_distinct("original_url").alias("n"))
+    # a URL counts once, with the tags of its first artifact
+    urls = rows.groupBy("case_id", "final_domain", "original_url").agg(F.min_by("tags", "ua_id").alias("tags"))
+    flagged = urls.groupBy("case_id", "final_domain").agg(F.count_if(F.size("tags") > 0).alias("flagged_url_count"))
+    tags = urls.select("case_id", "final_domain", F.explode("tags").alias("tag")).groupBy("case_id", "final_domain", "tag").agg(F.count("*").alias("n"))
     tags = tags.groupBy("case_id", "final_domain").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("tag_counts"))
-    out = per.join(tags, ["case_id", "final_domain"], "left").withColumn("is_resolved", ~F.col("final_domain").isin(config.SHORTENERS))
+    out = per.join(flagged, ["case_id", "final_domain"]).join(tags, ["case_id", "final_domain"], "left").withColumn("is_resolved", ~F.col("final_domain").isin(config.SHORTENERS))
     return out.orderBy("case_id", F.desc("is_resolved"), F.desc(F.coalesce(F.size("tag_counts"), F.lit(0))), F.desc("flagged_url_count"), F.desc("post_count"), "final_domain")
 
 

@@ -24,11 +24,10 @@ def _counts(**tables: DataFrame) -> DataFrame:
 
 
 @query(f"""
-    WITH {PAGES_SQL}, shots AS (
-        SELECT DISTINCT scan_run_id FROM scans WHERE scan_run_id % 2 = 0 AND scan_run_id % 7 <> 0
+    WITH {PAGES_SQL}, per AS (
+        SELECT ua_id, max_by(status, scan_run_id) = 'done' AS done, count(CASE WHEN NOT (scan_run_id % 2 = 0 AND scan_run_id % 7 <> 0) THEN 1 END) AS pending FROM scans GROUP BY 1
     )
-    SELECT u.case_id, count(*) AS url_count, count(o.scan_run_id) AS scanned, count(*) - count(o.scan_run_id) AS unscanned, count(CASE WHEN o.scan_run_id NOT IN (SELECT scan_run_id FROM shots) THEN 1 END) AS pending
-    FROM urls u LEFT JOIN own_done o USING (ua_id) GROUP BY 1
+    SELECT u.case_id, count(*) AS url_count, count(CASE WHEN done THEN 1 END) AS scanned, count(CASE WHEN NOT done THEN 1 END) AS unscanned, CAST(sum(pending) AS BIGINT) AS pending FROM urls u JOIN per USING (ua_id) GROUP BY 1
 """)
 def case_show(spark, sf_dir):
     return pins.case_show(p.case_tables(spark, sf_dir))

@@ -93,13 +93,15 @@ def wrapper_relationships(spark, sf_dir):
 
 
 @query(f"""
-    WITH {PAGES_SQL}, {PINNED_SQL}
-    SELECT case_id, final_domain, count(DISTINCT original_url) AS url_count, count(DISTINCT post_id) AS post_count, count(DISTINCT CASE WHEN tagged < 2 THEN original_url END) AS flagged_url_count,
-        string_agg(DISTINCT original_url, ', ' ORDER BY original_url) AS urls, true AS is_resolved
-    FROM pinned GROUP BY 1, 2
+    WITH {PAGES_SQL}, {PINNED_SQL}, first AS (SELECT case_id, final_domain, original_url, min_by(tagged, ua_id) AS tagged FROM pinned GROUP BY 1, 2, 3)
+    SELECT p.case_id, p.final_domain, count(DISTINCT p.original_url) AS url_count, count(DISTINCT post_id) AS post_count, count(DISTINCT CASE WHEN f.tagged < 2 THEN p.original_url END) AS flagged_url_count,
+        string_agg(DISTINCT p.original_url, ', ' ORDER BY p.original_url) AS urls, true AS is_resolved,
+        concat_ws(', ', 'http=' || nullif(count(DISTINCT CASE WHEN f.tagged = 0 THEN p.original_url END), 0), 'multi_hop=' || nullif(count(DISTINCT CASE WHEN f.tagged = 0 THEN p.original_url END), 0), 'new_domain=' || nullif(count(DISTINCT CASE WHEN f.tagged = 1 THEN p.original_url END), 0)) AS tag_counts
+    FROM pinned p JOIN first f USING (case_id, final_domain, original_url) GROUP BY 1, 2
 """)
 def shared_destinations(spark, sf_dir):
-    return url.shared_destinations(p.case_tables(spark, sf_dir)).withColumn("urls", text("urls")).drop("posts", "tag_counts")
+    counted = F.array_join(F.transform(F.map_entries("tag_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    return url.shared_destinations(p.case_tables(spark, sf_dir)).withColumns({"urls": text("urls"), "tag_counts": F.coalesce(counted, F.lit(""))}).drop("posts")
 
 
 @query(f"""
@@ -225,9 +227,9 @@ def pinned_scans(spark, sf_dir):
 
 
 @query(f"""
-    WITH {PAGES_SQL}
-    SELECT u.case_id, count(*) AS total, count(o.scan_run_id) AS scanned, count(d.scan_run_id) - count(o.scan_run_id) AS borrowed
-    FROM urls u LEFT JOIN own_done o USING (ua_id) LEFT JOIN url_done d USING (ua_id) GROUP BY 1
+    WITH {PAGES_SQL}, newest AS (SELECT ua_id, max_by(status, scan_run_id) = 'done' AS done FROM scans GROUP BY 1)
+    SELECT u.case_id, count(*) AS total, count(CASE WHEN done THEN 1 END) AS scanned, count(d.scan_run_id) - count(CASE WHEN done THEN 1 END) AS borrowed
+    FROM urls u LEFT JOIN newest USING (ua_id) LEFT JOIN url_done d USING (ua_id) GROUP BY 1
 """)
 def case_counts(spark, sf_dir):
     t = p.case_tables(spark, sf_dir)
@@ -253,12 +255,16 @@ def case_list(spark, sf_dir):
 
 
 @query(f"""
-    WITH {PAGES_SQL}, last AS (SELECT ua_id, max(scan_run_id) AS scan_run_id FROM scans GROUP BY 1)
-    SELECT u.case_id, count(CASE WHEN u.ua_id % 7 >= 3 THEN 1 END) AS no_intel, count(CASE WHEN l.scan_run_id % 2 = 1 OR l.scan_run_id % 7 = 0 THEN 1 END) AS no_snapshot
-    FROM urls u JOIN last l USING (ua_id) GROUP BY 1
+    WITH {PAGES_SQL}, newest AS (SELECT ua_id, max_by(status, scan_run_id) = 'done' AS done, any_value(final_url) AS final_url FROM scans GROUP BY 1)
+    SELECT u.case_id, count(CASE WHEN done AND u.ua_id % 7 >= 3 THEN 1 END) AS no_intel, count(CASE WHEN done AND u.ua_id % 11 = 0 THEN 1 END) AS no_snapshot, count(CASE WHEN done AND lower(final_url) LIKE 'https%' THEN 1 END) AS no_tls,
+        count(CASE WHEN done THEN 1 END) AS no_corroboration, count(CASE WHEN NOT done THEN 1 END) AS unscanned
+    FROM urls u JOIN newest USING (ua_id) GROUP BY 1
 """)
 def evidence_gaps(spark, sf_dir):
-    return insights.evidence_gaps(p.case_tables(spark, sf_dir)).select("case_id", "no_intel", "no_snapshot")
+    """Every eleventh artifact has no captures."""
+    t = p.case_tables(spark, sf_dir)
+    t.snapshots = t.snapshots.where("scan_run_id DIV 10 % 11 <> 0")
+    return insights.evidence_gaps(t)
 
 
 @query(f"WITH {PAGES_SQL} SELECT u.case_id, count(DISTINCT CASE WHEN u.ua_id % 8 = 0 THEN u.original_url END) AS suspects FROM urls u JOIN own_done o USING (ua_id) GROUP BY 1")
@@ -604,4 +610,4 @@ def round_robin(spark, sf_dir):
     return ordered.withColumn("turn", F.row_number().over(Window.partitionBy("apex").orderBy("pos")))
 
 
-from tracelink.plans import case_queries, function_queries, store_queries, stored_queries, suffix_queries  # noqa: E402, F401  registers their queries
+from tracelink.plans import case_queries, function_queries, report_queries, store_queries, stored_queries, suffix_queries  # noqa: E402, F401  registers their queries
