@@ -9,6 +9,7 @@ from tracelink.plans import projections as p
 from tracelink.plans.driver_queries import ORACLES, asn_clusters, query, shared_tracking_ids, text
 from tracelink.plans.projections import SIGNALS_SQL
 from tracelink.storage import scratch
+from tracelink.streaming import stalls
 
 
 @query(ORACLES[shared_tracking_ids.__name__])
@@ -68,3 +69,24 @@ def captures_within_windows(spark, sf_dir):
     seconds = F.pow(F.lit(3), F.col("event_id") % 14).cast("long")
     spans = events.where("event_type = 'view'").select(F.col("event_id").alias("span_id"), "user_id", F.col("ts").alias("opened"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + seconds * 1_000_000).alias("closed"))
     return timejoin.within_intervals(events.select("event_id", "user_id", "ts"), spans, ["user_id"], "ts", "opened", "closed").select("event_id", "span_id")
+
+
+@query("""
+    WITH reports AS (
+        SELECT user_id AS batch, ts, event_type <> 'error' AS good, row_number() OVER w AS n, count(CASE WHEN event_type <> 'error' THEN 1 END) OVER w AS ok, lead(ts) OVER w AS next FROM events
+        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+    )
+    SELECT CAST(batch AS VARCHAR) AS batch, n AS position, ok, n - ok AS failed, ts AS last_at, ts + INTERVAL 24 HOUR AS stalled_at FROM reports
+    WHERE (next IS NULL OR next - ts > INTERVAL 24 HOUR) AND ts + INTERVAL 24 HOUR < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR
+""")
+def stalled_batches(spark, sf_dir):
+    """Events replayed as progress of their users, in files that overlap in time by an hour: who was silent for a day, and after how many events."""
+    events = p.read(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    path, out = scratch(spark, "progress"), scratch(spark, "stalls")
+    mixed = F.unix_micros("at") + F.pmod(F.xxhash64("event_id"), F.lit(3_600_000_000))
+    dealt = events.select(F.col("user_id").alias("batch"), "at", (F.col("event_type") != "error").alias("ok"), mixed.alias("arrives"))
+    dealt.repartitionByRange(6, "arrives").write.parquet(path)
+    stalls.in_name_order(spark, path)
+    progress = spark.readStream.schema("batch BIGINT, at TIMESTAMP, ok BOOLEAN, arrives BIGINT").option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d").parquet(path)
+    stalls.write_stalls(stalls.stalls(progress, 24 * 3600, "2 hours"), out, scratch(spark, "stalls-checkpoint")).awaitTermination()
+    return stalls.read_stalls(spark, out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_at", "stalled_at")})
