@@ -1,8 +1,10 @@
 import hashlib
 import re
+import random
 import time
 
 from tests.llm.conftest import AWKWARD
+from tracelink.llm import pii
 from tracelink.llm.pii import PIECE, find_pii
 
 BASE = {
@@ -105,3 +107,33 @@ def test_contexts_are_whole_words(spark):
     rows += [(50, f"{long}a {long}b 10.0.300.7 {long}c {long}d"), (51, f"{long}e {long}f 10.0.300.7 {long}g {long}h")]
     got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[50].n_added == 1 and got[50].n_spans == 1 and got[51].n_added == 0
+
+
+def contexts():
+    """Texts whose contexts bear identifiers of several words, valid ones mostly, and some of the same make that the fixed patterns don't take."""
+    rng = random.Random(17)
+    digits = lambda n: [rng.choice("0123456789") for _ in range(n)]
+    good = lambda n: next(d for d in iter(lambda: digits(n), None) if luhn("".join(d)))
+    bad = lambda n: next(d for d in iter(lambda: digits(n), None) if not luhn("".join(d)))
+    odd = lambda: rng.random() < 0.1
+    makes = [
+        ("please pay with {} before noon", lambda: " ".join((bad if odd() else good)(16))), ("your card {} was charged", lambda: " ".join("".join(d[i : i + 4]) for d in [(bad if odd() else good)(16)] for i in range(0, 16, 4))),
+        ("server {} went down today", lambda: f"10.0.{rng.randrange(256, 999) if odd() else rng.randrange(100, 256)}.{rng.randrange(100, 256)}"), ("lot number {} without meaning", lambda: str(rng.randrange(99))),
+    ]
+    return [(i, " and then ".join(frame.format(make()) for frame, make in rng.choices(makes, k=rng.randrange(1, 30)))) for i in range(60)]
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame(contexts(), "doc_id long, text string")
+    want = sorted(map(tuple, find_pii(docs).collect()))
+    assert sum(r[7] for r in want) > 20
+    for size in (1, 2, 5, 16):
+        monkeypatch.setattr(pii, "BLOCK", size)
+        assert sorted(map(tuple, find_pii(docs).collect())) == want
+
+
+def test_a_spaced_card_elsewhere_leaves_long_texts_alone(spark):
+    rows = [(1, " ".join(str(1000 + i % 9000) for i in range(60_000))), (2, "pay 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 now"), (3, "pay 6 3 0 4 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 now")]
+    began = time.time()
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 120 and got[2].n_card == 1 and got[1].n_added == 0

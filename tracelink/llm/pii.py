@@ -115,6 +115,8 @@ def _shape(value: Column) -> Column:
     return F.regexp_replace(short, "[0-9]", "9")
 
 
+#: Words whose runs are made in one row.
+BLOCK = 2048
 #: The first words of a gap between candidates; of the reversed gap, its last words.
 EDGE = r"\A\s*+(\S++)?(?:\s++(\S++))?"
 
@@ -171,8 +173,26 @@ def _matches(docs: DataFrame, text: str) -> DataFrame:
     return found.select("doc_id", "_text", "_base", "_words", "_gaps", "_edges", F.concat(*map(_seeds, KINDS)).alias("_seeds"))
 
 
-def _runs(rows: DataFrame, most: int) -> DataFrame:
-    """(doc_id, _text, start, end, value, patterns): words with digits and runs of up to `most` of them with blanks between, outside the fixed patterns' spans."""
+def _blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Rows with up to BLOCK words each, and the words around these that their runs and contexts need: (doc_id, _text, _first, _own, _words, _gaps, _edges), the block's own words from _first on."""
+    n = F.size("_words")
+    part = lambda c, low, high: F.transform(F.sequence(low, high - 1), lambda i: F.get(c, i))
+
+    def block(number: Column) -> Column:
+        first = number * BLOCK
+        low, high = F.greatest(first - 3, F.lit(0)), F.least(n, first + BLOCK + most + 3)
+        return F.struct((first - low).alias("_first"), F.least(n - first, F.lit(BLOCK)).alias("_own"), part("_words", low, high).alias("_words"), part("_gaps", low, high + 1).alias("_gaps"), part("_edges", low, high + 1).alias("_edges"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block)
+    return rows.where(n > 0).select("doc_id", "_text", F.explode(blocks).alias("b")).select("doc_id", "_text", "b.*")
+
+
+def _runs(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, _text, start, end, value, patterns): words with digits and runs of as many of them as `sizes` names, with blanks between, outside the fixed patterns' spans.
+
+    Runs are made block by block, so a task holds those of BLOCK words however long a text is.
+    """
+    most = max(sizes)
     # the blanks before word i, where they are all that parts it from the word before
     joint = lambda i: F.when((i > 0) & ~F.get("_words", i)["taken"], F.get("_gaps", i))
     more = lambda acc, j: F.when(
@@ -180,10 +200,12 @@ def _runs(rows: DataFrame, most: int) -> DataFrame:
         F.array_append(acc, F.struct(j.alias("j"), F.concat(F.element_at(acc, -1)["whole"], joint(j), F.get("_words", j)["value"]).alias("whole"), joint(j + 1).isNotNull().alias("open"))),
     ).otherwise(acc)
     begun = lambda w, i: F.array(F.struct(i.alias("j"), w["value"].alias("whole"), joint(i + 1).isNotNull().alias("open")))
+    sized = lambda w, i: F.filter(F.aggregate(F.sequence(i + 1, i + most - 1), begun(w, i), more) if most > 1 else begun(w, i), lambda r: (r["j"] - i + 1).isin(sizes))
+    owned = lambda i: (i >= F.col("_first")) & (i < F.col("_first") + F.col("_own"))
     of = lambda w, i: F.when(
-        ~w["taken"], F.transform(F.aggregate(F.sequence(i + 1, i + most - 1), begun(w, i), more) if most > 1 else begun(w, i), lambda r: F.struct(i.alias("i"), r["j"].alias("j"), w["start"].alias("at"), r["whole"].alias("whole")))
+        owned(i) & ~w["taken"], F.transform(sized(w, i), lambda r: F.struct(i.alias("i"), r["j"].alias("j"), w["start"].alias("at"), r["whole"].alias("whole")))
     ).otherwise(F.array())
-    one = rows.where(F.size("_words") > 0).withColumn("_runs", F.flatten(F.transform("_words", of)))
+    one = _blocks(rows, most).withColumn("_runs", F.flatten(F.transform("_words", of)))
     one = one.withColumn("_runs", F.transform("_runs", lambda r: F.struct(r["at"].alias("at"), r["whole"].alias("whole"), _patterns(r["i"], r["j"]).alias("patterns"))))
     one = one.select("doc_id", "_text", F.explode("_runs").alias("r")).select("doc_id", "_text", "r.*")
     # a word's edges often hold punctuation that isn't part of the identifier
@@ -206,11 +228,11 @@ def _discovered(rows: DataFrame) -> DataFrame:
     of = F.transform("_seeds", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), _patterns(s["i"], s["j"]).alias("patterns")))
     seeds = rows.where(F.size("_seeds") > 0).select(F.explode(of).alias("s")).select("s.*", _shape(F.col("s.value")).alias("shape"))
     seeds = materialise(seeds, "pii-seeds")
-    # a value can only be of a kind whose seeds have its shape, so no run needs more words than these
+    # a value can only be of a kind whose seeds have its shape, so runs have as many words as some of these
     words = F.size(F.regexp_extract_all("shape", F.lit(CANDIDATE), F.lit(0)))
-    most = seeds.agg(F.max(words)).first()[0] or 1
+    sizes = sorted(r[0] for r in seeds.select(words.alias("n")).where("n > 0").distinct().collect())  # a fixed pattern matches at most 19 digits
     shapes = seeds.select("kind", "shape").distinct()
-    typed = _runs(rows, most).withColumn("shape", _shape(F.col("value"))).join(shapes, "shape")
+    typed = _runs(rows, sizes or [1]).withColumn("shape", _shape(F.col("value"))).join(shapes, "shape")
     typed = materialise(typed.select("doc_id", "_text", "start", "end", "kind", "value", "patterns"), "pii-mentions")
     edges = seeds.select("kind", "value", "patterns", F.lit(1.0).alias("known")).unionByName(typed.select("kind", "value", "patterns", F.lit(0.0).alias("known")))
     edges = edges.select("kind", "value", "known", F.explode("patterns").alias("pattern"))
