@@ -208,7 +208,9 @@ class Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The similar ones of distinct pairs (a, b)."""
         sized = 10 * F.least("n_a", "n_b") >= self.tenths * F.greatest("n_a", "n_b")
-        sides = self._sides(pairs, self.points).where(sized).select("a", "b", "n_a", "n_b", "point_a", "point_b")
+        # sizes alone decide most pairs that share a shingle by chance; points, which are larger, join the others
+        sizes = self._sides(pairs, self.points.select("doc", "n")).where(sized).select("a", "b", "n_a", "n_b")
+        sides = self._sides(materialise(sizes, "ngram-sized"), self.points.select("doc", "point")).select("a", "b", "n_a", "n_b", "point_a", "point_b")
         near = sides.mapInArrow(_bounded(self.tenths), "a long, b long").distinct()
         near = materialise(near, "ngram-near")
         needed = materialise(near.select(F.col("a").alias("doc")).union(near.select("b")).distinct(), "ngram-needed")
