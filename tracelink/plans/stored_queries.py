@@ -8,6 +8,7 @@ from tracelink.operators import incremental, infra, layout, timejoin
 from tracelink.plans import projections as p
 from tracelink.plans.driver_queries import ORACLES, asn_clusters, query, shared_tracking_ids, text
 from tracelink.plans.projections import SIGNALS_SQL
+from tracelink.sources import packs
 from tracelink.storage import scratch
 from tracelink.streaming import stalls
 
@@ -90,3 +91,12 @@ def stalled_batches(spark, sf_dir):
     progress = spark.readStream.schema("batch BIGINT, at TIMESTAMP, ok BOOLEAN, arrives BIGINT").option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d").parquet(path)
     stalls.write_stalls(stalls.stalls(progress, 24 * 3600, "2 hours"), out, scratch(spark, "stalls-checkpoint")).awaitTermination()
     return stalls.read_stalls(spark, out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_at", "stalled_at")})
+
+
+@query("SELECT doc_id % 7 AS case_id, 'd/' || doc_id || '.txt' AS arcname, sha256(coalesce(text, '')) AS sha256, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents")
+def zip_packs(spark, sf_dir):
+    """Documents as members of seven cases' packs, read back from the ZIP files."""
+    docs, path = p.read(spark, sf_dir, "documents"), scratch(spark, "packs")
+    members = docs.select((F.col("doc_id") % 7).alias("case_id"), F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("arcname"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    packs.write_zip_packs(members, path, 1 << 20)
+    return packs.read_zip_packs(spark, path).select("case_id", "arcname", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"))
