@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelink.operators import incremental, infra, layout, timejoin
+from tracelink.operators import incremental, infra, layout, merkle, timejoin
 from tracelink.plans import projections as p
 from tracelink.plans.driver_queries import ORACLES, asn_clusters, query, shared_tracking_ids, text
 from tracelink.plans.projections import SIGNALS_SQL
@@ -100,3 +100,25 @@ def zip_packs(spark, sf_dir):
     members = docs.select((F.col("doc_id") % 7).alias("case_id"), F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("arcname"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     packs.write_zip_packs(members, path, 1 << 20)
     return packs.read_zip_packs(spark, path).select("case_id", "arcname", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"))
+
+
+@query("""
+    WITH leaves AS (
+        SELECT doc_id % 7 AS case_id, sha256('d/' || doc_id) AS place, sha256('leaf:' || sha256(coalesce(text, '')) || '  d/' || doc_id) AS leaf FROM documents
+    ), l2 AS (
+        SELECT case_id, place[1:2] AS p, sha256('node:' || string_agg(leaf, '' ORDER BY leaf)) AS d FROM leaves GROUP BY 1, 2
+    ), l1 AS (
+        SELECT case_id, p[1:1] AS q, sha256('node:' || string_agg(d, '' ORDER BY p)) AS d FROM l2 GROUP BY 1, 2
+    ), l0 AS (
+        SELECT case_id, sha256('node:' || string_agg(d, '' ORDER BY q)) AS root FROM l1 GROUP BY 1
+    )
+    SELECT case_id, root, count(*) AS proven FROM l0 JOIN leaves USING (case_id) GROUP BY 1, 2
+""")
+def pack_identity(spark, sf_dir):
+    """Hash trees over the documents as members of seven cases, and how many members their proofs lead to the root."""
+    docs = p.read(spark, sf_dir, "documents")
+    members = docs.select((F.col("doc_id") % 7).alias("case_id"), F.concat(F.lit("d/"), "doc_id").alias("arcname"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    nodes = merkle.tree(members, 2)
+    roots = merkle.roots(nodes)
+    proven = merkle.verified(merkle.proofs(nodes, members, 2), roots).where("ok").groupBy("case_id").agg(F.count("*").alias("proven"))
+    return roots.join(proven, "case_id")
