@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelink.operators import incremental, infra, layout, merkle, timejoin
 from tracelink.plans import projections as p
 from tracelink.plans.driver_queries import ORACLES, asn_clusters, query, shared_tracking_ids, text
 from tracelink.plans.projections import SIGNALS_SQL
-from tracelink.sources import packs
+from tracelink.sources import bigjson, packs
 from tracelink.storage import scratch
 from tracelink.streaming import stalls
 
@@ -122,3 +123,15 @@ def pack_identity(spark, sf_dir):
     roots = merkle.roots(nodes)
     proven = merkle.verified(merkle.proofs(nodes, members, 2), roots).where("ok").groupBy("case_id").agg(F.count("*").alias("proven"))
     return roots.join(proven, "case_id")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def split_json_arrays(spark, sf_dir):
+    """Documents in eight files of one JSON array each, read in ranges of 64 KB."""
+    docs, path = p.read(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 8).alias("bucket")), scratch(spark, "arrays")
+    number = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
+    lines = docs.select("bucket", number.alias("n"), F.concat(F.when(number == 1, "[").otherwise(","), F.to_json(F.struct("doc_id", "text"))).alias("line"))
+    ends = docs.groupBy("bucket").agg((F.count("*") + 1).cast("int").alias("n")).withColumn("line", F.lit("]"))
+    lines.unionByName(ends).repartition("bucket").sortWithinPartitions("bucket", "n").select("bucket", "line").write.partitionBy("bucket").text(path)
+    records = bigjson.json_records(spark, f"{path}/bucket=*/*.txt", range_bytes=1 << 16)
+    return records.select(F.from_json("record", "doc_id BIGINT, text STRING").alias("r")).select("r.doc_id", F.sha2("r.text", 256).alias("sha256"))

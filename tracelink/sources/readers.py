@@ -13,6 +13,7 @@ from tracelink.functions.parsing import ads_txt_body, list_apex, list_domain
 from tracelink.functions.suffixes import SuffixRules, apexes
 from tracelink.functions.urls import ascii_host, extract_urls, hostname
 from tracelink.schema import OBSERVATION, PREVALENCE, filled
+from tracelink.sources.bigjson import RANGE_BYTES, json_records
 
 POST_COLUMNS = ["platform", "permalink", "actor_label", "posted_at", "message_text"]
 
@@ -47,12 +48,12 @@ def html_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("html")).withColumn("tracking_ids", tracking_ids("html"))
 
 
-HAR = "log STRUCT<entries: ARRAY<STRUCT<request: STRUCT<url: STRING>, response: STRUCT<status: INT, headers: ARRAY<STRUCT<name: STRING, value: STRING>>, content: STRUCT<text: STRING>>, serverIPAddress: STRING>>>"
+HAR = "request STRUCT<url: STRING>, response STRUCT<status: INT, headers: ARRAY<STRUCT<name: STRING, value: STRING>>, content: STRUCT<text: STRING>>, serverIPAddress STRING"
 
 
-def har_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(capture, url, host, status, server_ip, response_headers_json, body) of each entry of HAR files; unreadable ones give none."""
-    raw = spark.read.schema(HAR).json(path, multiLine=True, mode="PERMISSIVE").select(F.input_file_name().alias("capture"), F.explode("log.entries").alias("e"))
+def har_entries(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(capture, url, host, status, server_ip, response_headers_json, body) of each entry of HAR files; unreadable ones give none. A large file is read by several tasks."""
+    raw = json_records(spark, path, "entries", 3, range_bytes).select(F.col("path").alias("capture"), F.from_json("record", HAR).alias("e")).where("e.request.url IS NOT NULL")
     headers = F.to_json(F.transform(F.coalesce("e.response.headers", F.array().cast("array<struct<name:string,value:string>>")), lambda h: F.array(h["name"], h["value"])))
     return raw.select(
         "capture", F.col("e.request.url").alias("url"), hostname("e.request.url").alias("host"), F.col("e.response.status").alias("status"), F.col("e.serverIPAddress").alias("server_ip"),
@@ -66,12 +67,12 @@ def ads_txt_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "raw_sha256", "a.*")
 
 
-def sellers_json(spark: SparkSession, path: str, rules: SuffixRules | None = None) -> DataFrame:
-    """Sorted distinct apexes of publishers in sellers.json files; confidential sellers name none."""
-    raw = spark.read.schema("sellers ARRAY<STRUCT<domain: STRING>>").json(path, multiLine=True, mode="PERMISSIVE")
+def sellers_json(spark: SparkSession, path: str, rules: SuffixRules | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Sorted distinct apexes of publishers in sellers.json files; confidential sellers name none. A large file is read by several tasks."""
+    raw = json_records(spark, path, "sellers", 2, range_bytes).select(F.from_json("record", "domain STRING").alias("s"))
     host = F.lower(F.trim("s.domain"))
     bare = F.when(host.contains("://"), hostname(host)).otherwise(F.regexp_extract(host, "^([^/:]*)", 1))
-    hosts = raw.select(F.explode("sellers").alias("s")).select(ascii_host(bare).alias("host"))
+    hosts = raw.select(ascii_host(bare).alias("host"))
     return apexes(hosts, rules, domain="host").where("domain LIKE '%.%'").select("domain").distinct().orderBy("domain")
 
 
@@ -88,7 +89,10 @@ def observations(spark: SparkSession, path: str) -> DataFrame:
     arrays = [r.file for r in first.where("c = '['").select("file").collect()]
     plain = lines.join(first.where("c <> '['"), "file", "left_semi").select(F.from_json("value", OBSERVATION).alias("o"))
     rows = plain.where("o IS NOT NULL AND o.domain IS NOT NULL").select("o.*")
-    return rows.unionByName(spark.read.schema(OBSERVATION).json(arrays, multiLine=True)) if arrays else rows
+    for at in range(0, len(arrays), 1000):
+        each = json_records(spark, arrays[at : at + 1000]).select(F.from_json("record", OBSERVATION).alias("o"))
+        rows = rows.unionByName(each.where("o IS NOT NULL AND o.domain IS NOT NULL").select("o.*"))
+    return rows
 
 
 def prevalence(spark: SparkSession, path: str, schema_name: str = "prevalence/1") -> DataFrame:
