@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracelink import sql
 from tracelink.operators import incremental, infra, layout, merkle, timejoin
 from tracelink.plans import projections as p
 from tracelink.plans.driver_queries import ORACLES, asn_clusters, query, shared_tracking_ids, text
-from tracelink.plans.projections import SIGNALS_SQL
+from tracelink.plans.projections import PAGES_SQL, SIGNALS_SQL, host
 from tracelink.sources import bigjson, packs
 from tracelink.storage import scratch
 from tracelink.streaming import stalls
@@ -135,3 +136,23 @@ def split_json_arrays(spark, sf_dir):
     lines.unionByName(ends).repartition("bucket").sortWithinPartitions("bucket", "n").select("bucket", "line").write.partitionBy("bucket").text(path)
     records = bigjson.json_records(spark, f"{path}/bucket=*/*.txt", range_bytes=1 << 16)
     return records.select(F.from_json("record", "doc_id BIGINT, text STRING").alias("r")).select("r.doc_id", F.sha2("r.text", 256).alias("sha256"))
+
+
+@query(f"""
+    WITH {PAGES_SQL}, ids_ AS ({ORACLES["shared_tracking_ids"]}), asns_ AS ({ORACLES["asn_clusters"]}), landed AS (
+        SELECT u.case_id, count(DISTINCT {host("s.final_url")}) AS hosts FROM urls u JOIN scans s ON s.ua_id = u.ua_id GROUP BY 1
+    )
+    SELECT case_id, (SELECT count(*) FROM ids_ i WHERE i.case_id = c.case_id AND i.domain_count >= 3) AS ids, (SELECT max(url_count) FROM asns_ a WHERE a.case_id = c.case_id) AS most_urls, hosts
+    FROM (SELECT DISTINCT case_id FROM urls) c JOIN landed USING (case_id)
+""")
+def operators_in_sql(spark, sf_dir):
+    """A query written over the operators' views and a function of the session."""
+    t = p.case_tables(spark, sf_dir)
+    sql.register_case(spark, t, prefix="q_")
+    sql.register_functions(spark, "q_")
+    t.scan_runs.join(t.url_artifacts.selectExpr("id AS url_artifact_id", "case_id"), "url_artifact_id").createOrReplaceTempView("q_case_scans")
+    return spark.sql("""
+        WITH ids AS (SELECT case_id, count(*) AS ids FROM q_shared_tracking_ids WHERE domain_count >= 3 GROUP BY case_id), asns AS (SELECT case_id, max(url_count) AS most_urls FROM q_asn_clusters GROUP BY case_id),
+            landed AS (SELECT case_id, count(DISTINCT q_url_host(final_url)) AS hosts FROM q_case_scans GROUP BY case_id)
+        SELECT c.case_id, coalesce(ids, 0) AS ids, most_urls, hosts FROM q_case_counts c LEFT JOIN ids USING (case_id) LEFT JOIN asns USING (case_id) JOIN landed USING (case_id)
+    """)
