@@ -318,14 +318,14 @@ def shared_header_templates(spark, sf_dir):
 @query("""
     WITH v AS (
         SELECT 'd' || user_id % 40 AS domain, CASE event_type WHEN 'click' THEN 'server' ELSE 'x-powered-by' END AS header, CASE event_type WHEN 'click' THEN 'Apache/2.' || user_id % 9 ELSE 'PHP/' || user_id % 12 || '.1' END AS value
-        FROM events WHERE event_type IN ('click', 'view')
+        FROM events
     )
     SELECT DISTINCT domain, header, value FROM v WHERE (header = 'server' AND regexp_matches(value, '^Apache/2\\.[5-8]$')) OR (header <> 'server' AND regexp_matches(value, '^PHP/(9|10|11)\\.'))
 """)
 def fake_versions(spark, sf_dir):
     e = F.col("event_type")
     value = F.when(e == "click", F.concat(F.lit("Apache/2."), F.col("user_id") % 9)).otherwise(F.concat(F.lit("PHP/"), F.col("user_id") % 12, F.lit(".1")))
-    rows = p.read(spark, sf_dir, "events").where(e.isin("click", "view")).select(F.lit(0).alias("case_id"), F.concat(F.lit("d"), F.col("user_id") % 40).alias("domain"), F.when(e == "click", "server").otherwise("x-powered-by").alias("header"), value.alias("value"))
+    rows = p.read(spark, sf_dir, "events").select(F.lit(0).alias("case_id"), F.concat(F.lit("d"), F.col("user_id") % 40).alias("domain"), F.when(e == "click", "server").otherwise("x-powered-by").alias("header"), value.alias("value"))
     return headers.fake_versions(rows).select("domain", "header", "value").distinct()
 
 

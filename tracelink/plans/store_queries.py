@@ -189,12 +189,18 @@ def append_acquisitions(spark, sf_dir):
     return spark.read.parquet(path).select("id", "truncated", "complete_sha256")
 
 
-@query("SELECT CAST(1 AS BIGINT) AS case_id, 'scan' AS action, 'a, \"b\"' AS detail, 't1' AS at UNION ALL SELECT 2, 'export', '', 't2'")
+@query("""
+    SELECT user_id AS case_id, event_type AS action, coalesce(props, '') AS detail, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events UNION ALL SELECT max(user_id) + 1, 'export', 'a, "b"', 't2' FROM events
+""")
 def append_audit(spark, sf_dir):
+    """Events as entries of their users' trails, in two runs, and one entry by itself."""
     path = scratch(spark, "audit")
-    writers.append_audit(spark, path, 1, "scan", 'a, "b"', "t1")
-    writers.append_audit(spark, path, 2, "export", "", "t2")
-    return spark.read.parquet(path)
+    events = p.read(spark, sf_dir, "events")
+    rows = events.select(F.col("user_id").alias("case_id"), F.col("event_type").alias("action"), F.coalesce("props", F.lit("")).alias("detail"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_id")
+    for half in (0, 1):
+        writers.append_audit_rows(rows.where(F.col("event_id") % 2 == half), path)
+    writers.append_audit(spark, path, events.agg(F.max("user_id")).first()[0] + 1, "export", 'a, "b"', "t2")
+    return spark.read.schema(writers.AUDIT).parquet(path)
 
 
 @query(f"""

@@ -28,7 +28,15 @@ def append_acquisitions(rows: DataFrame, path: str) -> None:
 
 
 def append_audit(spark: SparkSession, path: str, case_id: int, action: str, detail: str, at: str) -> None:
-    spark.createDataFrame([(case_id, action, detail, at)], "case_id long, action string, detail string, at string").write.mode("append").parquet(path)
+    append_audit_rows(spark.createDataFrame([(case_id, action, detail, at)], AUDIT), path)
+
+
+AUDIT = "case_id long, action string, detail string, at string"
+
+
+def append_audit_rows(rows: DataFrame, path: str) -> None:
+    """Adds what many cases did; rows that are there stay as they are."""
+    rows.select("case_id", "action", "detail", "at").write.mode("append").parquet(path)
 
 
 def write_prevalence(rows: DataFrame, path: str, schema_name: str = "prevalence/1") -> None:
