@@ -5,7 +5,7 @@ import json
 import pytest
 
 from tracelink.config import Conf
-from tracelink.operators import ads, index, infra
+from tracelink.operators import ads, index, infra, insights, url
 from tracelink.schema import DDL, CaseTables, empty_tables
 
 
@@ -115,3 +115,10 @@ def test_one_link_in_many_posts_is_one_url(spark, pushed):
 def test_artifacts_without_a_post_are_in_the_index_only(spark):
     t = case(spark, [{"url_artifact_id": 1, "final_url": "https://land.test/", "asn": "AS1"}], posts=[])
     assert signals(spark, t, "asn") == [("AS1", None, "land.test", 10)] and infra.asn_clusters(t).isEmpty()
+
+
+def test_histogram_counts_tags_of_all_artifacts(spark):
+    urls = [{"id": i, "message_id": i, "case_id": 1, "original_url": "http://l.test/" if i < 4 else "http://m.test/"} for i in (1, 2, 3, 4)]
+    tags = {1: '["http"]', 2: '["new_domain","http"]', 3: None, 4: '["http"]'}
+    t = case(spark, [{"url_artifact_id": i, "final_url": "https://w.test/", "intel_risk_tags": tags[i]} for i in tags], urls=urls)
+    assert sorted((r.case_id, r.tag, r.n) for r in insights.risk_tag_histogram(url.destination_rows(t)).collect()) == [(1, "http", 2), (1, "new_domain", 1)]

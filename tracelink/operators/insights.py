@@ -58,9 +58,10 @@ def evidence_gaps(t: CaseTables) -> DataFrame:
     )
 
 
-def risk_tag_histogram(destinations: DataFrame) -> DataFrame:
-    each = destinations.where("tag_counts IS NOT NULL").select("case_id", F.explode("tag_counts").alias("tag", "k"))
-    return each.groupBy("case_id", "tag").agg(F.sum("k").alias("n")).orderBy("case_id", F.desc("n"), "tag")
+def risk_tag_histogram(rows: DataFrame) -> DataFrame:
+    """(case_id, tag, n): URLs of each landing host that carry a tag, whichever of a URL's artifacts has it. rows: of `url.destination_rows`."""
+    each = rows.select("case_id", "final_domain", "original_url", F.explode("tags").alias("tag")).distinct()
+    return each.groupBy("case_id", "tag").agg(F.count("*").alias("n")).orderBy("case_id", F.desc("n"), "tag")
 
 
 def case_domain_count(t: CaseTables) -> DataFrame:

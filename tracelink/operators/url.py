@@ -13,12 +13,18 @@ from tracelink.operators.pins import latest_snapshot, pinned
 from tracelink.schema import CaseTables, filled, string_list
 
 
+def destination_rows(t: CaseTables) -> DataFrame:
+    """(case_id, ua_id, post_id, original_url, final_domain, tags) of artifacts that landed on a host; tags are those of the pinned scan and of its newest capture."""
+    snaps = latest_snapshot(t).select("scan_run_id", F.col("risk_tags").alias("s_tags"))
+    rows = pinned(t, "url_done", "final_url", "intel_risk_tags").join(snaps, "scan_run_id", "left")
+    tags = F.array_distinct(F.concat(string_list("s_tags"), string_list("intel_risk_tags")))
+    return rows.select("case_id", "ua_id", "post_id", "original_url", hostname("final_url").alias("final_domain"), tags.alias("tags")).where("final_domain <> ''")
+
+
 def shared_destinations(t: CaseTables) -> DataFrame:
     """Landing hosts of a case with their URLs, posts and tags; is_resolved is false for known shorteners. Resolved ones come first, most tags first."""
-    snaps = latest_snapshot(t).select("scan_run_id", F.col("risk_tags").alias("s_tags"))
     posts = t.message_evidence.select(F.col("id").alias("post_id"), "platform", F.col("actor_label").alias("actor"))
-    rows = pinned(t, "url_done", "final_url", "intel_risk_tags").join(snaps, "scan_run_id", "left").join(posts, "post_id", "left")
-    rows = rows.withColumns({"final_domain": hostname("final_url"), "tags": F.array_distinct(F.concat(string_list("s_tags"), string_list("intel_risk_tags")))}).where("final_domain <> ''")
+    rows = destination_rows(t).join(posts, "post_id", "left")
     per = rows.groupBy("case_id", "final_domain").agg(
         F.count_distinct("original_url").alias("url_count"), F.count_distinct("post_id").alias("post_count"), sorted_set("original_url").alias("urls"), sorted_set(F.struct("post_id", "platform", "actor")).alias("posts"),
     )

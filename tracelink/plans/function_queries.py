@@ -95,7 +95,7 @@ def case_domain_count(spark, sf_dir):
     SELECT case_id, tag, count(*) AS n FROM tags GROUP BY 1, 2
 """)
 def risk_tag_histogram(spark, sf_dir):
-    return insights.risk_tag_histogram(url.shared_destinations(p.case_tables(spark, sf_dir)))
+    return insights.risk_tag_histogram(url.destination_rows(p.case_tables(spark, sf_dir)))
 
 
 @query("SELECT page_id % 4 AS case_id, true AS scanned, '低' AS level FROM pages WHERE page_id >= 8 AND false UNION ALL SELECT c, true, '中' FROM (VALUES (0), (1), (2), (3)) v(c)")
