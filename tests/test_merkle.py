@@ -49,6 +49,22 @@ def test_proofs(spark):
     assert merkle.verified(shown, tops.limit(0)).where("ok").isEmpty()
 
 
+def test_many_members_are_verified_as_by_their_proofs(spark):
+    forged = frame(spark, [(1, "f7", SHA("forged")), (1, "unknown", SHA("1/7")), (4, "f0", SHA("4/0"))])
+    members = frame(spark, ROWS).union(forged)
+    for levels in (0, 1, 2):
+        nodes = merkle.tree(frame(spark, ROWS), levels)
+        tops = merkle.roots(nodes)
+        # a bucket without its first leaf, and another root for a case
+        cut = nodes.withColumn("children", F.when((F.col("case_id") == 1) & F.col("prefix").startswith("a") & (F.col("level") == levels), F.slice("children", 2, 999)).otherwise(F.col("children")))
+        other = tops.withColumn("root", F.when(F.col("case_id") == 3, F.lit("x")).otherwise(F.col("root")))
+        for n, t in ((nodes, tops), (cut, tops), (nodes, other), (nodes, tops.limit(0))):
+            got = sorted(tuple(r) for r in merkle.verified_members(n, members, t, levels).collect())
+            shown = sorted(tuple(r) for r in merkle.verified(merkle.proofs(n, members, levels), t).where("ok").collect())
+            assert len(got) == len(ROWS) + 3 and [r for r in got if r[2]] == shown
+    assert [tuple(r) for r in merkle.verified_members(nodes, forged, tops, 2).where("ok").collect()] == []
+
+
 def test_any_change_changes_the_root(spark):
     base = root([(n, s) for c, n, s in ROWS if c == 1], 2)
     for changed in (ROWS[1:], [(1, "f0", SHA("x")), *ROWS[1:]], [(1, "g0", ROWS[0][2]), *ROWS[1:]], [*ROWS, ROWS[0]]):

@@ -70,3 +70,20 @@ def verified(proofs_: DataFrame, roots_: DataFrame) -> DataFrame:
     top = F.aggregate("path", F.col("leaf"), step)
     joined = proofs_.join(roots_, "case_id", "left")
     return joined.select("case_id", "arcname", F.coalesce((F.size("path") > 0) & (top == F.col("root")), F.lit(False)).alias("ok"))
+
+
+def verified_members(nodes: DataFrame, members: DataFrame, roots_: DataFrame, levels: int) -> DataFrame:
+    """(case_id, arcname, ok) of many members (case_id, arcname, sha256) at once: what `verified` says of their proofs, without a path for each of them.
+
+    Members of a bucket share their path, so each node is hashed and found in the one above it once, from the root down. A member is then looked up among the leaves of
+    its case's sound buckets: rows of one digest, however many members a bucket has.
+    """
+    sound = nodes.where(F.col("digest") == node(F.col("children"))).select("case_id", "level", "prefix", "digest", "children")
+    held = sound.where("level = 0").join(roots_, "case_id").where("digest = root").select("case_id", "prefix", "children")
+    for level in range(1, levels + 1):
+        above = held.select("case_id", F.col("prefix").alias("_above"), F.col("children").alias("_digests"))
+        below = sound.where(F.col("level") == level).withColumn("_above", F.expr(f"substring(prefix, 1, {level - 1})"))
+        held = below.join(above, ["case_id", "_above"]).where(F.array_contains("_digests", F.col("digest"))).select("case_id", "prefix", "children")
+    known = held.select("case_id", "prefix", F.explode(F.array_distinct("children")).alias("leaf")).withColumn("ok", F.lit(True))
+    wanted = leaves(members).withColumn("prefix", F.expr(f"substring(place, 1, {levels})")).drop("place")
+    return wanted.join(known, ["case_id", "prefix", "leaf"], "left").select("case_id", "arcname", F.coalesce("ok", F.lit(False)).alias("ok"))
