@@ -90,3 +90,18 @@ def test_screen_stream(spark, tmp_path):
     query.awaitTermination(120)
     assert [r.domain for r in spark.read.parquet(str(tmp_path / "hits")).collect()] == ["a"]
     assert "domain STRING" in OBSERVATION
+
+
+def test_a_large_array_is_not_read_as_lines(spark, tmp_path):
+    rows = [{"domain": f"d{i}.example", "status": "ok", "record_count": 1, "raw_sha256": "s" * 64} for i in range(3000)]
+    (tmp_path / "a.json").write_text(" \r\n" * 40_000 + json.dumps(rows))
+    (tmp_path / "l.jsonl").write_text("\n \n" + "\n".join(map(json.dumps, rows[:7])) + "\n[1]\n")
+    (tmp_path / "e.json").write_text(" \n")
+    (tmp_path / "none.json").write_text("")
+    found = readers.observations(spark, f"{tmp_path}/*.js*")
+    assert found.count() == 3007
+    # the scan of lines has the files of lines only
+    scan = found.where("domain = 'd1.example'").select("status")
+    assert "path" not in scan.columns and scan.count() == 2
+    lines = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Scan text" in x]
+    assert lines and all("NOT" in x and "a.json" in x for x in lines)

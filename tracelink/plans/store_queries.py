@@ -89,14 +89,16 @@ def sellers_json(spark, sf_dir):
 
 @query(f"WITH {OBSERVED_SQL} SELECT domain, status, sha AS raw_sha256, CAST(record_count AS INT) AS record_count, CAST(accounts AS INT) AS accounts FROM observed")
 def bank_observations(spark, sf_dir):
-    """Half of the observations banked as JSON lines, half as one array in a file beside them."""
+    """Half of the observations banked as JSON lines, half as arrays in files beside them, of some two thousand each."""
     path = scratch(spark, "bank")
     rows = p.observations(spark, sf_dir)
+    files = max(8, -(-p.read(spark, sf_dir, "documents").count() // 4000))
     lines = F.pmod(F.xxhash64("domain"), F.lit(2)) == 0
     writers.bank_observations(rows.where(lines), f"{path}/run1")
-    rest = rows.where(~lines).withColumn("bucket", F.pmod(F.xxhash64("domain"), F.lit(8)))
+    rest = rows.where(~lines).withColumn("bucket", F.pmod(F.xxhash64("domain", F.lit("file")), F.lit(files)))
     rest = rest.groupBy("bucket").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("text"))
-    rest.repartitionById(8, F.col("bucket").cast("int")).select("text").write.text(f"{path}/run2")
+    # a file for each task, a task for each bucket
+    rest.repartitionById(files, F.col("bucket").cast("int")).select("text").write.option("maxRecordsPerFile", 1).text(f"{path}/run2")
     found = readers.observations(spark, f"{path}/run*")
     return found.select("domain", "status", "raw_sha256", "record_count", F.size("accounts").alias("accounts"))
 

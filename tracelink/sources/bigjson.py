@@ -174,3 +174,22 @@ def json_records(spark: SparkSession, path: str | list[str], key: str | None = N
     read = _each(lambda f, r: _records(f, *state(r), level, key, r["within"]), [*_AT, "at", "record"], [*_AT_TYPES, pa.int64(), pa.binary()])
     found = dealt(known).mapInArrow(read, "path string, range long, at long, record binary")
     return found.select("path", "at", F.make_valid_utf8(F.col("record").cast("string")).alias("record"))
+
+
+def array_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file): files that hold an array, by their first character that is no blank and no line's end; no more of them is read."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [name for at, name in zip(batch["path"].to_pylist(), batch["file"].to_pylist(), strict=True) if _first(_File(at)) == b"["]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["file"])
+
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", F.col("_metadata.file_path").alias("file"))
+    return files.mapInArrow(heads, "file string")
+
+
+def _first(file: _File) -> bytes:
+    for at in range(0, file.size, KEY_BYTES):
+        if text := file.bytes(at, at + KEY_BYTES).lstrip(b" \r\n"):
+            return text[:1]
+    return b""

@@ -13,7 +13,7 @@ from tracelink.functions.parsing import ads_txt_body, list_apex, list_domain
 from tracelink.functions.suffixes import SuffixRules, apexes
 from tracelink.functions.urls import ascii_host, extract_urls, hostname
 from tracelink.schema import OBSERVATION, PREVALENCE, filled
-from tracelink.sources.bigjson import RANGE_BYTES, json_records
+from tracelink.sources.bigjson import RANGE_BYTES, array_files, json_records
 
 POST_COLUMNS = ["platform", "permalink", "actor_label", "posted_at", "message_text"]
 
@@ -84,10 +84,10 @@ def domain_list(spark: SparkSession, path: str, apex: bool = True) -> DataFrame:
 
 def observations(spark: SparkSession, path: str) -> DataFrame:
     """Observations of JSON lines, or of one JSON array: each file's first character tells. A line that is no record gives no row."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"), F.ltrim("value").alias("value"))
-    first = lines.where("value <> ''").groupBy("file").agg(F.min_by(F.left("value", F.lit(1)), F.struct("at", "line")).alias("c"))
-    arrays = [r.file for r in first.where("c = '['").select("file").collect()]
-    plain = lines.join(first.where("c <> '['"), "file", "left_semi").select(F.from_json("value", OBSERVATION).alias("o"))
+    arrays = [r.file for r in array_files(spark, path).collect()]
+    # an array in one line would be read to its end by the task of each of its blocks
+    lines = spark.read.text(path).where(~F.col("_metadata.file_path").isin(arrays)) if arrays else spark.read.text(path)
+    plain = lines.select(F.from_json(F.ltrim("value"), OBSERVATION).alias("o"))
     rows = plain.where("o IS NOT NULL AND o.domain IS NOT NULL").select("o.*")
     for at in range(0, len(arrays), 1000):
         each = json_records(spark, arrays[at : at + 1000]).select(F.from_json("record", OBSERVATION).alias("o"))
