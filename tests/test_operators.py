@@ -221,3 +221,16 @@ def test_urls_count_observed(spark):
 def test_every_query_has_rows_or_columns(spark):
     for name in ("operator_groups", "evidence_gaps"):
         assert driver_queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+
+
+def test_hubs_are_not_paired_and_count_alike(spark, monkeypatch):
+    # d0 to d5 share ten accounts or more by two; all carry a hub, and each has one of its own
+    rows = [(1, f"d{i}", "s", a) for i in range(6) for a in ["hub", f"own{i}", *[f"a{i // 2}-{k}" for k in range(10)], *[f"b{i % 3}-{k}" for k in range(3)]]]
+    accounts = spark.createDataFrame(rows, "case_id long, domain string, adsystem string, seller_id string")
+    got = []
+    for most in (64, 5, 1):
+        monkeypatch.setattr(ads, "LIGHT_CARRIERS", most)
+        light, heavy = ads.by_carriers(ads.account_classes(accounts)[1])
+        assert ads.light_pairs(light).where("seller_id = 'hub'").count() == (15 if most == 64 else 0) and heavy.where("seller_id = 'hub'").count() == (0 if most == 64 else 6)
+        got.append(sorted((r.seller_id, r.linked) for r in ads.pair_link_counts(accounts).collect()))
+    assert got[0] == got[1] == got[2] and dict(got[0])["hub"] == 3 and dict(got[0])["a1-4"] == 1
