@@ -57,5 +57,24 @@ def test_a_silence_is_told_once_and_ends_with_the_next_report(spark, tmp_path):
     assert [r for r in replay(spark, tmp_path, files, 100, "1 second") if r[0] == "a"] == [("a", 2, 1, 1, 5, 105), ("a", 3, 2, 1, 500, 600)]
 
 
+def test_a_report_at_the_cap_goes_on_and_one_behind_the_watermark_is_left_out(spark, tmp_path):
+    # b reports again just at its cap; a's report at 950 comes when the watermark is at 999, though a silence since then could not be told yet
+    files = [[("a", 0, True), ("b", 0, True), ("b", 100, False), ("b", 201, True)], [("x", 1000, True)], [("x", 1001, True)], [("a", 950, True), ("x", 1002, True)], [("x", 2000, True)]]
+    found = replay(spark, tmp_path, files, 100, "1 second")
+    assert [r for r in found if r[0] != "x"] == [("a", 1, 1, 0, 0, 100), ("b", 2, 1, 1, 100, 200), ("b", 3, 2, 1, 201, 301)]
+
+
+def test_keyed_state_is_called_for_silences_only(spark, tmp_path):
+    rows = [(f"b{b}", s, True) for s in range(0, 300, 10) for b in range(20)] + [("quiet", 5, True), ("quiet", 150, True)]
+    for i in range(3):
+        part = [r for r in rows if i * 100 <= r[1] < i * 100 + 100]
+        spark.createDataFrame([(b, BASE + dt.timedelta(seconds=s), ok) for b, s, ok in part], SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d").parquet(f"file://{tmp_path}/in")
+    query = stalls.write_stalls(stalls.stalls(stream, 60, "1 second"), f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint")
+    query.awaitTermination()
+    keyed = [op["numRowsUpdated"] for progress in query.recentProgress for op in progress["stateOperators"] if op["operatorName"].startswith("transformWithState")]
+    assert sum(keyed) == stalls.read_stalls(spark, f"file://{tmp_path}/out").count() == 2
+
+
 def test_cap():
     assert stalls.stall_cap(30, 30) == int((2 * (30 + 6 + 8 + 40) + 60) * 1.5) + 60 and stalls.stall_cap(30, 30, True) == int((30 + 25 + 8 + 40 + 7) * 1.5) + 60
