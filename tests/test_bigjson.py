@@ -60,6 +60,28 @@ def test_arrays_by_key(spark, tmp_path, size):
     assert found(spark, tmp_path, key="none", level=2, range_bytes=size) == []
 
 
+def test_small_ranges_read_a_file_a_few_times(tmp_path, monkeypatch):
+    """Also ranges within one long record: none but the first reads to its end."""
+    items = [f"{i} " + "x" * 300 for i in range(5000)] + ["y" * 2_000_000 + '"'] + [[i] for i in range(3000)]
+    (tmp_path / "a.json").write_text(json.dumps(items))
+    file, size, plain, read = bigjson._File(f"file://{tmp_path}/a.json"), 1 << 16, bigjson._File.bytes, []
+    monkeypatch.setattr(bigjson._File, "bytes", lambda self, low, high: read.append(max(0, min(high, self.size) - max(0, low))) or plain(self, low, high))
+    got, inside, depth = [], False, 0
+    for low in range(0, file.size, size):
+        got += bigjson._records(file, low, low + size, inside, depth, 1, None, low > 0)
+        flips, out, into = bigjson._effect(file, low, low + size)
+        inside, depth = inside != bool(flips), depth + (into if inside else out)
+    assert [json.loads(t) for _, t in got] == items
+    assert sum(read) < 5 * file.size
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(list(range(20_000))))
+    records = json_records(spark, f"file://{tmp_path}/a.json", range_bytes=100)
+    assert records.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    assert sorted(int(r.record) for r in records.collect()) == list(range(20_000))
+
+
 def test_what_holds_no_array(spark, tmp_path):
     for i, text in enumerate(["", "{}", "[]", " [ ] ", '"[1,2]"', "7"]):
         (tmp_path / f"{i}.json").write_text(text)
